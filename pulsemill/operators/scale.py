@@ -144,7 +144,7 @@ def exact_median(df: DataFrame, value: str, by: str, name: str = "median") -> Da
     inside its group's range; running counts over at most 1024 bins locate the
     one holding each middle rank, and only that bin's values are looked at next.
     """
-    values = (
+    values = materialize(
         df.where(F.col(value).isNotNull())
         .groupBy(by, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))

@@ -11,11 +11,13 @@ from collections.abc import Sequence
 from math import ceil
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsemill.operators.scale import exact_median, hash_rank
 from pulsemill.schemas import FOLDS
+from pulsemill.session import materialize
 
 
 def subject_mode(registry: DataFrame, column: str, key: str = "subject_id") -> DataFrame:
@@ -61,7 +63,7 @@ def take_share(strata: DataFrame, share: float, seed: int) -> DataFrame:
     """
     sizes = strata.groupBy("stratum").agg(F.count(F.lit(1)).alias("m"))
     seen = sizes.agg(F.sum("m").alias("n"), F.min("m").alias("least"), F.count("m").alias("k")).first()
-    n, wanted = seen["n"], ceil(round(share * seen["n"], 9))
+    n, wanted = seen["n"], ceil(share * seen["n"])
     if seen["least"] < 2 or wanted < seen["k"] or n - wanted < seen["k"]:
         strata = strata.withColumn("stratum", F.lit("all"))
         sizes = sizes.agg(F.sum("m").alias("m")).withColumn("stratum", F.lit("all"))
@@ -72,8 +74,6 @@ def take_share(strata: DataFrame, share: float, seed: int) -> DataFrame:
     # ranks over the strata, a table of a few rows however many subjects there are
     spare = F.lit(wanted) - sizes.agg(F.sum("base")).scalar()
     order = [F.desc("rest"), F.asc("stratum")]
-    from pyspark.sql import Window as W
-
     quotas = sizes.select(
         "stratum",
         (
@@ -100,8 +100,8 @@ def subject_split(
     if subjects < 3:
         raise ValueError(f"a split needs at least 3 subjects, got {subjects}")
     train, val, test = ratios
-    strata = subject_strata(registry, balance_on)
-    first = take_share(strata, test, seed)
+    strata = materialize(subject_strata(registry, balance_on))
+    first = materialize(take_share(strata, test, seed))
     rest = strata.join(first.where("NOT taken").select("subject_id"), "subject_id", "left_semi")
     second = take_share(rest, val / (train + val), seed)
     return first.where("taken").select("subject_id", F.lit("test").alias("fold")).unionByName(
@@ -188,8 +188,6 @@ def overlapping_subjects(split: DataFrame) -> DataFrame:
 
 def nesting_violations(subsets: DataFrame) -> DataFrame:
     """Subjects of a smaller subset that the next larger one of the seed lacks; must be empty."""
-    from pyspark.sql import Window as W
-
     sizes = subsets.select("seed", "fraction").distinct()
     steps = sizes.select(
         "seed",

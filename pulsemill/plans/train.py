@@ -17,6 +17,7 @@ from pulsemill.operators.features import align, feature_names, feature_table, sc
 from pulsemill.operators.metrics import fitted_threshold
 from pulsemill.operators.records import fold_rows, prediction_frame, target, task_rows
 from pulsemill.operators.scale import require_rows
+from pulsemill.session import materialize
 
 # fixed values: tree depth, step, row and column sampling, and rounds per task
 TREES = {"maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
@@ -142,6 +143,6 @@ def train_and_predict(
     Variants with ACC are compared on the records that have it.
     """
     rows = task_rows(registry, task, acc_subset or variant != "ppg")
-    features = feature_table(rows, variant)
+    features = materialize(feature_table(rows, variant))
     model = fit(features, task, variant, kind, rounds)
     return model, predict(model, fold_rows(features, "test"))
