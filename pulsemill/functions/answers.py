@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pulsemill.functions.arrays import let
 from pulsemill.schemas import HR_RANGE
 
 # fixed values: answer anchor, tokens and number pattern
-ANCHOR = r"(?isU)^.*answer\s*:\s*"
-WORD = "[a-zA-Z0-9]+"
+ANCHOR = r"(?iU)answer\s*:\s*"
+GOOD_TOKEN = "(?i)(?<![a-z0-9])(?:good|1)(?![a-z0-9])"
+BAD_TOKEN = "(?i)(?<![a-z0-9])(?:bad|0)(?![a-z0-9])"
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?"
-GOOD_TOKENS = ("good", "1")
-BAD_TOKENS = ("bad", "0")
 
 
 def _blank(text: Column) -> Column:
@@ -21,7 +21,7 @@ def _blank(text: Column) -> Column:
 
 def after_anchor(text: Column) -> Column:
     """Text behind the last ``answer:``, or the whole text."""
-    return F.regexp_replace(text, ANCHOR, "")
+    return F.element_at(F.split(text, ANCHOR, -1), -1)
 
 
 def _parsed(value: Column) -> Column:
@@ -33,15 +33,13 @@ def _parsed(value: Column) -> Column:
 
 def parse_quality(text: Column) -> Column:
     """STRUCT<y_pred, parse_status>: 1 for good, 0 for bad, null where unclear."""
-    tokens = F.regexp_extract_all(F.lower(after_anchor(text)), F.lit(WORD), F.lit(0))
-    good = F.arrays_overlap(tokens, F.array(*map(F.lit, GOOD_TOKENS)))
-    bad = F.arrays_overlap(tokens, F.array(*map(F.lit, BAD_TOKENS)))
-    return _parsed(
-        F.when(_blank(text), None)
-        .when(good & ~bad, 1.0)
-        .when(bad & ~good, 0.0)
-        .cast("double")
-    )
+
+    def verdict(tail: Column) -> Column:
+        good, bad = tail.rlike(GOOD_TOKEN), tail.rlike(BAD_TOKEN)
+        return F.when(good & ~bad, 1.0).when(bad & ~good, 0.0)
+
+    value = F.when(_blank(text), None).otherwise(let(after_anchor(text), verdict))
+    return let(value.cast("double"), _parsed)
 
 
 def parse_hr(text: Column, valid_range: tuple[float, float] = HR_RANGE) -> Column:
@@ -57,13 +55,13 @@ def parse_hr(text: Column, valid_range: tuple[float, float] = HR_RANGE) -> Colum
     def first(found: Column) -> Column:
         return F.get(F.filter(found, lambda v: v.between(lo, hi)), F.lit(0))
 
-    tail = numbers(after_anchor(text))
-    return _parsed(
-        F.when(_blank(text), None)
-        .when(F.size(tail) > 0, first(tail))
-        .otherwise(first(numbers(text)))
-        .cast("double")
+    value = F.when(_blank(text), None).otherwise(
+        let(
+            numbers(after_anchor(text)),
+            lambda tail: F.when(F.size(tail) > 0, first(tail)).otherwise(first(numbers(text))),
+        )
     )
+    return let(value.cast("double"), _parsed)
 
 
 def quality_answer(label: Column) -> Column:

@@ -1,20 +1,64 @@
-"""Row-local maths on array columns, built from higher-order functions.
-
-A window is one row, so none of these shuffle. Values that hold for the whole
-array (mean, std, ...) are bound once with :func:`let`; written inside a lambda
-they would be worked out again for every element.
-"""
+"""Maths on window arrays. None of these shuffle: a window is one row."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
+from pulsemill.functions.batches import Matrix, window_map, window_struct
+
+EPS = 1e-8
+TIME_NAMES = (
+    "mean", "std", "min", "max", "range", "median", "iqr", "rms", "skew", "kurtosis",
+    "mean_abs_diff", "zero_cross",
+)
+
+
+# -- batch helpers ------------------------------------------------------------------------------
+def standardized(x: Matrix, eps: float = EPS) -> Matrix:
+    return (x - x.mean(axis=1, keepdims=True)) / (x.std(axis=1, keepdims=True) + eps)
+
+
+def _scaled_pm1(x: Matrix) -> Matrix:
+    lo, hi = x.min(axis=1, keepdims=True), x.max(axis=1, keepdims=True)
+    span = hi - lo
+    flat = span < 1e-9
+    return np.where(flat, 0.0, 2.0 * (x - lo) / np.where(flat, 1.0, span) - 1.0)
+
+
+def time_statistics(x: Matrix, prefix: str) -> dict[str, np.ndarray]:
+    """The 12 statistics of each row; skew and kurtosis are the biased ones."""
+    mu, sd = x.mean(axis=1), x.std(axis=1)
+    d = x - mu[:, None]
+    varies = sd > 1e-8
+    safe = np.where(varies, sd, 1.0)
+    quarter, half, three = np.percentile(x, [25, 50, 75], axis=1)
+    steps = np.diff(x, axis=1)
+    crossed = np.diff(np.sign(d), axis=1) != 0
+    short = x.shape[1] < 2
+    out = {
+        "mean": mu,
+        "std": sd,
+        "min": x.min(axis=1),
+        "max": x.max(axis=1),
+        "range": np.ptp(x, axis=1),
+        "median": half,
+        "iqr": three - quarter,
+        "rms": np.sqrt((x * x).mean(axis=1)),
+        "skew": np.where(varies, (d**3).mean(axis=1) / safe**3, 0.0),
+        "kurtosis": np.where(varies, (d**4).mean(axis=1) / safe**4 - 3.0, 0.0),
+        "mean_abs_diff": np.zeros(len(x)) if short else np.abs(steps).mean(axis=1),
+        "zero_cross": np.zeros(len(x)) if short else crossed.mean(axis=1),
+    }
+    return {f"{prefix}_{name}": values for name, values in out.items()}
+
+
+# -- columns ------------------------------------------------------------------------------------
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it in ``body``."""
+    """Bind ``value`` once and use it in ``body``; inside a lambda it would be redone per element."""
     return F.transform(F.array(value), body)[0]
 
 
@@ -30,43 +74,29 @@ def mean(x: Column) -> Column:
     return total(x) / F.size(x)
 
 
-def pop_std(x: Column) -> Column:
-    """Population standard deviation, two passes."""
-    return let(
-        mean(x),
-        lambda m: F.sqrt(
-            F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m)) / F.size(x)
-        ),
-    )
+def zscore(x: Column, eps: float = EPS) -> Column:
+    """STRUCT<x, mean, std> with x = (v - mean) / (population std + eps)."""
 
+    def run(m: Matrix) -> dict[str, np.ndarray]:
+        return {"x": standardized(m, eps), "mean": m.mean(axis=1), "std": m.std(axis=1)}
 
-def zscore(x: Column, eps: float = 1e-8) -> Column:
-    """STRUCT<x, mean, std> with x = (v - mean) / (std + eps)."""
-    x = as_doubles(x)
-    stats = F.struct(mean(x).alias("mean"), pop_std(x).alias("std"))
-    return let(
-        stats,
-        lambda s: F.struct(
-            F.transform(x, lambda v: (v - s["mean"]) / (s["std"] + eps)).alias("x"),
-            s["mean"].alias("mean"),
-            s["std"].alias("std"),
-        ),
-    )
+    return window_struct(x, run, ["x", "mean", "std"], arrays=("x",))
 
 
 def minmax_pm1(x: Column) -> Column:
     """Scale to [-1, 1]; a flat window becomes zeros."""
-    x = as_doubles(x)
-    bounds = F.struct(F.array_min(x).alias("lo"), F.array_max(x).alias("hi"))
-    return let(
-        bounds,
-        lambda b: F.transform(
-            x,
-            lambda v: F.when(b["hi"] - b["lo"] < 1e-9, 0.0).otherwise(
-                2.0 * (v - b["lo"]) / (b["hi"] - b["lo"]) - 1.0
-            ),
-        ),
-    )
+    return window_map(x, _scaled_pm1)
+
+
+def magnitude(axes: Column) -> Column:
+    """L2 norm over exactly three axes; any other number of axes is an error."""
+    return window_map(axes, lambda m: m, axes=True)
+
+
+def time_features(x: Column, prefix: str) -> Column:
+    """STRUCT of the 12 statistics of one window."""
+    names = [f"{prefix}_{n}" for n in TIME_NAMES]
+    return window_struct(x, lambda m: time_statistics(m, prefix), names)
 
 
 def first_difference(x: Column) -> Column:
@@ -80,22 +110,6 @@ def invert(x: Column) -> Column:
     return F.transform(x, lambda v: -v)
 
 
-def magnitude(axes: Column) -> Column:
-    """L2 norm over exactly three axes, else an error."""
-    sq = lambda a, b: a * a + b * b
-    norm = F.transform(
-        F.zip_with(
-            F.zip_with(as_doubles(axes[0]), as_doubles(axes[1]), sq),
-            as_doubles(axes[2]),
-            lambda s, c: s + c * c,
-        ),
-        F.sqrt,
-    )
-    return F.when(axes.isNull(), None).when(F.size(axes) == 3, norm).otherwise(
-        F.raise_error(F.concat(F.lit("expected 3 axes, got "), F.size(axes).cast("string")))
-    )
-
-
 def pad_cut(x: Column, length: int) -> Column:
     """Zero-pad or cut to ``length``."""
     return F.slice(F.concat(as_doubles(x), F.array_repeat(F.lit(0.0), length)), 1, length)
@@ -123,55 +137,3 @@ def percentile_of_sorted(s: Column, q: float) -> Column:
         lambda p: F.get(s, p["i"])
         + F.coalesce(F.get(s, p["i"] + 1) - F.get(s, p["i"]), F.lit(0.0)) * p["frac"],
     )
-
-
-def time_features(x: Column, prefix: str) -> Column:
-    """STRUCT of the 12 statistics of one window."""
-
-    def body(s: Column) -> Column:
-        x, srt, mu, sd = s["x"], s["sorted"], s["mean"], s["std"]
-        n = F.size(x)
-
-        def moment(k: int) -> Column:
-            def step(acc: Column, v: Column) -> Column:
-                d = v - mu
-                return acc + (d * d * d if k == 3 else d * d * d * d)
-
-            return F.aggregate(x, F.lit(0.0), step) / n
-
-        varies = sd > 1e-8
-        diff = first_difference(x)
-        sides = F.transform(x, lambda v: F.signum(v - mu))
-        cols = {
-            "mean": mu,
-            "std": sd,
-            "min": F.get(srt, F.lit(0)),
-            "max": F.get(srt, n - 1),
-            "range": F.get(srt, n - 1) - F.get(srt, F.lit(0)),
-            "median": percentile_of_sorted(srt, 0.5),
-            "iqr": percentile_of_sorted(srt, 0.75) - percentile_of_sorted(srt, 0.25),
-            "rms": F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v) / n),
-            "skew": F.when(varies, moment(3) / (sd * sd * sd)).otherwise(0.0),
-            "kurtosis": F.when(varies, moment(4) / (sd * sd * sd * sd) - 3.0).otherwise(0.0),
-            "mean_abs_diff": F.when(n < 2, 0.0).otherwise(
-                F.aggregate(diff, F.lit(0.0), lambda acc, v: acc + F.abs(v)) / (n - 1)
-            ),
-            "zero_cross": F.aggregate(
-                first_difference(sides),
-                F.lit(0.0),
-                lambda acc, v: acc + F.when(v != 0.0, 1.0).otherwise(0.0),
-            )
-            / (n - 1),
-        }
-        return F.struct(*[c.cast("double").alias(f"{prefix}_{k}") for k, c in cols.items()])
-
-    x = as_doubles(x)
-    return let(
-        F.struct(
-            x.alias("x"),
-            F.sort_array(x).alias("sorted"),
-            mean(x).alias("mean"),
-            pop_std(x).alias("std"),
-        ),
-        body,
-    )

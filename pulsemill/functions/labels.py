@@ -83,16 +83,17 @@ def llm_size(llm_id: Column) -> Column:
     return size.when(llm.contains("gemma"), "Gemma").when(tail != "", tail).otherwise("?")
 
 
-def run_label(model: Column, task: Column, config: Column) -> Column:
-    """The comparison-table label of a run."""
-    ecg = F.coalesce(config_value(config, "ecg_init"), F.lit(""))
-    started_on_ecg = ~F.lower(ecg).isin("", "false", "0")
-    prompted = F.concat(F.lit("OpenTSLM-"), llm_size(config_value(config, "llm_id")))
+def run_label(
+    model: Column, task: Column, method: Column, llm_id: Column, ecg_init: Column
+) -> Column:
+    """The comparison-table label of a run, from its config entries."""
+    started_on_ecg = ~F.lower(F.coalesce(ecg_init, F.lit(""))).isin("", "false", "0")
+    prompted = F.concat(F.lit("OpenTSLM-"), llm_size(llm_id))
     return (
         F.when((model == "trivial") & (task == "quality"), "Majority class")
         .when(
             (model == "trivial")
-            & (config_value(config, "method", "") == "dominant_frequency"),
+            & F.coalesce(method == "dominant_frequency", F.lit(False)),
             "Dominant-frequency HR",
         )
         .when(model == "trivial", "Median HR")

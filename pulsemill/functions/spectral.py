@@ -1,65 +1,71 @@
-"""Spectra and resampling.
+"""Spectra, spectral features and Fourier resampling of window arrays.
 
-A Fourier transform as SQL needs samples x bins rows per window, so the two
-transforms are Arrow functions over whole batches: the list column's flat buffer
-becomes one matrix and numpy transforms all rows at once. Everything after the
-transform (bands, peaks, entropy) is column expressions again.
+As SQL, a transform needs samples x bins rows per window; here a batch of windows
+is transformed at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pulsemill.functions.arrays import as_doubles, let, total, zscore
+from pulsemill.functions.arrays import TIME_NAMES, standardized, time_statistics
+from pulsemill.functions.batches import Matrix, window_map, window_number, window_struct
 from pulsemill.schemas import HR_RANGE
 
 # fixed values: pass bands in Hz
 PPG_BAND = (0.5, 3.67)
 ACC_BAND = (0.5, 10.0)
+FREQ_NAMES = (
+    "dom_freq", "dom_freq_bpm", "band_power", "band_power_ratio", "spec_centroid",
+    "spec_entropy", "total_power",
+)
 
 
-def _by_length(batch: pa.Array, transform: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
-    """Apply ``transform`` to the (rows, n) matrix of each window length in the batch."""
-    lengths = np.asarray(batch.value_lengths().fill_null(0))
-    rows: list = [None] * len(batch)
-    for n in np.unique(lengths[lengths > 0]):
-        where = np.flatnonzero(lengths == n)
-        part = batch if len(where) == len(batch) else batch.take(pa.array(where))
-        flat = part.flatten().to_numpy(zero_copy_only=False)
-        matrix = transform(flat.astype(np.float64).reshape(len(where), n))
-        if len(where) == len(batch):
-            offsets = np.arange(len(batch) + 1, dtype=np.int32) * matrix.shape[1]
-            return pa.ListArray.from_arrays(offsets, matrix.ravel())
-        for i, row in zip(where, matrix):
-            rows[i] = row
-    return pa.array(rows, type=pa.list_(pa.float64()))
-
-
-def _power(x: np.ndarray) -> np.ndarray:
-    """One-sided power of the mean-free rows, in units of 1 / sampling rate."""
+# -- batch helpers ------------------------------------------------------------------------------
+def power_density(x: Matrix, fs: float) -> Matrix:
+    """One-sided power density of the mean-free rows."""
     n = x.shape[1]
     spectrum = np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)
-    power = (spectrum.real**2 + spectrum.imag**2) / n
+    power = (spectrum.real**2 + spectrum.imag**2) / (fs * n)
     power[:, 1 : (n + 1) // 2] *= 2.0
     return power
 
 
-def periodogram(x: Column, fs: float) -> Column:
-    """Power density per frequency bin k, at k * fs / n Hz."""
-
-    @F.arrow_udf("array<double>")
-    def power(batch: pa.Array) -> pa.Array:
-        return _by_length(batch, lambda m: _power(m) / fs)
-
-    return power(as_doubles(x))
-
-
-def _fourier_resample(x: np.ndarray, length: int) -> np.ndarray:
+def _in_band(n: int, fs: float, band: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    freqs = np.arange(n // 2 + 1) * (fs / n)
+    return freqs, (freqs >= band[0]) & (freqs <= band[1])
+
+
+def spectral_statistics(
+    x: Matrix, fs: float, prefix: str, band: tuple[float, float]
+) -> dict[str, np.ndarray]:
+    """The 7 spectral features of each row; without in-band power the dominant frequency is 0."""
+    power = power_density(x, fs)
+    freqs, inside = _in_band(x.shape[1], fs, band)
+    total = power.sum(axis=1) + 1e-12
+    in_band = power[:, inside]
+    band_power = in_band.sum(axis=1)
+    if inside.any():
+        dominant = np.where(band_power > 0, freqs[inside][in_band.argmax(axis=1)], 0.0)
+    else:
+        dominant = np.zeros(len(x))
+    share = power / total[:, None]
+    entropy = -(share * np.log(np.where(share > 0, share, 1.0))).sum(axis=1)
+    out = {
+        "dom_freq": dominant,
+        "dom_freq_bpm": dominant * 60.0,
+        "band_power": band_power,
+        "band_power_ratio": band_power / total,
+        "spec_centroid": (power * freqs).sum(axis=1) / total,
+        "spec_entropy": entropy,
+        "total_power": total,
+    }
+    return {f"{prefix}_{name}": values for name, values in out.items()}
+
+
+def _resampled(x: Matrix, length: int) -> Matrix:
     n = x.shape[1]
     if n == length:
         return x
@@ -72,18 +78,10 @@ def _fourier_resample(x: np.ndarray, length: int) -> np.ndarray:
     return np.fft.irfft(cut, length, axis=1) * (length / n)
 
 
-def resample(x: Column, orig_fs: float, target_fs: float) -> Column:
-    """Fourier resampling to round(n * target / orig) samples."""
-    if orig_fs == target_fs:
-        return as_doubles(x)
-
-    @F.arrow_udf("array<double>")
-    def run(batch: pa.Array) -> pa.Array:
-        return _by_length(
-            batch, lambda m: _fourier_resample(m, int(round(m.shape[1] * target_fs / orig_fs)))
-        )
-
-    return run(as_doubles(x))
+# -- columns ------------------------------------------------------------------------------------
+def periodogram(x: Column, fs: float) -> Column:
+    """Power density per frequency bin k, at k * fs / n Hz."""
+    return window_map(x, lambda m: power_density(m, fs))
 
 
 def bins(power: Column, n: Column, fs: float) -> Column:
@@ -93,79 +91,45 @@ def bins(power: Column, n: Column, fs: float) -> Column:
     )
 
 
-def _peak(spectrum: Column, lo: float, hi: float) -> Column:
-    """The first strongest bin inside the band, null if the band holds no bin."""
-    band = F.filter(spectrum, lambda b: (b["f"] >= lo) & (b["f"] <= hi))
-    return F.reduce(
-        band,
-        F.lit(None).cast("struct<f:double,p:double>"),
-        lambda best, b: F.when(best.isNull() | (b["p"] > best["p"]), b).otherwise(best),
-    )
+def resample(x: Column, orig_fs: float, target_fs: float) -> Column:
+    """Fourier resampling to round(n * target / orig) samples."""
+    if orig_fs == target_fs:
+        return x.cast("array<double>")
+    return window_map(x, lambda m: _resampled(m, int(round(m.shape[1] * target_fs / orig_fs))))
 
 
 def freq_features(
-    power: Column, n: Column, fs: float, prefix: str, band: tuple[float, float] = PPG_BAND
+    x: Column, fs: float, prefix: str, band: tuple[float, float] = PPG_BAND
 ) -> Column:
-    """STRUCT of the 7 spectral features of a periodogram column."""
-    lo, hi = band
-
-    def body(s: Column) -> Column:
-        spectrum = s["bins"]
-
-        def summed(term: Callable[[Column], Column]) -> Column:
-            return F.aggregate(spectrum, F.lit(0.0), lambda acc, b: acc + term(b))
-
-        inside = lambda b: (b["f"] >= lo) & (b["f"] <= hi)
-        return let(
-            F.struct(
-                (summed(lambda b: b["p"]) + 1e-12).alias("total"),
-                summed(lambda b: F.when(inside(b), b["p"]).otherwise(0.0)).alias("band"),
-                _peak(spectrum, lo, hi).alias("peak"),
-            ),
-            lambda t: let(
-                F.when(t["band"] > 0.0, t["peak"]["f"]).otherwise(0.0),
-                lambda dom: F.struct(
-                    dom.alias(f"{prefix}_dom_freq"),
-                    (dom * 60.0).alias(f"{prefix}_dom_freq_bpm"),
-                    t["band"].alias(f"{prefix}_band_power"),
-                    (t["band"] / t["total"]).alias(f"{prefix}_band_power_ratio"),
-                    (summed(lambda b: b["f"] * b["p"]) / t["total"]).alias(
-                        f"{prefix}_spec_centroid"
-                    ),
-                    (
-                        -summed(
-                            lambda b: F.when(
-                                b["p"] > 0.0, b["p"] / t["total"] * F.log(b["p"] / t["total"])
-                            ).otherwise(0.0)
-                        )
-                    ).alias(f"{prefix}_spec_entropy"),
-                    t["total"].alias(f"{prefix}_total_power"),
-                ),
-            ),
-        )
-
-    return let(F.struct(bins(power, n, fs).alias("bins")), body)
-
-
-def dominant_bpm(
-    power: Column, n: Column, fs: float, band_bpm: tuple[float, float] = HR_RANGE
+    """STRUCT of the 7 spectral features of one window."""
+    names = [f"{prefix}_{n}" for n in FREQ_NAMES]
+    return window_struct(x, lambda m: spectral_statistics(m, fs, prefix, band), names)
+
+
+def window_features(
+    x: Column, fs: float, prefix: str, band: tuple[float, float], axes: bool = False
 ) -> Column:
+    """STRUCT of all 19 features of the z-scored window, in one crossing to Python.
+
+    With ``axes`` the column holds three axes and their magnitude is the window.
+    """
+
+    def run(m: Matrix) -> dict[str, np.ndarray]:
+        z = standardized(m)
+        return {**time_statistics(z, prefix), **spectral_statistics(z, fs, prefix, band)}
+
+    names = [f"{prefix}_{n}" for n in (*TIME_NAMES, *FREQ_NAMES)]
+    return window_struct(x, run, names, axes=axes)
+
+
+def dominant_bpm(x: Column, fs: float, band_bpm: tuple[float, float] = HR_RANGE) -> Column:
     """Strongest in-band frequency as beats per minute; the band's middle if no bin is inside."""
-    lo, hi = band_bpm
-    return let(
-        _peak(bins(power, n, fs), lo / 60.0, hi / 60.0),
-        lambda peak: F.coalesce(peak["f"] * 60.0, F.lit((lo + hi) / 2.0)),
-    )
+    band = (band_bpm[0] / 60.0, band_bpm[1] / 60.0)
 
+    def run(m: Matrix) -> np.ndarray:
+        freqs, inside = _in_band(m.shape[1], fs, band)
+        if not inside.any():
+            return np.full(len(m), sum(band_bpm) / 2.0)
+        return freqs[inside][power_density(m, fs)[:, inside].argmax(axis=1)] * 60.0
 
-__all__ = [
-    "ACC_BAND",
-    "PPG_BAND",
-    "bins",
-    "dominant_bpm",
-    "freq_features",
-    "periodogram",
-    "resample",
-    "total",
-    "zscore",
-]
+    return window_number(x, run)

@@ -49,10 +49,7 @@ def predict_dominant_frequency(
     target: DataFrame, column: str = "ppg", fs: float = 30.0
 ) -> DataFrame:
     """HR at the strongest frequency inside the plausible band."""
-    with_power = target.withColumn("_power", spectral.periodogram(F.col(column), fs))
-    return prediction_frame(
-        with_power, "hr", spectral.dominant_bpm(F.col("_power"), F.size(column), fs)
-    )
+    return prediction_frame(target, "hr", spectral.dominant_bpm(F.col(column), fs))
 
 
 def predict_trivial(

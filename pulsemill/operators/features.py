@@ -2,46 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsemill.functions import arrays, labels, spectral
+from pulsemill.functions import labels, spectral
 from pulsemill.schemas import VARIANTS
 
 PPG_FS = 30.0
 ACC_FS = 100.0
 
 
-def _block(df: DataFrame, x: Column, fs: float, prefix: str, band: tuple[float, float]) -> DataFrame:
-    """Append 12 time and 7 spectral features of a z-scored window."""
-    z, p = f"_{prefix}_z", f"_{prefix}_p"
-    out = (
-        df.withColumn(z, arrays.zscore(x)["x"])
-        .withColumn(p, spectral.periodogram(F.col(z), fs))
-        .withColumns(
-            {
-                f"_{prefix}_t": arrays.time_features(F.col(z), prefix),
-                f"_{prefix}_f": spectral.freq_features(
-                    F.col(p), F.size(z), fs, prefix, band
-                ),
-            }
-        )
-    )
-    return out.select(*df.columns, f"_{prefix}_t.*", f"_{prefix}_f.*")
-
-
 def ppg_features(df: DataFrame, column: str = "ppg", fs: float = PPG_FS) -> DataFrame:
-    return _block(df, F.col(column), fs, "ppg", spectral.PPG_BAND)
+    """Append 12 time and 7 spectral features of the z-scored window."""
+    block = spectral.window_features(F.col(column), fs, "ppg", spectral.PPG_BAND)
+    return df.withColumn("_block", block).select(*df.columns, "_block.*")
 
 
 def acc_features(df: DataFrame, column: str = "acc", fs: float = ACC_FS) -> DataFrame:
-    """Features of the acceleration magnitude; zeros where there is no signal."""
-    out = _block(df, arrays.magnitude(F.col(column)), fs, "acc", spectral.ACC_BAND)
-    names = [c for c in out.columns if c.startswith("acc_")]
-    quiet = F.col(column).isNull()
+    """The same of the acceleration magnitude; zeros where there is no signal."""
+    block = spectral.window_features(F.col(column), fs, "acc", spectral.ACC_BAND, axes=True)
+    out = df.withColumn("_block", block).select(*df.columns, "_block.*")
     # a flat window's total power is the 1e-12 guard itself
-    empty = {n: F.lit(1e-12 if n == "acc_total_power" else 0.0) for n in names}
-    return out.withColumns({n: F.when(quiet, empty[n]).otherwise(F.col(n)) for n in names})
+    empty = {n: 1e-12 if n == "acc_total_power" else 0.0
+             for n in out.columns if n.startswith("acc_")}
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in empty.items()})
 
 
 def covariate_features(df: DataFrame) -> DataFrame:

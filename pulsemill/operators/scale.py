@@ -137,10 +137,13 @@ def hash_rank(
     )
 
 
-def exact_median(df: DataFrame, value: str, by: str, name: str = "median") -> DataFrame:
-    """Exact median per ``by``, with no group's values gathered in one task.
+def exact_median(
+    df: DataFrame, value: str, by: str, name: str = "median", small: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Exact median per ``by``, with no unbounded group gathered in one task.
 
-    Equal values are counted first. Each value then gets a coarse and a fine bin
+    Equal values are counted first. A table of few distinct values (checked) is
+    left to the built-in percentile. Beyond that, each value gets a coarse and a fine bin
     inside its group's range; running counts over at most 1024 bins locate the
     one holding each middle rank, and only that bin's values are looked at next.
     """
@@ -149,6 +152,8 @@ def exact_median(df: DataFrame, value: str, by: str, name: str = "median") -> Da
         .groupBy(by, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    if fits_broadcast(values, small):
+        return values.groupBy(by).agg(F.percentile("v", 0.5, F.col("n")).alias(name))
     span = values.groupBy(by).agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n_all")
     )

@@ -28,12 +28,20 @@ def latest_finished(ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def labelled(ledger: DataFrame) -> DataFrame:
     """Ledger with the comparison label, its table row and the input variant."""
-    label = labels.run_label(F.col("model"), F.col("task"), F.col("config"))
+    entries = ("method", "llm_id", "ecg_init", "split")
+    # config entries become plain columns first, so that each is read from the VARIANT once
+    plain = ledger.withColumns(
+        {
+            **{f"_{e}": labels.config_value(F.col("config"), e) for e in entries},
+            "variant": labels.input_variant(F.col("config")),
+        }
+    ).drop("config")
+    label = labels.run_label(*[F.col(c) for c in ("model", "task", "_method", "_llm_id", "_ecg_init")])
     return (
-        ledger.withColumn("label", label)
+        plain.withColumn("label", label)
         .withColumn("family", labels.row_family(F.col("label")))
-        .withColumn("variant", labels.input_variant(F.col("config")))
-        .drop("config")
+        .withColumnRenamed("_split", "split_path")
+        .drop("_method", "_llm_id", "_ecg_init")
     )
 
 
@@ -84,7 +92,7 @@ def extended_table(ledger: DataFrame) -> DataFrame:
 
 def low_data_runs(ledger: DataFrame, splits: DataFrame) -> DataFrame:
     """Finished runs whose split is a low-data split that still exists."""
-    split_id = F.regexp_extract(labels.config_value(F.col("config"), "split"), r"([^/]+)\.json$", 1)
+    split_id = F.regexp_extract("split_path", r"([^/]+)\.json$", 1)
     blocks = (
         splits.where("fraction IS NOT NULL")
         .groupBy("split_id")
@@ -93,10 +101,8 @@ def low_data_runs(ledger: DataFrame, splits: DataFrame) -> DataFrame:
             F.max("n_train_subjects").alias("n_train_subjects"),
         )
     )
-    runs = ledger.where("status = 'finished'").withColumn("split_id", split_id)
-    keyed = runs.withColumn(
-        "model", labels.run_label(F.col("model"), F.col("task"), F.col("config"))
-    ).select("split_id", "model", "task", "metrics")
+    runs = labelled(ledger.where("status = 'finished'")).withColumn("split_id", split_id)
+    keyed = runs.select("split_id", F.col("label").alias("model"), "task", "metrics")
     return join_dimension(keyed, blocks, "split_id")
 
 

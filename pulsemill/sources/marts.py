@@ -20,6 +20,8 @@ def read_tensor_mart(spark: SparkSession, path: str, task: str, split: str) -> D
 
 
 def with_record_ids(rows: DataFrame) -> DataFrame:
+    if "position" not in rows.columns:
+        return rows
     stand_in = F.concat_ws("_", "subject_id", F.col("position").cast("string"))
     return rows.withColumn("record_id", F.coalesce(F.col("record_id"), stand_in))
 

@@ -1,18 +1,19 @@
 """Raw signal files to array columns.
 
-Decoding needs numpy, so it runs over ``binaryFile`` rows in ``mapInPandas``; one
+Decoding needs numpy, so it runs over ``binaryFile`` rows in ``mapInArrow``; one
 bad file becomes a row with a reject reason and never fails the job.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsemill import schemas
 from pulsemill.functions import spectral
@@ -21,36 +22,39 @@ PPG_LEN = 300
 ECG_FS_RAW, ECG_FS_OUT, ECG_LEN = 1000.0, 30.0, 300
 
 
-def _record_id(path: str) -> str:
-    return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+def _decode(files: DataFrame, unpack: Callable[[bytes], dict], schema: T.StructType) -> DataFrame:
+    """One row per file: the unpacked columns, or the reason there are none."""
+    series = pa.list_(pa.float32())
+    kinds = {"record_id": pa.string(), "reject_reason": pa.string(), "sig_name": pa.list_(pa.string()),
+             "p_signal": pa.list_(series),
+             "x": pa.list_(series) if schema == schemas.MATRIX_ARRAY else series}
+    arrow = pa.schema([(name, kinds[name]) for name in schema.names])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                row = {"record_id": path.rsplit("/", 1)[-1].rsplit(".", 1)[0]}
+                try:
+                    row.update(unpack(content))
+                except Exception as problem:  # noqa: BLE001 - kept as the row's reject reason
+                    row["reject_reason"] = str(problem)
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-def _decode(batches: Iterator[pd.DataFrame], unpack) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"]):
-            try:
-                rows.append({"record_id": _record_id(path), **unpack(content), "reject_reason": None})
-            except Exception as problem:  # noqa: BLE001 - kept as the row's reject reason
-                rows.append({"record_id": _record_id(path), "reject_reason": str(problem)})
-        yield pd.DataFrame(rows)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def decode_windows(files: DataFrame, ndim: int = 1) -> DataFrame:
     """``.npy`` contents as float arrays of the given rank."""
-    schema = schemas.WINDOW_ARRAY if ndim == 1 else schemas.MATRIX_ARRAY
 
     def unpack(content: bytes) -> dict:
         array = np.load(io.BytesIO(content), allow_pickle=False).astype(np.float32)
         if array.ndim != ndim:
             raise ValueError(f"expected {ndim} dimensions, got shape {array.shape}")
-        return {"x": array.tolist()}
+        return {"x": array if ndim == 1 else list(array)}
 
-    def run(batches):
-        for out in _decode(batches, unpack):
-            yield out.reindex(columns=schema.names)
-
-    return files.select("path", "content").mapInPandas(run, schema)
+    return _decode(files, unpack, schemas.WINDOW_ARRAY if ndim == 1 else schemas.MATRIX_ARRAY)
 
 
 def decode_raw_ppg(files: DataFrame) -> DataFrame:
@@ -59,13 +63,9 @@ def decode_raw_ppg(files: DataFrame) -> DataFrame:
     def unpack(content: bytes) -> dict:
         with np.load(io.BytesIO(content), allow_pickle=False) as data:
             signal = np.atleast_2d(np.asarray(data["p_signal"], dtype=np.float32))
-            return {"sig_name": [str(n) for n in data["sig_name"]], "p_signal": signal.tolist()}
-
-    def run(batches):
-        for out in _decode(batches, unpack):
-            yield out.reindex(columns=schemas.RAW_PPG.names)
+            return {"sig_name": [str(n) for n in data["sig_name"]], "p_signal": list(signal)}
 
-    return files.select("path", "content").mapInPandas(run, schemas.RAW_PPG)
+    return _decode(files, unpack, schemas.RAW_PPG)
 
 
 def signal_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,11 +76,11 @@ def series(
         _number(df, value).alias("value"),
         (_number(df, time) if time else F.lit(None).cast("double")).alias("_time"),
     )
+    if time is not None:
+        base = relative_time(base, F.col("_time"))
     placed = dense_index(base, ["subject_id"], [f"_o{i}" for i in range(len(order))])
     if time is None:
         placed = placed.withColumn("t", F.col("idx") / F.lit(fs))
-    else:
-        placed = relative_time(placed, F.col("_time"))
     return placed.select("subject_id", "t", "idx", "value")
 
 
@@ -138,7 +139,7 @@ def discover(spark: SparkSession, raw: str) -> DataFrame:
         F.min(F.struct((~home).alias("nested"), "path")).alias("best")
     )
     complete = first.groupBy("subject_id").agg(
-        F.count_if("kind = 'ppg'").alias("p"), F.count_if("kind = 'ecg'").alias("e")
+        F.count_if(F.col("kind") == "ppg").alias("p"), F.count_if(F.col("kind") == "ecg").alias("e")
     ).where("p > 0 AND e > 0")
     return first.join(complete, "subject_id", "left_semi").select(
         "subject_id", "kind", F.col("best.path").alias("path")
@@ -158,7 +159,7 @@ def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple, list[str]]:
     out: dict[tuple, list[str]] = {}
     for row in first_lines.orderBy("file_path").collect():  # one line per file
         names = tuple(n.strip().strip('"') for n in row["header"].lstrip("\ufeff").split(","))
-        out.setdefault(names, []).append(row["file_path"])
+        out.setdefault(names, []).append(unquote(row["file_path"]))
     return out
 
 

@@ -1,8 +1,14 @@
 """The library's operators as named queries over the given tables, each with its SQL twin."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from queryset import answers, checks, hr, ledger, marts, models, quality, records, series, signals, splits
 from queryset.base import ORACLES, QUERIES
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "ORACLES", "QUERIES", "answers", "checks", "hr", "ledger", "marts", "models", "quality",
     "records", "series", "signals", "splits",

@@ -161,9 +161,8 @@ def window_periodogram(spark, sf):
     ),
 )
 def spectral_features(spark, sf):
-    rows = signal_registry(spark, sf).withColumn("p", spectral.periodogram(F.col("ppg"), FS))
-    out = spectral.freq_features(F.col("p"), F.size("ppg"), FS, "raw")
-    return rows.withColumn("f", out).select("vec_id", "f.*")
+    rows = signal_registry(spark, sf)
+    return rows.withColumn("f", spectral.freq_features(F.col("ppg"), FS, "raw")).select("vec_id", "f.*")
 
 
 def _rounded(columns, default=None):
