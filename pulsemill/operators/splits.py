@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsemill.operators.scale import exact_median, hash_rank
+from pulsemill.operators.scale import BROADCAST_ROWS, dense_index, exact_median, hash_rank
 from pulsemill.schemas import FOLDS
 from pulsemill.session import materialize
 
@@ -71,15 +71,17 @@ def take_share(strata: DataFrame, share: float, seed: int) -> DataFrame:
     sizes = sizes.select(
         "stratum", F.floor(quota).alias("base"), (quota - F.floor(quota)).alias("rest")
     )
-    # ranks over the strata, a table of a few rows however many subjects there are
     spare = F.lit(wanted) - sizes.agg(F.sum("base")).scalar()
-    order = [F.desc("rest"), F.asc("stratum")]
-    quotas = sizes.select(
+    sizes = sizes.withColumns({"missing": -F.col("rest"), "everyone": F.lit(0)})
+    order = ["missing", "stratum"]
+    if seen["k"] <= BROADCAST_ROWS:
+        place = F.row_number().over(W.partitionBy("everyone").orderBy(*order)) - 1
+        placed = sizes.withColumn("place", place)
+    else:
+        placed = dense_index(sizes, ["everyone"], order, "place")
+    quotas = placed.select(
         "stratum",
-        (
-            F.col("base")
-            + F.when(F.row_number().over(W.orderBy(*order)) <= spare, 1).otherwise(0)
-        ).alias("quota"),
+        (F.col("base") + F.when(F.col("place") < spare, 1).otherwise(0)).alias("quota"),
     )
     ranked = hash_rank(strata, ["stratum"], seed, "subject_id")
     return ranked.join(quotas, "stratum").select(
@@ -201,7 +203,6 @@ def nesting_violations(subsets: DataFrame) -> DataFrame:
 
 
 def fold_lists(split: DataFrame) -> DataFrame:
-    """Sorted subject list per fold, as the split file holds them."""
-    return split.groupBy("fold").agg(
-        F.array_sort(F.collect_set("subject_id")).alias("subjects")
-    )
+    """The sorted subject list of each fold as rows: (fold, position, subject_id)."""
+    listed = split.select("fold", "subject_id").distinct()
+    return dense_index(listed, ["fold"], ["subject_id"], "position")

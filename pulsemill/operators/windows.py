@@ -35,6 +35,18 @@ def tumbling_windows(
     )
 
 
+def window_keys(
+    samples: DataFrame, size: int, keys: Sequence[str] = ("subject_id",), idx: str = "idx"
+) -> DataFrame:
+    """(keys, window_idx) of the complete windows, without touching the sample values."""
+    return (
+        samples.groupBy(*keys, F.floor(F.col(idx) / size).alias("window_idx"))
+        .agg(F.count(F.lit(1)).alias("n_samples"))
+        .where(F.col("n_samples") == size)
+        .drop("n_samples")
+    )
+
+
 def time_windows(
     samples: DataFrame,
     seconds: float,

@@ -48,15 +48,22 @@ def watch_windows(
     """Registry rows from watch series: paired windows with an ECG heart rate and an activity.
 
     The ECG only gives the label. Windows with a bad sample or no trustworthy
-    heart rate are dropped.
+    heart rate are dropped. Activities are looked up for the window keys alone:
+    joined back on (subject, window), the partitioning the sample arrays already
+    have, they cost the arrays no further shuffle.
     """
     n_ppg, n_ecg = int(seconds * ppg_fs), int(seconds * ecg_fs)
+    keys = ["subject_id", "window_idx"]
+    starts = windows.window_keys(ppg, n_ppg).withColumn(
+        "t0", windows.window_start(F.col("window_idx"), seconds)
+    )
+    activity = windows.label_as_of(starts, events, ["subject_id"], "t0", "t", "activity").drop("t0")
     pairs = windows.pair_windows(
         windows.usable(windows.tumbling_windows(ppg, n_ppg), n_ppg),
         windows.tumbling_windows(ecg, n_ecg),
         ["subject_id"],
         ("_ppg", "_ecg"),
-    )
+    ).join(activity, keys)
     if hr is None:
         pairs = pairs.withColumn("_beats", heartbeat.r_peaks(F.col("x_ecg"), ecg_fs))
         hr = heartbeat.rate(F.col("_beats"), ecg_fs)
@@ -68,14 +75,13 @@ def watch_windows(
         .select(
             windows.window_id(F.col("subject_id"), F.col("window_idx")).alias("record_id"),
             "subject_id",
-            windows.window_start(F.col("window_idx"), seconds).alias("t0"),
             "hr_ref",
             F.col("ppg").cast("array<float>").alias("ppg"),
+            "activity",
         )
     )
-    labelled = windows.label_as_of(rated, events, ["subject_id"], "t0", "t", "activity")
     none = F.lit(None)
-    return labelled.select(
+    return rated.select(
         "record_id",
         "subject_id",
         F.lit(dataset).alias("dataset"),

@@ -13,6 +13,7 @@ from pulsemill.operators.constraints import (
     require_registry,
     require_valid,
 )
+from pulsemill.operators.scale import fits_broadcast
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -66,9 +67,17 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
     return table.select(*schemas.SPLIT.names)
 
 
+def write_split_table(split: DataFrame, path: str) -> None:
+    """A split of any size as a (subject_id, fold) table."""
+    require_disjoint(split)
+    split.write.mode("overwrite").parquet(path)
+
+
 def write_split(split: DataFrame, path: str, seed: int, ratios) -> None:
-    """One JSON object with three sorted subject lists."""
+    """One JSON object with three sorted subject lists, for splits that fit one row."""
     require_disjoint(split)
+    if not fits_broadcast(split):
+        raise ValueError("too many subjects for one JSON object, use write_split_table")
     lists = [
         F.array_sort(F.collect_set(F.when(F.col("fold") == fold, F.col("subject_id")))).alias(
             f"{fold}_subjects"

@@ -172,20 +172,13 @@ def fold_map(spark, sf):
     "fold_lists",
     sql(
         [HASHED_SPLIT],
-        """SELECT fold, count(*) AS n, min(subject_id) AS first_subject, max(subject_id) AS last_subject,
-        md5(string_agg(subject_id, ',' ORDER BY subject_id)) AS digest FROM split GROUP BY fold""",
+        """SELECT fold, subject_id, row_number() OVER (PARTITION BY fold ORDER BY subject_id) - 1 AS position
+        FROM split""",
     ),
 )
 def fold_lists(spark, sf):
-    """The sorted lists of the split file, compared by size, ends and digest."""
-    listed = splits.fold_lists(hashed_split(spark, sf))
-    return listed.select(
-        "fold",
-        F.size("subjects").alias("n"),
-        F.get("subjects", F.lit(0)).alias("first_subject"),
-        F.element_at("subjects", -1).alias("last_subject"),
-        F.md5(F.array_join("subjects", ",")).alias("digest"),
-    )
+    """The sorted lists of the split file, one row per position."""
+    return splits.fold_lists(hashed_split(spark, sf))
 
 
 @query(
