@@ -83,18 +83,34 @@ def sorted_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 
 
 def dense_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str = "idx",
+    span_of: str | None = None,
 ) -> DataFrame:
-    """Zero-based position of each row within its key, in order."""
+    """Zero-based position of each row within its key, in order.
+
+    ``span_of`` names a column whose least and greatest value per key are added
+    as ``span_min`` and ``span_max``; they come from the same per-run table.
+    """
     runs = sorted_runs(df, keys, order)
-    earlier = W.partitionBy(*keys).orderBy("run").rowsBetween(*EARLIER)
+    whole = W.partitionBy(*keys)
+    earlier = whole.orderBy("run").rowsBetween(*EARLIER)
+    bounds = [F.min, F.max] if span_of else []
+    names = ["span_min", "span_max"]
     shifts = (
         runs.groupBy(*keys, "run")
-        .agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n_rows"))
+        .agg(
+            F.min("pos").alias("first"),
+            F.count(F.lit(1)).alias("n_rows"),
+            *[f(span_of).alias(n) for f, n in zip(bounds, names)],
+        )
         .select(
             *keys,
             "run",
             (F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)) - F.col("first")).alias("shift"),
+            *[f(n).over(whole).alias(n) for f, n in zip(bounds, names)],
         )
     )
     return (

@@ -48,13 +48,15 @@ def relative_time(df: DataFrame, time: Column, key: str = "subject_id") -> DataF
     has to pass through one task.
     """
     timed = df.withColumn("t", time)
-    span = timed.groupBy(key).agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"))
-    scale = F.when(F.col("t_max") - F.col("t_min") > 1e6, 1000.0).otherwise(1.0)
-    return (
-        join_dimension(timed, span, key, "left")
-        .withColumn("t", (F.col("t") - F.col("t_min")) / scale)
-        .drop("t_min", "t_max")
-    )
+    span = timed.groupBy(key).agg(F.min("t").alias("span_min"), F.max("t").alias("span_max"))
+    return _since_start(join_dimension(timed, span, key, "left"))
+
+
+def _since_start(timed: DataFrame) -> DataFrame:
+    """Rescale ``t`` by the series' ``span_min`` and ``span_max``."""
+    scale = F.when(F.col("span_max") - F.col("span_min") > 1e6, 1000.0).otherwise(1.0)
+    seconds = (F.col("t") - F.col("span_min")) / scale
+    return timed.withColumn("t", seconds).drop("span_min", "span_max")
 
 
 def series(
@@ -74,13 +76,14 @@ def series(
         F.col(key).cast("string").alias("subject_id"),
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
         _number(df, value).alias("value"),
-        (_number(df, time) if time else F.lit(None).cast("double")).alias("_time"),
+        (_number(df, time) if time else F.lit(None).cast("double")).alias("t"),
     )
-    if time is not None:
-        base = relative_time(base, F.col("_time"))
-    placed = dense_index(base, ["subject_id"], [f"_o{i}" for i in range(len(order))])
+    places = [f"_o{i}" for i in range(len(order))]
+    placed = dense_index(base, ["subject_id"], places, span_of="t" if time else None)
     if time is None:
         placed = placed.withColumn("t", F.col("idx") / F.lit(fs))
+    else:
+        placed = _since_start(placed)
     return placed.select("subject_id", "t", "idx", "value")
 
 
