@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 Matrix = np.ndarray
 
 
-def _same_length(batch: pa.Array) -> Iterator[tuple[np.ndarray, Matrix]]:
+def same_length(batch: pa.Array) -> Iterator[tuple[np.ndarray, Matrix]]:
     """(row numbers, (rows, n) matrix) per window length; null and empty windows are left out."""
     lengths = np.asarray(batch.value_lengths().fill_null(0))
     for n in np.unique(lengths[lengths > 0]):
@@ -28,7 +28,7 @@ def _same_length(batch: pa.Array) -> Iterator[tuple[np.ndarray, Matrix]]:
 
 
 def _three_axes(batch: pa.Array) -> Iterator[tuple[np.ndarray, Matrix]]:
-    """As :func:`_same_length` for three-axis windows, giving the L2 norm over the axes."""
+    """As :func:`same_length` for three-axis windows, giving the L2 norm over the axes."""
     axes = np.asarray(batch.value_lengths().fill_null(0))
     have = np.flatnonzero(np.asarray(batch.is_valid()))
     if (axes[have] != 3).any():
@@ -36,7 +36,7 @@ def _three_axes(batch: pa.Array) -> Iterator[tuple[np.ndarray, Matrix]]:
     if not len(have):
         return
     inner = batch.take(pa.array(have)).flatten()
-    for where, matrix in _same_length(inner):
+    for where, matrix in same_length(inner):
         rows = have[where.reshape(-1, 3)[:, 0] // 3]
         yield rows, np.sqrt((matrix.reshape(len(rows), 3, -1) ** 2).sum(axis=1))
 
@@ -62,7 +62,7 @@ def _numbers(size: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
 
 def window_map(x: Column, fn: Callable[[Matrix], Matrix], axes: bool = False) -> Column:
     """``fn``: (rows, n) matrix -> (rows, m) matrix, as an array column."""
-    split = _three_axes if axes else _same_length
+    split = _three_axes if axes else same_length
 
     @F.arrow_udf("array<double>")
     def run(batch: pa.Array) -> pa.Array:
@@ -76,7 +76,7 @@ def window_number(x: Column, fn: Callable[[Matrix], np.ndarray]) -> Column:
 
     @F.arrow_udf("double")
     def run(batch: pa.Array) -> pa.Array:
-        return _numbers(len(batch), [(where, fn(m)) for where, m in _same_length(batch)])
+        return _numbers(len(batch), [(where, fn(m)) for where, m in same_length(batch)])
 
     return run(x)
 
@@ -89,7 +89,7 @@ def window_struct(
     axes: bool = False,
 ) -> Column:
     """``fn``: (rows, n) matrix -> named numbers (or arrays) per row, as a STRUCT column."""
-    split = _three_axes if axes else _same_length
+    split = _three_axes if axes else same_length
     kinds = [f"`{n}`:{'array<double>' if n in arrays else 'double'}" for n in names]
 
     @F.arrow_udf(f"struct<{','.join(kinds)}>")

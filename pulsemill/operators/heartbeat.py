@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pulsemill.functions.arrays import first_difference, let, percentile_of_sorted
+from pulsemill.functions.batches import same_length
 from pulsemill.schemas import HR_RANGE
 
 # fixed values: pass band in Hz and filter order
@@ -34,12 +35,14 @@ def bandpass(fs: float, lo: float = BAND[0], hi: float = BAND[1], order: int = O
 
 
 def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Direct-form II transposed, stepping through time for all rows at once."""
+    """Direct-form II transposed along axis 0, stepping through time for all columns at once."""
     y = np.empty_like(x)
-    for t in range(x.shape[1]):
-        y[:, t] = b[0] * x[:, t] + state[:, 0]
-        shifted = np.concatenate([state[:, 1:], np.zeros((len(x), 1))], axis=1)
-        state = shifted + np.outer(x[:, t], b[1:]) - np.outer(y[:, t], a[1:])
+    b_rest, a_rest = b[1:, None], a[1:, None]
+    for t, now in enumerate(x):
+        y[t] = b[0] * now + state[0]
+        state[:-1] = state[1:]
+        state[-1] = 0.0
+        state += b_rest * now - a_rest * y[t]
     return y
 
 
@@ -50,12 +53,13 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
         np.eye(len(a) - 1) - np.vstack([-a[1:], np.eye(len(a) - 2, len(a) - 1)]).T,
         b[1:] - a[1:] * b[0],
     )
-    left = 2 * x[:, :1] - x[:, pad:0:-1]
-    right = 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]
-    y = np.concatenate([left, x, right], axis=1)
+    x = np.ascontiguousarray(x.T)
+    left = 2 * x[:1] - x[pad:0:-1]
+    right = 2 * x[-1:] - x[-2 : -pad - 2 : -1]
+    y = np.concatenate([left, x, right])
     for _ in range(2):
-        y = _filter(b, a, y, np.outer(y[:, 0], steady))[:, ::-1]
-    return y[:, pad:-pad]
+        y = _filter(b, a, y, np.outer(steady, y[0]))[::-1]
+    return y[pad:-pad].T
 
 
 def peaks(x: np.ndarray, distance: int, height: float) -> np.ndarray:
@@ -67,6 +71,8 @@ def peaks(x: np.ndarray, distance: int, height: float) -> np.ndarray:
     inner = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
     at = (starts[inner] + ends[inner]) // 2
     at = at[x[at] >= height]
+    if (np.diff(at) >= distance).all():
+        return at
     keep = np.ones(len(at), dtype=bool)
     for i in np.argsort(x[at], kind="stable")[::-1]:
         if keep[i]:
@@ -79,21 +85,25 @@ def peaks(x: np.ndarray, distance: int, height: float) -> np.ndarray:
 def r_peaks(ecg: Column, fs: float, max_bpm: float = HR_RANGE[1]) -> Column:
     """Sample positions of the R peaks among the finite samples; null below two seconds."""
 
+    def beats(matrix: np.ndarray) -> list[np.ndarray]:
+        smooth = zero_phase(*bandpass(fs), matrix)
+        return [peaks(y, int(fs * 60 / max_bpm), float(np.std(y))) for y in smooth]
+
     @F.arrow_udf("array<int>")
     def find(batch: pa.Array) -> pa.Array:
-        b, a = bandpass(fs)
-        rows = [None if r is None else np.array(r, dtype=float) for r in batch.to_pylist()]
-        rows = [None if r is None else r[np.isfinite(r)] for r in rows]
-        out: list = [None] * len(rows)
-        lengths = np.array([0 if r is None else len(r) for r in rows])
-        for n in np.unique(lengths[lengths >= int(fs * 2)]):
-            where = np.flatnonzero(lengths == n)
-            smooth = zero_phase(b, a, np.stack([rows[i] for i in where]))
-            for i, y in zip(where, smooth):
-                out[i] = peaks(y, int(fs * 60 / max_bpm), float(np.std(y)))
+        out: list = [None] * len(batch)
+        for where, matrix in same_length(batch):
+            finite = np.isfinite(matrix)
+            whole = finite.all(axis=1)
+            groups = [(where[whole], matrix[whole])]
+            groups += [(where[[i]], matrix[i, finite[i]][None, :]) for i in np.flatnonzero(~whole)]
+            for rows, part in groups:
+                if len(rows) and part.shape[1] >= int(fs * 2):
+                    for i, found in zip(rows, beats(part)):
+                        out[i] = found
         return pa.array(out, type=pa.list_(pa.int32()))
 
-    return find(ecg.cast("array<double>"))
+    return find(ecg)
 
 
 def rate(found: Column, fs: float, valid_range: tuple[float, float] = HR_RANGE) -> Column:

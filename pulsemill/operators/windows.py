@@ -55,16 +55,23 @@ def time_windows(
     value: str = "value",
     t: str = "t",
 ) -> DataFrame:
-    """Windows cut by time instead of position; kept where all samples arrived."""
+    """Windows cut by time instead of position; kept where exactly all samples arrived.
+
+    Many samples can share one time bucket (a stuck clock), so buckets are counted
+    first and only samples of complete windows are gathered.
+    """
     size = int(seconds * fs)
-    return (
-        samples.groupBy(*keys, F.floor(F.col(t) / seconds).alias("window_idx"))
-        .agg(
-            F.count(F.lit(1)).alias("n_samples"),
-            F.sort_array(F.collect_list(F.struct(t, value))).alias("pairs"),
-        )
+    group = [*keys, "window_idx"]
+    placed = samples.withColumn("window_idx", F.floor(F.col(t) / seconds))
+    complete = (
+        placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n_samples"))
         .where(F.col("n_samples") == size)
-        .select(*keys, "window_idx", F.transform("pairs", lambda p: p[value]).alias("x"))
+    )
+    return (
+        placed.join(complete, group, "left_semi")
+        .groupBy(*group)
+        .agg(F.sort_array(F.collect_list(F.struct(t, value))).alias("pairs"))
+        .select(*group, F.transform("pairs", lambda p: p[value]).alias("x"))
     )
 
 

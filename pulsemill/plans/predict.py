@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsemill.functions.batches import window_number
 from pulsemill.functions.labels import decide, sigmoid
-from pulsemill.operators.records import fold_rows, prediction_frame, with_split
 from pulsemill.operators.features import feature_table
+from pulsemill.operators.records import fold_rows, prediction_frame, with_split
 from pulsemill.plans import train
 
 
@@ -28,26 +28,16 @@ def predict_saved(model: train.FeatureModel, target: DataFrame, threshold: float
 def score_windows(
     windows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], column: str, task: str
 ) -> DataFrame:
-    """Predictions of an external model over equally long windows.
+    """Predictions of an external model over window arrays.
 
     ``scorer`` takes a (rows, n) matrix and returns one number per row: a logit
     for quality, a rate for HR. It runs per Arrow batch inside the tasks.
     """
-    kept = [c for c in ("record_id", "subject_id", "quality_label", "hr_ref") if c in windows.columns]
-    rows = windows.select(*kept, F.col(column).cast("array<double>").alias("_x"))
-    schema = rows.drop("_x").withColumn("_out", F.lit(0.0).cast("double")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = batch.column("_x")
-            matrix = x.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            scores = np.asarray(scorer(matrix), dtype=np.float64).reshape(batch.num_rows)
-            columns = [batch.column(c) for c in kept] + [pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "_out"])
-
-    out = rows.mapInArrow(run, schema)
+
+    def run(matrix: np.ndarray) -> np.ndarray:
+        return np.asarray(scorer(matrix), dtype=np.float64).reshape(len(matrix))
+
+    out = windows.withColumn("_out", window_number(F.col(column), run))
     if task == "hr":
         return prediction_frame(out, "hr", F.col("_out"))
     prob = sigmoid(F.col("_out"))

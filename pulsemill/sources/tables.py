@@ -113,6 +113,13 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     )
 
 
+def write_prediction_table(predictions: DataFrame, path: str) -> None:
+    """Predictions of any size as parquet, one folder per run."""
+    predictions.select("run_id", *schemas.PREDICTIONS.names).write.mode("append").partitionBy(
+        "run_id"
+    ).parquet(path)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Run records; a file that is no run record is left out."""
     table = spark.read.schema(schemas.LEDGER).json(path, multiLine=True, mode="DROPMALFORMED")

@@ -4,12 +4,12 @@ import sys
 
 from pyspark import cloudpickle
 
-from queryset import answers, checks, hr, ledger, marts, models, quality, records, series, signals, splits
+from queryset import answers, checks, files, hr, ledger, marts, models, quality, records, series, signals, splits
 from queryset.base import ORACLES, QUERIES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 __all__ = [
-    "ORACLES", "QUERIES", "answers", "checks", "hr", "ledger", "marts", "models", "quality",
+    "ORACLES", "QUERIES", "answers", "checks", "files", "hr", "ledger", "marts", "models", "quality",
     "records", "series", "signals", "splits",
 ]

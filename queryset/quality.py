@@ -172,7 +172,7 @@ def frozen_threshold(spark, sf):
     chosen = metrics.best_threshold(rows.where("fold = 'val'")).drop("macro_f1")
     return (
         rows.where("fold = 'test'")
-        .join(F.broadcast(chosen), "run_id")  # one row per run
+        .join(chosen, "run_id")
         .select("run_id", "record_id", "prob_good",
                 decide(F.col("prob_good"), F.col("threshold")).alias("y_pred"))
     )
