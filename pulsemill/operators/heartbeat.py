@@ -103,7 +103,9 @@ def r_peaks(ecg: Column, fs: float, max_bpm: float = HR_RANGE[1]) -> Column:
                         out[i] = found
         return pa.array(out, type=pa.list_(pa.int32()))
 
-    return find(ecg)
+    # not deterministic as far as the optimizer goes: a filter on the rate would
+    # otherwise be pushed below and find all beats a second time
+    return find.asNondeterministic()(ecg)
 
 
 def rate(found: Column, fs: float, valid_range: tuple[float, float] = HR_RANGE) -> Column:

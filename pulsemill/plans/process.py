@@ -47,38 +47,32 @@ def watch_windows(
 ) -> DataFrame:
     """Registry rows from watch series: paired windows with an ECG heart rate and an activity.
 
-    The ECG only gives the label. Windows with a bad sample or no trustworthy
-    heart rate are dropped. Activities are looked up for the window keys alone:
-    joined back on (subject, window), the partitioning the sample arrays already
-    have, they cost the arrays no further shuffle.
+    The ECG only gives the label: its windows become a rate (``hr``, an expression
+    over the window ``x``) before they meet the PPG windows, so their samples
+    travel once. Windows with a bad sample or no trustworthy rate are dropped.
+    Activities are looked up for the window keys alone. Both are joined on
+    (subject, window), the partitioning the PPG windows already have.
     """
     n_ppg, n_ecg = int(seconds * ppg_fs), int(seconds * ecg_fs)
     keys = ["subject_id", "window_idx"]
+    beats = windows.tumbling_windows(ecg, n_ecg)
+    if hr is None:
+        beats = beats.withColumn("beats", heartbeat.r_peaks(F.col("x"), ecg_fs))
+        hr = heartbeat.rate(F.col("beats"), ecg_fs)
+    rates = beats.select(*keys, hr.alias("hr_ref")).where("hr_ref IS NOT NULL")
     starts = windows.window_keys(ppg, n_ppg).withColumn(
         "t0", windows.window_start(F.col("window_idx"), seconds)
     )
     activity = windows.label_as_of(starts, events, ["subject_id"], "t0", "t", "activity").drop("t0")
-    pairs = windows.pair_windows(
-        windows.usable(windows.tumbling_windows(ppg, n_ppg), n_ppg),
-        windows.tumbling_windows(ecg, n_ecg),
-        ["subject_id"],
-        ("_ppg", "_ecg"),
-    ).join(activity, keys)
-    if hr is None:
-        pairs = pairs.withColumn("_beats", heartbeat.r_peaks(F.col("x_ecg"), ecg_fs))
-        hr = heartbeat.rate(F.col("_beats"), ecg_fs)
-    x = F.col("x_ppg").cast("array<double>")
-    rated = (
-        pairs.withColumn("hr_ref", hr)
-        .where("hr_ref IS NOT NULL")
-        .withColumn("ppg", spectral.resample(arrays.invert(x) if invert else x, ppg_fs, target_fs))
-        .select(
-            windows.window_id(F.col("subject_id"), F.col("window_idx")).alias("record_id"),
-            "subject_id",
-            "hr_ref",
-            F.col("ppg").cast("array<float>").alias("ppg"),
-            "activity",
-        )
+    whole = windows.usable(windows.tumbling_windows(ppg, n_ppg), n_ppg)
+    x = F.col("x").cast("array<double>")
+    x = spectral.resample(arrays.invert(x) if invert else x, ppg_fs, target_fs)
+    rated = whole.join(rates, keys).join(activity, keys).select(
+        windows.window_id(F.col("subject_id"), F.col("window_idx")).alias("record_id"),
+        "subject_id",
+        "hr_ref",
+        x.cast("array<float>").alias("ppg"),
+        "activity",
     )
     none = F.lit(None)
     return rated.select(

@@ -158,7 +158,6 @@ def json_report_file(spark, sf):
 
 
 # -- raw signal files, made from the embeddings --------------------------------------------------
-@F.arrow_udf("binary")
 def _npy(batch: pa.Array) -> pa.Array:
     out = []
     for row in batch:
@@ -168,7 +167,6 @@ def _npy(batch: pa.Array) -> pa.Array:
     return pa.array(out, type=pa.binary())
 
 
-@F.arrow_udf("binary")
 def _npz(names: pa.Array, channels: pa.Array) -> pa.Array:
     out = []
     for name, rows in zip(names.to_pylist(), channels.to_pylist()):
@@ -189,7 +187,7 @@ def _npz(names: pa.Array, channels: pa.Array) -> pa.Array:
 )
 def decoded_windows(spark, sf):
     """``.npy`` contents to arrays; files of one label are cut short and must be rejected."""
-    content = _npy(F.col("embedding"))
+    content = F.arrow_udf(_npy, "binary")(F.col("embedding"))
     files = table(spark, sf, "embeddings").withColumn("npy", content).select(
         F.format_string("/raw/%d.npy", F.col("vec_id")).alias("path"),
         F.when(F.col("label") == 7, F.substring("npy", 1, 100)).otherwise(F.col("npy")).alias("content"),
@@ -233,8 +231,9 @@ def green_channel(spark, sf):
         .when(label < 9, "a,b,c").otherwise("PPG")
     )
     channels = F.array(*[F.slice("embedding", 1 + 21 * i, 21) for i in range(3)])
+    packed = F.arrow_udf(_npz, "binary")(names, channels)
     files = table(spark, sf, "embeddings").select(
-        F.format_string("/raw/%d.npz", F.col("vec_id")).alias("path"), _npz(names, channels).alias("content")
+        F.format_string("/raw/%d.npz", F.col("vec_id")).alias("path"), packed.alias("content")
     )
     rows = signals.extract_ppg(signals.decode_raw_ppg(files), length=21)
     return rows.select(

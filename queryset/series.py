@@ -192,7 +192,7 @@ def watch_registry(spark, sf):
 
     A view window stands for PPG, a click window for ECG, its mean for the rate.
     """
-    mean = arrays.mean(F.col("x_ecg"))
+    mean = arrays.mean(F.col("x"))
     rows = watch_windows(
         _series(spark, sf, "view"), _series(spark, sf, "click"),
         watch.event_log(markers(spark, sf), key="user_id"),

@@ -57,7 +57,7 @@ def test_watch_windows_drop_what_cannot_be_rated(spark):
     ecg = spark.createDataFrame(
         [("a", i, 500.0 if i < 4 else 70.0) for i in range(16)], "subject_id STRING, idx BIGINT, value DOUBLE")
     log = spark.createDataFrame([("a", 0.0, "Sitting"), ("a", 25.0, "Walking")], "subject_id STRING, t DOUBLE, activity STRING")
-    mean = F.aggregate("x_ecg", F.lit(0.0), lambda s, v: s + v) / F.size("x_ecg")
+    mean = F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x")
     out = watch_windows(ppg, ecg, log, seconds=10.0, ppg_fs=0.4, ecg_fs=0.4, target_fs=0.4,
                         hr=F.when(mean.between(30, 220), mean), dataset="d")
     rows = {r["record_id"]: r for r in out.collect()}
