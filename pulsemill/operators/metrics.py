@@ -6,13 +6,17 @@ holds most of the rows costs no more than many small ones.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsemill.operators.scale import EARLIER, require_rows
+from pulsemill.schemas import INT, LONG, REAL, table
 
 STEPS = 199
 
@@ -81,62 +85,68 @@ def confusion_matrix() -> Column:
     return F.array(F.array("tn", "fp"), F.array("fn", "tp"))
 
 
+def _pairs_in_order(by: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Count one partition of rows sorted by (run, score): one row per run met in it.
+
+    ``inside`` is the number of (good, bad) pairs in order among the partition's own rows.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        totals: dict[tuple, list] = {}
+        for batch in batches:
+            for run, rows in batch.groupby(by, sort=False, dropna=False):
+                seen = totals.setdefault(run, [0, 0, 0.0])
+                p, n = rows["pos"].to_numpy(), rows["neg"].to_numpy()
+                seen[2] += float((p * (seen[1] + n.cumsum() - 0.5 * n)).sum())
+                seen[0] += int(p.sum())
+                seen[1] += int(n.sum())
+        rows = [(*run, part, *seen) for run, seen in totals.items()]
+        yield pd.DataFrame(rows, columns=[*by, "part", "pos", "neg", "inside"])
+
+    return count
+
+
 def roc_auc(rows: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """Exact area under the ROC curve, ties counting half; null for a single class.
 
-    The area is the share of (good, bad) pairs in order. Pairs are counted on a
-    tree of score intervals: equal scores are merged first, then scores under
-    2**-30, 2**-20 and 2**-10 wide intervals. A pair is counted where its two
-    scores part, so each running sum spans one node's children (about 1024 for a
-    score in [0, 1]) and none spans a whole run.
+    The area is the share of (good, bad) pairs in order. Equal scores are merged,
+    so copies cost nothing, then all scores are range-sorted: a run that holds
+    most rows spreads over many partitions. Each partition counts its own pairs;
+    pairs across partitions follow from one row per (run, partition).
     """
     by = list(by)
-    leaf = (
+    merged = (
         rows.where("prob_good IS NOT NULL")
         .groupBy(*by, "prob_good")
         .agg(F.count_if(F.col("y_true") == 1).alias("pos"),
              F.count_if(F.col("y_true") == 0).alias("neg"))
-        .select(
-            *by,
-            *[F.floor(F.col("prob_good") * F.lit(2.0**b)).alias(f"b{b}") for b in (10, 20, 30)],
-            F.col("prob_good").alias("leaf"),
-            "pos",
-            "neg",
-        )
     )
-    levels = [["b10"], ["b10", "b20"], ["b10", "b20", "b30"], ["b10", "b20", "b30", "leaf"]]
-    terms = []
-    nodes = leaf
-    for level in reversed(levels):
-        if level != levels[-1]:
-            nodes = nodes.groupBy(*by, *level).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        siblings = W.partitionBy(*by, *level[:-1]).orderBy(level[-1]).rowsBetween(*EARLIER)
-        below = F.coalesce(F.sum("neg").over(siblings), F.lit(0)).cast("double")
-        tie = 0.5 * F.col("neg") if level == levels[-1] else F.lit(0.0)
-        own = [F.col("pos"), F.col("neg")] if level == levels[-1] else [F.lit(0), F.lit(0)]
-        terms.append(
-            nodes.select(
-                *by,
-                (F.col("pos") * (below + tie)).alias("pairs"),
-                own[0].cast("bigint").alias("pos"),
-                own[1].cast("bigint").alias("neg"),
-            )
+    counts = table(part=INT, pos=LONG, neg=LONG, inside=REAL)
+    counted = (
+        merged.repartitionByRange(*by, "prob_good")
+        .sortWithinPartitions(*by, "prob_good")
+        .select(*by, "pos", "neg")
+        .mapInPandas(_pairs_in_order(by), T.StructType([*merged.select(*by).schema, *counts]))
+    )
+    earlier = W.partitionBy(*by).orderBy("part").rowsBetween(*EARLIER)
+    below = F.coalesce(F.sum("neg").over(earlier), F.lit(0)).cast("double")
+    return (
+        counted.withColumn("pairs", F.col("inside") + F.col("pos") * below)
+        .groupBy(*by)
+        .agg(
+            F.try_divide(
+                F.sum("pairs"), F.sum("pos").cast("double") * F.sum("neg").cast("double")
+            ).alias("roc_auc"),
+            (F.sum("pos") + F.sum("neg")).alias("n_with_score"),
         )
-    every = terms[0]
-    for term in terms[1:]:
-        every = every.unionByName(term)
-    return every.groupBy(*by).agg(
-        F.try_divide(
-            F.sum("pairs"), F.sum("pos").cast("double") * F.sum("neg").cast("double")
-        ).alias("roc_auc"),
-        (F.sum("pos") + F.sum("neg")).alias("n_with_score"),
     )
 
 
 def quality_metrics(predictions: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """n, Macro-F1, accuracy, per-class scores, confusion matrix and AUC per run."""
     rows = scored(predictions)
-    table = confusion(rows, by).select(
+    scores = confusion(rows, by).select(
         *by,
         (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n"),
         macro_f1().alias("macro_f1"),
@@ -144,7 +154,7 @@ def quality_metrics(predictions: DataFrame, by: Sequence[str] = ("run_id",)) ->
         *[c.alias(name) for name, c in class_scores().items()],
         confusion_matrix().alias("confusion_matrix"),
     )
-    return table.join(roc_auc(rows, by).drop("n_with_score"), list(by), "left")
+    return scores.join(roc_auc(rows, by).drop("n_with_score"), list(by), "left")
 
 
 def error_columns(truth: Column, predicted: Column) -> list[Column]:

@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 from pulsemill.functions.labels import event_name
 from pulsemill.operators.scale import dense_index, join_dimension
 
-# fixed values: column keys looked for in this order, and sampling rates
+# fixed values: column keys looked for in this order, folder patterns, sampling rates
 TIME_KEYS = ("timestamp", "time", "unix", "ts")
 VALUE_KEYS = {"ppg": ("ppg", "green", "value"), "ecg": ("ecg", "value", "mv")}
+HOME_FOLDERS = {
+    "ppg": "^GalaxyWatch/[^/]+$", "ecg": "^Polar(%20| )H10/[^/]+$", "event": "^[^/]+$",
+}
 EVENT_KEYS = ("event", "session", "status", "activity", "marker")
 PPG_FS, ECG_FS = 25.0, 130.0
 
@@ -123,11 +126,9 @@ def discover(spark: SparkSession, raw: str) -> DataFrame:
         .when(name.contains("Event"), "event")
     )
     below = F.regexp_extract(path, r"/P[^/]*/(.*)$", 1)
-    home = (
-        ((kind == "ppg") & below.rlike("^GalaxyWatch/[^/]+$"))
-        | ((kind == "ecg") & below.rlike("^Polar(%20| )H10/[^/]+$"))
-        | ((kind == "event") & below.rlike("^[^/]+$"))
-    )
+    home = F.lit(False)
+    for name_of_kind, pattern in HOME_FOLDERS.items():
+        home = home | ((kind == name_of_kind) & below.rlike(pattern))
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -145,7 +145,7 @@ def prompt_records(spark, sf):
 def prompt_series_axes(spark, sf):
     """The series of quality prompt records in axes mode, one row per entry."""
     mart = marts.prompt_mart(signal_registry(spark, sf), "quality", acc_mode="axes")
-    rows = mart.select("record_id", F.posexplode("time_series").alias("pos", "e"))
+    rows = mart.select("record_id", F.posexplode_outer("time_series").alias("pos", "e"))
     weighted = F.transform("e.series", lambda v, i: v * (i + 1))
     return rows.select(
         "record_id", "pos", "e.text", F.size("e.series").alias("n"),

@@ -27,7 +27,7 @@ ACC_BLOCK = [SIGNALS, PPG_RAW, ACC_RAW, *block_sql("acc", 100.0, 0.5, 10.0)]
 
 def _cells(df, array, *keep, value="x"):
     """One row per sample of an array column."""
-    return df.select("vec_id", *keep, F.posexplode(array).alias("i", value))
+    return df.select("vec_id", *keep, F.posexplode_outer(array).alias("i", value))
 
 
 @query(

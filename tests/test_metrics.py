@@ -55,12 +55,26 @@ def test_macro_f1_counts_present_classes_only(spark):
     assert two["macro_f1"] == pytest.approx((2 / 3 + 0) / 2)
 
 
+def test_auc_of_several_runs_at_once(spark, many_runs):
+    rng = np.random.default_rng(9)
+    frames, want = [], {}
+    for run, n in (("a", 500), ("b", 20), ("c", 7)):
+        truth, prob = rng.integers(0, 2, n).tolist(), rng.integers(0, 90, n) / 90
+        frames.append(frame(spark, truth, truth, prob.tolist(), run=run))
+        want[run] = brute_auc(truth, prob.tolist())
+    both = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    got = {r["run_id"]: r["roc_auc"] for r in metrics.roc_auc(both).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    pair = {r["run_id"]: r["roc_auc"] for r in metrics.roc_auc(both, ["run_id", "task"]).collect()}
+    assert pair == got
+
+
 def test_auc_single_class_is_null(spark):
     row = metrics.roc_auc(frame(spark, [1, 1], [1, 1], [0.2, 0.9])).first()
     assert row["roc_auc"] is None
 
 
-def test_auc_and_threshold_on_awkward_scores(spark):
+def test_auc_and_threshold_on_awkward_scores(spark, many_runs):
     rng = np.random.default_rng(1)
     truth = rng.integers(0, 2, 300).tolist()
     grid = (rng.integers(0, 201, 100) * 0.005).tolist()  # exactly on the threshold grid
