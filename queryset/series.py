@@ -249,3 +249,24 @@ def ecg_heart_rate(spark, sf):
     return beats.select(
         "record_id", F.size("beats").alias("n_beats"), heartbeat.rate(F.col("beats"), 32.0).alias("hr")
     )
+
+
+@query(
+    "beat_rate",
+    sql(
+        [SAMPLES,
+         f"""gaps AS (
+           SELECT subject_id, idx // {SIZE} AS window_idx,
+                  value - lag(value) OVER (PARTITION BY subject_id, idx // {SIZE} ORDER BY value) AS gap
+           FROM samples),
+         rates AS (SELECT subject_id, window_idx, 60e0 / (median(gap) / 10e0) AS hr FROM gaps
+                   GROUP BY subject_id, window_idx HAVING count(gap) = {SIZE} - 1)"""],
+        f"SELECT subject_id, window_idx, {r6('CASE WHEN hr BETWEEN 30 AND 220 THEN hr END')} AS hr FROM rates",
+    ),
+)
+def beat_rate(spark, sf):
+    """The rate rule on given beat positions: a window's sorted values, at 10 per second."""
+    found = F.sort_array("x")
+    return windows.tumbling_windows(_series(spark, sf), SIZE).select(
+        "subject_id", "window_idx", heartbeat.rate(found, 10.0).alias("hr")
+    )

@@ -124,6 +124,17 @@ def test_prediction_files_keep_ids_and_texts(spark, tmp_path):
     assert rows["00123"]["raw_response"] == 'said "x",\nAnswer: maybe' and rows["00123"]["y_pred"] is None
 
 
+def test_prediction_table_by_run(spark, tmp_path):
+    both = predictions(spark).withColumn("run_id", F.lit("a")).unionByName(
+        predictions(spark).withColumn("run_id", F.lit("b")))
+    tables.write_prediction_table(both, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.where("run_id = 'b'").count() == 2 and "PartitionFilters: [isnotnull(run_id" in (
+        back.where("run_id = 'b'")._jdf.queryExecution().toString())
+    tables.write_split_table(spark.createDataFrame([("x", "test")], "subject_id STRING, fold STRING"), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 1
+
+
 def test_prediction_contract(spark):
     good = predictions(spark)
     assert constraints.prediction_violations(good).isEmpty()

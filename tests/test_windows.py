@@ -19,6 +19,13 @@ def test_only_complete_windows_in_order(spark):
     assert rows == {("a", 0): [0, 1, 2, 3], ("a", 1): [4, 5, 6, 7], ("c", 0): [200, 201, 202, 203]}
 
 
+def test_time_windows_ignore_a_stuck_clock(spark):
+    rows = [("a", 0.5 * i, float(i)) for i in range(8)] + [("a", 100.0, float(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "subject_id STRING, t DOUBLE, value DOUBLE")
+    got = {r["window_idx"]: r["x"] for r in windows.time_windows(df, 2.0, 2.0).collect()}
+    assert got == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7]}
+
+
 def test_pairs_keep_the_shorter_signal(spark):
     a = windows.tumbling_windows(series(spark, {"a": 12, "b": 4}), 4)
     b = windows.tumbling_windows(series(spark, {"a": 5}), 2)
