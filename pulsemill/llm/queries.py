@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemill.llm import decontam, mixing, quality
+from pulsemill.llm import decontam, mixing, quality, tokenids
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op1_token_ids")
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, folder = tokenids.write(table(spark, sf_dir, "documents"))
+    return tokenids.read(catalog, folder)
