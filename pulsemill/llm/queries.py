@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemill.llm import decontam, mixing, quality, tokenids
+from pulsemill.llm import decontam, mixing, quality, tokenids, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,17 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog, folder = tokenids.write(table(spark, sf_dir, "documents"))
     return tokenids.read(catalog, folder)
+
+
+@query("op7_warc", r"""
+WITH p AS (
+  SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
+         CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN f.payload_digest IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, folder = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(catalog, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
