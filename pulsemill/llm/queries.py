@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemill.llm import decontam, mixing, quality, tokenids, warc
+from pulsemill.llm import decontam, mixing, quality, tokenids, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,9 @@ FROM p LEFT JOIN f USING (payload_digest)""")
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog, folder = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(catalog, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("text")

@@ -58,6 +58,14 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # index of each document's first word, and the end
     hash: np.ndarray
+    total: np.ndarray  # running sums from which the hash of any run of bytes follows
+
+    def prefix(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``n`` bytes of the words that are longer, and these words' places."""
+        at = np.flatnonzero(self.end - self.start > n)
+        start = self.start[at]
+        spread = (self.total[start + n] - self.total[start]) * _power("down", len(self.data) + 1)[start]
+        return mix(spread ^ mix(np.full(len(at), n + (1 << 32), np.uint64))), at
 
     @property
     def count(self) -> np.ndarray:
@@ -104,7 +112,7 @@ def find(texts: pa.Array, table: np.ndarray = NOT_SPACE, fold: np.ndarray = SAME
     np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _power("up", n), out=total[1:])
     spread = (total[end] - total[start]) * _power("down", n + 1)[start]
     first = np.searchsorted(start, bounds)
-    return Words(data, bounds, start, end, first, mix(spread ^ mix((end - start).astype(np.uint64))))
+    return Words(data, bounds, start, end, first, mix(spread ^ mix((end - start).astype(np.uint64))), total)
 
 
 def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
