@@ -32,7 +32,9 @@ BLOCK = 512
 #: tokens of a file, about; one document is never cut
 FILE_TOKENS = 4_000_000
 #: distinct words whose ids a task remembers
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
+#: words that are encoded as one text
+TOGETHER = 500
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: magic, documents, tokens, levels
@@ -155,23 +157,47 @@ def encoder(tokenizer_path: str):
     """A function from texts to arrays of ids, equal to the tokenizer's own on the whole texts.
 
     The tokenizer drops white space and never merges across it, so each distinct word is
-    encoded once, by the library, and texts are put together from words. At most
-    ``REMEMBERED`` words are kept between calls.
+    encoded once, by the library, and texts are put together from words. Words go to the
+    library many at a time with a special token between them, where the library cuts a text
+    before anything else. Words that hold such a token themselves, and all words of a
+    tokenizer without one, are encoded alone. At most ``REMEMBERED`` words are kept between
+    calls.
     """
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks use the cores already
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[str, bytes] = {}
+    special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
+    cut, mark = next(iter(special.items()), (None, None))
+    known: dict[str, bytes] = {"": b""}
+
+    def learn(words: list[str]) -> None:
+        alone = words if mark is None else []
+        for at in range(0, 0 if mark is None else len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(tokenizer.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == cut)
+            if len(ends) != len(some) - 1:
+                alone += some
+                continue
+            raw = ids.tobytes()
+            known.update(zip(some, (raw[i:j] for i, j in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)], strict=True)), strict=True))
+        for at in range(0, len(alone), TOGETHER):
+            some = alone[at : at + TOGETHER]
+            for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws}.difference(known))
+        words = set().union(*split)
+        new = words.difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list({w for ws in split for w in ws})
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in split]
+            new = words
+        learn(list(new))
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
     return encode
 
