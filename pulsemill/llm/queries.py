@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemill.llm import decontam, mixing, quality, tokenids, toxicity, warc
+from pulsemill.llm import decontam, mixing, quality, secrets, tokenids, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,48 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.grade(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """(doc, start, rank, kind, stop) of a pattern: positions from the lengths of what stands between matches."""
+    whole = f"(?i)({pattern[4:]})" if pattern.startswith("(?i)") else f"({pattern})"
+    key = group + 1 if group else 1
+    return f"""
+SELECT r, s - n AS start, {rank} AS rank, '{kind}' AS kind, s AS stop FROM (
+  SELECT r, i, len(m[i]) AS n, len(k[i]) AS key,
+         sum(len(g[i]) + len(m[i])) OVER (PARTITION BY r ORDER BY i) AS s
+  FROM (SELECT r, m, k, g, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT r, regexp_extract_all(text, {_quote(whole)}, 1) AS m, regexp_extract_all(text, {_quote(whole)}, {key}) AS k,
+           string_split_regex(text, {_quote(pattern)}) AS g FROM d)))
+WHERE key >= {least}"""
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SECRETS = "\nUNION ALL".join(
+    _spans_sql(r.name, i, r.pattern, r.group, r.least) for i, r in enumerate(secrets.RULES)
+)
+
+
+@query("op2_secrets", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({_SECRETS}),
+per AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (r)""")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"), secrets.new_ledger(spark))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = tuple(r.name for r in secrets.BASE)
+    return out.select(
+        "doc_id", *(count(k).alias(f"n_{k}") for k in base),
+        F.sha2(secrets.as_text(F.col("spans"), base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"),
+    )
