@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemill.llm import decontam, mixing, quality, secrets, tokenids, toxicity, warc
+from pulsemill.llm import decontam, extract, mixing, quality, secrets, tokenids, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -177,3 +177,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{k}") for k in base),
         F.sha2(secrets.as_text(F.col("spans"), base), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"),
     )
+
+
+@query("op5_html")
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract.extract(pages.select("page_id", "url", "html"), extract.train(pages))
