@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemill.llm import decontam, extract, mixing, quality, secrets, tokenids, toxicity, warc
+from pulsemill.llm import decontam, extract, mixing, quality, secrets, substrings, tokenids, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +183,21 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return extract.extract(pages.select("page_id", "url", "html"), extract.train(pages))
+
+
+@query("op6_substrings", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT r, list(DISTINCT p) AS ps FROM (
+  SELECT r, unnest(range(i, i + 35)) AS p FROM win JOIN twice USING (g)) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN ps IS NULL THEN array_to_string(w, ' ')
+              ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(ps, x)), lambda x: w[x]), ' ') END) AS kept_sha256
+FROM d LEFT JOIN hit USING (r)""")
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
