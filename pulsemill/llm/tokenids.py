@@ -13,6 +13,9 @@ little-endian; ``HEADER`` and ``LAYOUT`` below describe them.
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,9 +35,10 @@ BLOCK = 512
 #: tokens of a file, about; one document is never cut
 FILE_TOKENS = 4_000_000
 #: distinct words whose ids a task remembers
-REMEMBERED = 500_000
-#: words that are encoded as one text
+REMEMBERED = 1_200_000
+#: words that are encoded as one text, and marks that may follow a word of letters
 TOGETHER = 500
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END = 2
 TOKENIZER = "word_bpe_49k.json"
 #: magic, documents, tokens, levels
@@ -153,50 +157,78 @@ class Reader:
 # -- tokenizing ------------------------------------------------------------------------
 
 
+def _process_cache(key: str) -> dict[str, bytes]:
+    """A dictionary that later tasks of the same Python process find again."""
+    holder = sys.modules.setdefault("_pulsemill_known_words", types.ModuleType("_pulsemill_known_words"))
+    return holder.__dict__.setdefault(key, {"": b""})
+
+
 def encoder(tokenizer_path: str):
     """A function from texts to arrays of ids, equal to the tokenizer's own on the whole texts.
 
-    The tokenizer drops white space and never merges across it, so each distinct word is
-    encoded once, by the library, and texts are put together from words. Words go to the
-    library many at a time with a special token between them, where the library cuts a text
-    before anything else. Words that hold such a token themselves, and all words of a
-    tokenizer without one, are encoded alone. At most ``REMEMBERED`` words are kept between
-    calls.
+    The tokenizer drops white space and never merges across it, nor across the border of a
+    run of letters and the marks behind it. So each distinct word is encoded once, by the
+    library, and texts are put together from words. Words of letters go to the library many
+    at a time: each ends with the one id whose token has the mark of a word's end, which
+    tells them apart; if the number of such ids is not that of the words, and for all other
+    words, each is encoded alone. At most ``REMEMBERED`` words are kept, between the tasks of
+    a process as well.
     """
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks use the cores already
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
-    cut, mark = next(iter(special.items()), (None, None))
-    known: dict[str, bytes] = {"": b""}
-
-    def learn(words: list[str]) -> None:
-        alone = words if mark is None else []
-        for at in range(0, 0 if mark is None else len(words), TOGETHER):
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    if suffix:
+        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    known = _process_cache(tokenizer_path)
+
+    def alone(words: list[str]) -> None:
+        for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
-            ids = np.array(tokenizer.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == cut)
-            if len(ends) != len(some) - 1:
-                alone += some
-                continue
-            raw = ids.tobytes()
-            known.update(zip(some, (raw[i:j] for i, j in zip([0, *(4 * ends + 4).tolist()], [*(4 * ends).tolist(), len(raw)], strict=True)), strict=True))
-        for at in range(0, len(alone), TOGETHER):
-            some = alone[at : at + TOGETHER]
             for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
 
+    def together(words: list[str]) -> None:
+        """Words of letters only."""
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            text = " ".join(some)
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids) or not text.lower().replace(" ", "").isalpha():
+                alone(some)
+                continue
+            raw, to = ids.tobytes(), (4 * ends).tolist()
+            known.update(zip(some, (raw[i:j] for i, j in zip([0, *to], to, strict=False)), strict=True))
+
+    def learn(words: set[str]) -> None:
+        if not suffix:
+            return alone(list(words))
+        letters = {w for w in words if w.isalpha()}
+        parts, rest = [], []
+        for w in words - letters:
+            stem = w.rstrip(MARKS)
+            if stem.isalpha():
+                parts.append((w, stem, w[len(stem) :]))
+            else:
+                rest.append(w)
+        letters.update(stem for _, stem, _ in parts)
+        together(list(letters.difference(known)))
+        alone(rest + list({tail for _, _, tail in parts}.difference(known)))
+        known.update((w, known[stem] + known[tail]) for w, stem, tail in parts)
+
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = set().union(*split)
         new = words.difference(known)
         if len(known) + len(new) > REMEMBERED:
             known.clear()
+            known[""] = b""
             new = words
-        learn(list(new))
+        learn(new)
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
     return encode
