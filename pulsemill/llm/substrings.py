@@ -175,7 +175,8 @@ def repeats(docs: DataFrame, *, n: int = WINDOW, k: int = GRAM, keep: tuple[str,
 
     # anchors that occur twice or more: always in the same phrase, or in several
     met = spread.groupBy("anchor").agg(F.count("*").alias("c"), F.min("phrase").alias("lo"), F.max("phrase").alias("hi"))
-    met = met.where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # written out, so that both sides of the join are shuffled for it and a hot anchor can be split
+    met = materialize(met.where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")))
     one_each = spread.join(copies.select("_row"), "_row", "left_semi")
     hits = one_each.join(met, "anchor").groupBy("_row").agg(
         F.sort_array(F.collect_list(F.when(~F.col("mixed"), F.struct("at", "size")))).alias("sure"),
@@ -187,7 +188,7 @@ def repeats(docs: DataFrame, *, n: int = WINDOW, k: int = GRAM, keep: tuple[str,
     opened = state.where(F.size("open") > 0).select("_key", "open")
     looked = materialize(_windows(docs, opened, n))
     flat = looked.select("_key", F.explode(F.arrays_zip("at", "anchor", "window")).alias("w")).select("_key", "w.*")
-    twice = flat.groupBy("anchor", "window").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    twice = materialize(flat.groupBy("anchor", "window").agg(F.count("*").alias("c")).where("c > 1").drop("c"))
     found = flat.join(twice, ["anchor", "window"]).groupBy("_key").agg(F.collect_set("at").alias("more"))
 
     single = state.where("_copies = 1").join(found, "_key", "left")
