@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsemill.llm import decontam, extract, mixing, quality, secrets, substrings, tokenids, toxicity, warc
+from pulsemill.llm import decontam, extract, jaccard, mixing, quality, secrets, substrings, tokenids, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +201,9 @@ FROM d LEFT JOIN hit USING (r)""")
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
+
+
+@query("op4_jaccard")
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.link(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
