@@ -256,7 +256,8 @@ def _open(docs: DataFrame, nodes: DataFrame, groups: DataFrame, asked: DataFrame
 
 
 def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, keep: tuple[str, ...] = ("doc_id",), id_column: str = "doc_id") -> DataFrame:
-    """Per document the ``keep`` columns, ``n_shingles``, ``component_id`` and ``_text`` (MD5 of the text).
+    """Per document the ``keep`` columns, ``n_shingles``, ``component_id``, and ``_text`` (MD5 of
+    the text), ``_row`` (a number of the row) and ``_component`` (one of its component, null if it has no shingle).
 
     ``component_id`` is the smallest id (``id_column``, one of ``keep``) among the documents
     that links connect. Documents with equal sets link. A null, empty or blank text has no
@@ -279,7 +280,24 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, keep: tu
 
     named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_set = named.join(lowest, "label").select("_set", "component_id")
-    out = base.select(*keep, "_text", F.col("n").cast("long").alias("n_shingles"), "_set").join(by_set, "_set", "left")
+    by_set = named.join(lowest, "label").select("_set", "component_id", F.col("label").alias("_component"))
+    out = base.select(*keep, "_text", "_row", F.col("n").cast("long").alias("n_shingles"), "_set").join(by_set, "_set", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_column))
-    return out.select(*keep, "n_shingles", own.alias("component_id"), "_text")
+    return out.select(*keep, "n_shingles", own.alias("component_id"), "_text", "_row", "_component")
+
+
+def one_of_each(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (null last), then of the
+    first row. Rows without a shingle are linked with nothing and all stay."""
+    others = [c for c in docs.columns if c != text]
+    named = {c: f"c{i}" for i, c in enumerate(others)}  # columns may have any names
+    given = docs.select(*(F.col(f"`{c}`").alias(to) for c, to in named.items()), F.col(text).alias("text"))
+    linked = materialize(link(given, k=k, num=num, den=den, keep=tuple(named.values()), id_column=named[id_column]))
+    first = F.min(F.struct(F.col(named[id_column]).isNull(), named[id_column], "_row")).alias("m")
+    kept = linked.where("_component IS NOT NULL").groupBy("_component").agg(first).select(F.col("m._row").alias("_row"))
+    rows = linked.join(kept, "_row", "left_semi").unionByName(linked.where("_component IS NULL"))
+    null = given.where("text IS NULL")  # these have the key of the empty text
+    texts = _keyed(given.where("text IS NOT NULL")).groupBy("_text").agg(F.first("text").alias("text"))
+    filled = rows.join(texts, "_text") if null.isEmpty() else rows.join(texts, "_text", "left")
+    back = {to: c for c, to in named.items()}
+    return filled.select(*(F.col(to).alias(c) for to, c in back.items()), "text").withColumnRenamed("text", text).select(*docs.columns)

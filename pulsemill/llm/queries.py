@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pulsemill.llm import decontam, extract, jaccard, mixing, quality, secrets, substrings, tokenids, toxicity, warc
 
 QUERIES: dict = {}
@@ -207,3 +208,6 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.link(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
