@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,7 +36,7 @@ BLOCK = 512
 #: tokens of a file, about; one document is never cut
 FILE_TOKENS = 4_000_000
 #: distinct words whose ids a task remembers
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: words that are encoded as one text, and marks that may follow a word of letters
 TOGETHER = 500
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -157,22 +158,22 @@ class Reader:
 # -- tokenizing ------------------------------------------------------------------------
 
 
-def _process_cache(key: str) -> dict[str, bytes]:
+def _process_cache(key: str) -> dict[int, bytes]:
     """A dictionary that later tasks of the same Python process find again."""
     holder = sys.modules.setdefault("_pulsemill_known_words", types.ModuleType("_pulsemill_known_words"))
-    return holder.__dict__.setdefault(key, {"": b""})
+    return holder.__dict__.setdefault(key, {})
 
 
 def encoder(tokenizer_path: str):
-    """A function from texts to arrays of ids, equal to the tokenizer's own on the whole texts.
+    """A function from a text column to its ids, equal to the tokenizer's own on the whole texts.
 
     The tokenizer drops white space and never merges across it, nor across the border of a
     run of letters and the marks behind it. So each distinct word is encoded once, by the
     library, and texts are put together from words. Words of letters go to the library many
     at a time: each ends with the one id whose token has the mark of a word's end, which
     tells them apart; if the number of such ids is not that of the words, and for all other
-    words, each is encoded alone. At most ``REMEMBERED`` words are kept, between the tasks of
-    a process as well.
+    words, each is encoded alone. Codes are remembered by the words' 64-bit hashes, of at most
+    ``REMEMBERED`` words at a time, between the tasks of a process as well.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks use the cores already
     from tokenizers import Tokenizer
@@ -185,13 +186,13 @@ def encoder(tokenizer_path: str):
         last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
     known = _process_cache(tokenizer_path)
 
-    def alone(words: list[str]) -> None:
+    def alone(words: list[str]) -> Iterator[tuple[str, bytes]]:
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
             for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+                yield w, np.array(e.ids, "<u4").tobytes()
 
-    def together(words: list[str]) -> None:
+    def together(words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words of letters only."""
         for at in range(0, len(words), TOGETHER):
             some = words[at : at + TOGETHER]
@@ -199,37 +200,46 @@ def encoder(tokenizer_path: str):
             ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(last[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids) or not text.lower().replace(" ", "").isalpha():
-                alone(some)
+                yield from alone(some)
                 continue
             raw, to = ids.tobytes(), (4 * ends).tolist()
-            known.update(zip(some, (raw[i:j] for i, j in zip([0, *to], to, strict=False)), strict=True))
+            yield from zip(some, (raw[i:j] for i, j in zip([0, *to], to, strict=False)), strict=True)
 
-    def learn(words: set[str]) -> None:
+    def learn(words: list[str]) -> list[bytes]:
         if not suffix:
-            return alone(list(words))
-        letters = {w for w in words if w.isalpha()}
-        parts, rest = [], []
-        for w in words - letters:
-            stem = w.rstrip(MARKS)
-            if stem.isalpha():
-                parts.append((w, stem, w[len(stem) :]))
-            else:
-                rest.append(w)
-        letters.update(stem for _, stem, _ in parts)
-        together(list(letters.difference(known)))
-        alone(rest + list({tail for _, _, tail in parts}.difference(known)))
-        known.update((w, known[stem] + known[tail]) for w, stem, tail in parts)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        new = words.difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            known[""] = b""
-            new = words
-        learn(new)
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+            return [code for _, code in alone(words)]
+        parts = [(w, "") if w.isalpha() else (w.rstrip(MARKS), w) for w in words]
+        stems = {stem for stem, _ in parts if stem.isalpha()}
+        rest = {w if not stem.isalpha() else w[len(stem) :] for stem, w in parts if w}
+        codes = dict(together(list(stems)))
+        codes.update(alone(list(rest - stems)))
+        return [
+            codes[stem] if not w else codes[stem] + codes[w[len(stem) :]] if stem.isalpha() else codes[w] for stem, w in parts
+        ]
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and the number of each text's ids; a null text has none."""
+        w = W.find(texts)
+        which, hashes = pd.factorize(w.hash)
+        keys = hashes.tolist()
+        codes = list(map(known.get, keys))
+        new = [i for i, code in enumerate(codes) if code is None]
+        if new:
+            at = np.zeros(len(keys), np.int64)
+            at[which[::-1]] = np.arange(len(which))[::-1]  # the first place of each distinct word
+            flat, at = w.data.tobytes(), at[new]
+            words = [flat[i:j].decode() for i, j in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+            for i, code in zip(new, learn(words), strict=True):
+                known[keys[i]] = codes[i] = code
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        ids = np.frombuffer(b"".join(codes), "<u4")
+        each = size[which]
+        before = np.zeros(len(each) + 1, np.int64)
+        np.cumsum(each, out=before[1:])
+        place = np.repeat((np.cumsum(size) - size)[which] - before[:-1], each) + np.arange(before[-1])
+        return ids[place], np.diff(before[w.first])
 
     return encode
 
@@ -261,7 +271,6 @@ def write(
     spark = docs.sparkSession
     folder = folder or files.new_folder(spark, "tokens")
     path = tokenizer or default_tokenizer()
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
     given = docs.select(F.col(id_column).cast("long").alias("_id"), F.col(text).alias("text")).select(
         "*", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_m")
     )
@@ -272,30 +281,33 @@ def write(
         encode = encoder(path)
         part, piece = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
-        codes: list[bytes] = []
+        codes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, codes, held, piece
+            nonlocal ids, codes, counts, held, piece
             starts = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum([len(c) // 4 for c in codes], out=starts[1:])
-            content = to_bytes(ids, starts, np.frombuffer(b"".join(codes), "<u4"))
+            np.cumsum(np.concatenate(counts), out=starts[1:])
+            content = to_bytes(ids, starts, np.concatenate(codes))
             name = files.write(folder, f"part-{part:05d}-{piece:05d}", ".dac", content)
             row = [[part], [piece], [name], [len(ids)], [int(starts[-1])]]
-            ids, codes, held, piece = [], [], 0, piece + 1
+            ids, codes, counts, held, piece = [], [], [], 0, piece + 1
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)],
                 ["part", "piece", "file", "docs", "tokens"],
             )
 
-        for batch in W.slices(batches):
-            found = encode(["" if t is None else t for t in batch.column("text").to_pylist()])
-            for doc_id, code in zip(batch.column("_id").to_pylist(), found, strict=True):
-                ids.append(doc_id)
-                codes.append(code + tail)
-                held += len(codes[-1]) // 4
-                if held >= file_tokens:
-                    yield flush()
+        for batch in W.slices(batches, "text", 2 * W.SLICE):
+            found, n = encode(batch.column("text"))
+            if end is not None:
+                found, n = np.insert(found, np.cumsum(n), end), n + 1
+            ids += batch.column("_id").to_pylist()
+            codes.append(found)
+            counts.append(n)
+            held += len(found)
+            if held >= file_tokens:
+                yield flush()
         if ids:
             yield flush()
 
@@ -325,9 +337,10 @@ def read(catalog: DataFrame, folder: str, *, with_ids: bool = False) -> DataFram
                 with fs.open_input_file(f"{path}/{name}") as source:
                     reader = Reader(source.read())
                 starts = reader.starts()
-                n = np.diff(starts)
-                ids = [reader.tokens(int(a), int(k)).astype("<u4").tobytes() for a, k in zip(starts, n, strict=False)]
-                columns = [reader.doc_ids(), starts[:-1] + first, n, [zlib.crc32(x) for x in ids]] + [ids] * with_ids
+                flat = memoryview(reader.tokens(0, reader.n_tokens).astype("<u4").tobytes())
+                ids = [flat[a:b] for a, b in zip((4 * starts[:-1]).tolist(), (4 * starts[1:]).tolist(), strict=True)]
+                columns = [reader.doc_ids(), starts[:-1] + first, np.diff(starts), [zlib.crc32(x) for x in ids]]
+                columns += [[bytes(x) for x in ids]] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids

@@ -127,13 +127,13 @@ def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(found), np.arange(m) + k <= last
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each has about ``SLICE`` bytes of text, or one longer document."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about ``size`` bytes of text, or one longer document."""
     for batch in batches:
         bounds = raw(batch.column(column))[1]
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
 
