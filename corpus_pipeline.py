@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsemill.llm import decontam, files, jaccard, mixing, tokenids, toxicity
+from pulsemill.llm.columns import shield
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that a model of the labelled ones among them calls toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.grade(docs, model).where("NOT toxic").select(*docs.columns)
+    plain, back = shield(docs)
+    return back(toxicity.grade(plain, model).where("NOT toxic"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +28,17 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that share ten consecutive words with a benchmark item."""
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
+    plain, back = shield(docs)
+    keyed = plain.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
     found = decontam.overlaps(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("_key",))
     hit = found.where("contaminated").select("_key").distinct()
-    return keyed.join(hit, "_key", "left_anti").select(*docs.columns)
+    return back(keyed.join(hit, "_key", "left_anti"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 1, 2, 3 in turn: each document as often as its source is taken."""
-    return mixing.repeat(mixing.mix(docs)).select(*docs.columns)
+    plain, back = shield(docs, ("doc_id", "text", "source"))
+    return back(mixing.repeat(mixing.mix(plain)))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

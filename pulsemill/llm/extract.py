@@ -203,6 +203,8 @@ def _prior(name: str) -> float:
 
 #: what a tag costs at least and at most, and words that the prior counts for
 LEAST_COST, MOST_COST, PRIOR_WORDS = 0.05, 2.0, 20.0
+#: the score of a block that is cut out anyway
+CUT_COST = -0.5
 
 
 def tally(html: str) -> Counter:
@@ -254,16 +256,15 @@ def main_text(html: str, model: dict[str, float]) -> str:
         name = kind(b, len(words))
         each = model.get(f"w {name}", _prior(name))
         if labelled:  # the author says where the content is
-            each = max(each, 1.0) if b.inside and not b.cut else min(each, -1.0)
-        elif b.cut:
-            each = min(each, -1.0)
-        score = each * len(words)
-        if b.cut:  # cut out later; inside an article it must not end the run
-            score = max(score, -20.0)
-        scores.append(score + sum(model.get(f"t {t}", -LEAST_COST) for t in b.tags if t not in CONTENT))
+            each = max(each, 1.0) if b.inside else min(each, -1.0)
+        cost = sum(model.get(f"t {t}", -LEAST_COST) for t in b.tags if t not in CONTENT)
+        if b.cut:  # left out later; it need not end a run
+            scores.append(CUT_COST)
+        elif b.inside:  # tags cost less than any marked word brings
+            scores.append(max(each * len(words) + cost, -CUT_COST))
+        else:
+            scores.append(each * len(words) + cost)
         texts.append("" if b.cut else " ".join(words))
-        if b.inside and not b.cut:  # tags cost less than any marked word brings
-            scores[-1] = max(scores[-1], 0.5)
     start, stop = best_run(scores)
     return "\n\n".join(t for t in texts[start:stop] if t)
 

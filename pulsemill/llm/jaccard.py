@@ -4,15 +4,17 @@ A document's tokens are its distinct ``k``-word shingles. Two documents link whe
 ``den * |A and B| >= num * |A or B|``. The result is the connected components of the links.
 
 1. Documents with equal sets become one node.
-2. Nodes with a common minimum hash are compared with one of them, the one whose shingles
-   are the most frequent on the whole (the middle of a cluster of near copies). The links
-   found partition the nodes into groups of similar documents; most groups are one node.
-3. The matrix says which group's union of tokens holds which token. Of each node only the
-   tokens are kept in which two linked sets must meet: the first few in one order of all
-   tokens, rarest first (a count sketch of fixed size gives the order; any order is exact).
-   Group rows bear the sizes and places of their members' tokens, so that a bound on the
-   overlap with a whole group is known before it is opened.
-4. A node opens the groups other than its own whose bound reaches the overlap that a link
+2. Of each node the tokens are kept in which two linked sets must meet: the first few in one
+   order of all tokens. A fixed share of all tokens (by hash) comes first, in the order of
+   their numbers of nodes, which are counted; the others follow by hash. Tokens of one node
+   only are dropped after that: they count as places in the order, but meet nothing.
+3. Nodes with a common minimum hash are compared with one of them, the one whose tokens are
+   the most frequent (the middle of a cluster of near copies). The links found partition the
+   nodes into groups of similar documents; most groups are one node.
+4. The matrix says which group's union of kept tokens holds which token. Group rows bear the
+   sizes and places of their members' tokens, so that a bound on the overlap with a whole
+   group is known before it is opened.
+5. A node opens the groups other than its own whose bound reaches the overlap that a link
    needs, and is compared with their members token by token, in cells of at most
    ``CELL`` members and ``CELL`` queries.
 
@@ -32,10 +34,12 @@ from pyspark.sql import types as T
 
 from pulsemill.llm import graph
 from pulsemill.llm import words as W
+from pulsemill.llm.columns import shield
 from pulsemill.session import materialize
 
-SKETCH_BITS = 19
-#: minimum hashes by which nodes meet in step 2
+#: share of tokens that come first in the order, over the part of a set that must be looked at
+SPARE = 1.25
+#: minimum hashes by which nodes meet in step 3
 SEEDS = (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35)
 CELL = 512
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -60,68 +64,64 @@ def token_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """How many documents have a token, by the first bits of its hash: never too low, one array of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for part in W.slices(batches):
-            sets = token_sets(part.column("text"), k)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counts += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
-
-    def add(a: bytes, b: bytes) -> bytes:
-        total = np.frombuffer(a, np.uint32).astype(np.uint64) + np.frombuffer(b, np.uint32)
-        return np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
-
-    parts = docs.select("text").mapInArrow(run, "counts binary").rdd.map(lambda r: bytes(r[0]))
-    if parts.isEmpty():
-        return np.zeros(1 << SKETCH_BITS, np.uint32)
-    return np.frombuffer(parts.treeReduce(add), np.uint32)
-
-
 def _describe(docs: DataFrame, k: int, num: int, den: int, keep: tuple[str, ...]) -> DataFrame:
     """Per document: keep, _text (a key of the text), _set (a key of the set), n, lows (minimum
-    hashes), fame (mean log frequency of its tokens), prefix (the tokens of the matrix)."""
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
+    hashes), first (its tokens of the share that comes first) and then (others, as many as
+    are still looked at, in order)."""
     seeds = np.array(SEEDS, np.uint64)
+    share = np.uint64(min(SPARE * (den - num) / den, 1.0) * float(2**64 - 2**11))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = sketch.value
         for part in W.slices(batches):
             sets = token_sets(part.column("text"), k)
-            keys, lows, fame, prefix, kept = [], [], [], [], []
+            keys, lows, first, then = [], [], [], []
             for s in sets:
                 n = len(s)
                 if not n:
                     keys.append(None)
                     lows.append([])
-                    fame.append(0.0)
-                    kept.append(0)
+                    first.append(s)
+                    then.append(s)
                     continue
-                first = W.mix(s)
-                second = W.mix(s ^ _SECOND)
-                keys.append(np.array([first.sum(), second.sum(), n], np.uint64).tobytes())
+                keys.append(np.array([W.mix(s).sum(), W.mix(s ^ _SECOND).sum(), n], np.uint64).tobytes())
                 lows.append([int(W.mix(s ^ x).min().view(np.int64)) for x in seeds])
-                count = often[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                fame.append(float(np.log(np.maximum(count, 1)).mean()))
-                size = n - -(-num * n // den) + 1
-                prefix.append(s[np.argsort(count, kind="stable")[:size]])
-                kept.append(size)
-            tokens = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
+                early = int(np.searchsorted(s, share, "right"))  # sets are sorted by hash
+                first.append(s[:early])
+                then.append(s[early : max(early, n - -(-num * n // den) + 1)])
+            columns = []
+            for lists in (first, then):
+                flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+                columns.append(W.lists(W.as_long(flat), np.array([len(x) for x in lists], np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in (*keep, "_text")), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array(lows, pa.list_(pa.int64())), pa.array(fame, pa.float64()), W.lists(W.as_long(tokens), np.array(kept, np.int64))],
-                [*keep, "_text", "_set", "n", "lows", "fame", "prefix"],
+                 pa.array(lows, pa.list_(pa.int64())), *columns],
+                [*keep, "_text", "_set", "n", "lows", "first", "then"],
             )
 
     given = _keyed(docs, keep)
     schema = given.select(*keep, "_text").schema.add("_set", "binary").add("n", "integer")
-    schema = schema.add("lows", T.ArrayType(T.LongType())).add("fame", "double").add("prefix", T.ArrayType(T.LongType()))
+    for name in ("lows", "first", "then"):
+        schema = schema.add(name, T.ArrayType(T.LongType()))
     return given.mapInArrow(run, schema)
 
 
+def _order(nodes: DataFrame) -> DataFrame:
+    """(node, fame, kept): each node's tokens that another node has too, with their places in the
+    order, and the mean log number of nodes of its first tokens."""
+    token = nodes.select("node", F.posexplode(F.concat("first", "then")).alias("i", "token"))
+    often = token.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    met = token.join(materialize(often), "token").groupBy("node").agg(F.collect_list(F.struct("c", "token", "i")).alias("met"))
+    met = met.join(nodes.select("node", F.size("first").alias("m")), "node")
+    early = F.array_sort(F.filter("met", lambda x: x["i"] < F.col("m")))
+    late = F.filter("met", lambda x: x["i"] >= F.col("m"))
+    place = lambda at, x: F.struct(at.cast("int").alias("at"), x["token"].alias("token"))
+    kept = F.concat(
+        F.transform(early, lambda x, r: place(F.col("m") - F.size(early) + r, x)), F.transform(late, lambda x: place(x["i"], x))
+    )
+    fame = F.aggregate(early, F.lit(0.0), lambda total, x: total + F.ln(x["c"])) / F.greatest("m", F.lit(1))
+    return met.select("node", fame.alias("fame"), kept.alias("kept"))
+
+
 def _keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(*keep, text.alias("text"), F.unhex(F.md5(text)).alias("_text"))
@@ -178,19 +178,19 @@ def _candidates(nodes: DataFrame, groups: DataFrame, num: int, den: int) -> Data
     """(node, grp): nodes and groups other than theirs whose overlap may reach what a link needs."""
     n = F.col("n")
     least = lambda a, b: F.ceil((a + b) * num / (num + den))  # noqa: E731  overlap that a link of these sizes needs
-    placed = nodes.select("node", "n", "prefix").join(groups, "node", "left")
-    placed = placed.select("node", "n", F.coalesce("label", "node").alias("grp"), F.col("label").isNotNull().alias("many"), "prefix")
-    token = placed.select("node", "n", "grp", "many", F.posexplode("prefix").alias("at", "token"))
+    placed = nodes.select("node", "n", "kept").join(groups, "node", "left")
+    placed = placed.select("node", "n", F.coalesce("label", "node").alias("grp"), F.col("label").isNotNull().alias("many"), F.explode("kept").alias("t"))
+    token = placed.select("node", "n", "grp", "many", "t.*").where(F.col("at") <= n - F.ceil(n * num / den))
     # the smaller of two linked sets has one of its first tokens in common with the other's prefix
-    row = token.where(F.col("at") <= n - F.ceil(2.0 * num * n / (num + den) - 1e-9)).select("token", "grp", "node", "n", "at", "many")
+    row = token.where(F.col("at") <= n - F.ceil(n * (2 * num) / (num + den))).select("token", "grp", "node", "n", "at", "many")
     single = row.where("NOT many").select("token", "grp", "node", n.alias("n_lo"), n.alias("n_hi"), F.col("at").alias("at_lo"))
     union = row.where("many").groupBy("token", "grp").agg(
         F.min("node").alias("node"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("at").alias("at_lo")
     )
     matrix = single.unionByName(union).select("token", F.col("grp").alias("g"), "n_lo", "n_hi", "at_lo")
     probe = token.select("token", "node", "n", "grp", "at")
-    smallest = F.greatest(F.col("n_lo"), F.ceil(n * num / den - 1e-9))  # of the members that may be linked
-    need = least(n, smallest) - F.lit(0)
+    smallest = F.greatest(F.col("n_lo"), F.ceil(n * num / den))  # of the members that may be linked
+    need = least(n, smallest)
     met = probe.join(matrix, "token").where(
         (F.col("grp") != F.col("g")) & (F.col("n_lo") <= n) & (F.col("n_hi") >= smallest)
         & (n - F.col("at") >= need) & (F.col("n_hi") - F.col("at_lo") >= need)
@@ -271,6 +271,9 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, keep: tu
         base.where("n > 0").groupBy("_set").agg(F.min("_row").alias("node"), F.min(id_column).alias("low"))
     )
     nodes = base.join(sets.select(F.col("node").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "node")
+    ordered = materialize(_order(nodes))
+    nodes = nodes.drop("first", "then").join(ordered, "node")  # a node without a common token links with nothing
+    nodes = materialize(nodes.select("node", "_text", "n", "lows", "fame", "kept"))
     # of two nodes with one text key, none exists: equal texts have equal sets
     star = _star_links(docs, nodes, k, num, den)
     groups = graph.components(star)
@@ -289,15 +292,13 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, keep: tu
 def one_of_each(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (null last), then of the
     first row. Rows without a shingle are linked with nothing and all stay."""
-    others = [c for c in docs.columns if c != text]
-    named = {c: f"c{i}" for i, c in enumerate(others)}  # columns may have any names
-    given = docs.select(*(F.col(f"`{c}`").alias(to) for c, to in named.items()), F.col(text).alias("text"))
-    linked = materialize(link(given, k=k, num=num, den=den, keep=tuple(named.values()), id_column=named[id_column]))
-    first = F.min(F.struct(F.col(named[id_column]).isNull(), named[id_column], "_row")).alias("m")
+    given, back = shield(docs.withColumnsRenamed({text: "text"}), (id_column, "text"))
+    others = tuple(c for c in given.columns if c != "text")
+    linked = materialize(link(given, k=k, num=num, den=den, keep=others, id_column=id_column))
+    first = F.min(F.struct(F.col(id_column).isNull(), id_column, "_row")).alias("m")
     kept = linked.where("_component IS NOT NULL").groupBy("_component").agg(first).select(F.col("m._row").alias("_row"))
     rows = linked.join(kept, "_row", "left_semi").unionByName(linked.where("_component IS NULL"))
     null = given.where("text IS NULL")  # these have the key of the empty text
     texts = _keyed(given.where("text IS NOT NULL")).groupBy("_text").agg(F.first("text").alias("text"))
     filled = rows.join(texts, "_text") if null.isEmpty() else rows.join(texts, "_text", "left")
-    back = {to: c for c, to in named.items()}
-    return filled.select(*(F.col(to).alias(c) for to, c in back.items()), "text").withColumnRenamed("text", text).select(*docs.columns)
+    return back(filled).withColumnsRenamed({"text": text})

@@ -60,7 +60,7 @@ SELECT doc_id, size, CAST(total AS BIGINT) AS source_size,
        size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
 FROM drawn""")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.round("_target", 6).alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"),
