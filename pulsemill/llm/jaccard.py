@@ -4,17 +4,16 @@ A document's tokens are its distinct ``k``-word shingles. Two documents link whe
 ``den * |A and B| >= num * |A or B|``. The result is the connected components of the links.
 
 1. Documents with equal sets become one node.
-2. Of each node the tokens are kept in which two linked sets must meet: the first few in one
-   order of all tokens. A fixed share of all tokens (by hash) comes first, in the order of
-   their numbers of nodes, which are counted; the others follow by hash. Tokens of one node
-   only are dropped after that: they count as places in the order, but meet nothing.
-3. Nodes with a common minimum hash are compared with one of them, the one whose tokens are
+2. Nodes with a common minimum hash are compared with one of them, the one whose tokens are
    the most frequent (the middle of a cluster of near copies). The links found partition the
    nodes into groups of similar documents; most groups are one node.
-4. The matrix says which group's union of kept tokens holds which token. Group rows bear the
-   sizes and places of their members' tokens, so that a bound on the overlap with a whole
-   group is known before it is opened.
-5. A node opens the groups other than its own whose bound reaches the overlap that a link
+3. The matrix says which token is in the union of which group, for the tokens in which two
+   linked sets must meet: the first few of each set in the order of their hashes. Tokens of one
+   node only are counted and dropped. Each entry bears what bounds the overlap of a query with
+   the group's member behind it: size, place of the token, and a signature of ``SIGNATURE``
+   bits. Every token turns over one bit, so the bits in which two signatures differ are no more
+   than the tokens in which the sets do.
+4. A node opens the groups other than its own whose bound reaches the overlap that a link
    needs, and is compared with their members token by token, in cells of at most
    ``CELL`` members and ``CELL`` queries.
 
@@ -37,9 +36,8 @@ from pulsemill.llm import words as W
 from pulsemill.llm.columns import shield
 from pulsemill.session import materialize
 
-#: share of tokens that come first in the order, over the part of a set that must be looked at
-SPARE = 1.25
-#: minimum hashes by which nodes meet in step 3
+SIGNATURE = 256
+#: minimum hashes by which nodes meet in step 2
 SEEDS = (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35)
 CELL = 512
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -64,62 +62,59 @@ def token_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+def _signature(s: np.ndarray) -> np.ndarray:
+    """As 64-bit words: bit i says whether an odd number of the tokens hashes to i."""
+    at = (W.mix(s + _SECOND) >> np.uint64(32)).astype(np.int64) % SIGNATURE
+    odd = np.bincount(at, minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _describe(docs: DataFrame, k: int, num: int, den: int, keep: tuple[str, ...]) -> DataFrame:
     """Per document: keep, _text (a key of the text), _set (a key of the set), n, lows (minimum
-    hashes), first (its tokens of the share that comes first) and then (others, as many as
-    are still looked at, in order)."""
+    hashes), signature, and prefix (its first tokens)."""
     seeds = np.array(SEEDS, np.uint64)
-    share = np.uint64(min(SPARE * (den - num) / den, 1.0) * float(2**64 - 2**11))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.slices(batches):
             sets = token_sets(part.column("text"), k)
-            keys, lows, first, then = [], [], [], []
+            keys, lows, signatures, prefix = [], [], [], []
             for s in sets:
                 n = len(s)
                 if not n:
                     keys.append(None)
                     lows.append([])
-                    first.append(s)
-                    then.append(s)
+                    signatures.append([])
+                    prefix.append(s)
                     continue
                 keys.append(np.array([W.mix(s).sum(), W.mix(s ^ _SECOND).sum(), n], np.uint64).tobytes())
                 lows.append([int(W.mix(s ^ x).min().view(np.int64)) for x in seeds])
-                early = int(np.searchsorted(s, share, "right"))  # sets are sorted by hash
-                first.append(s[:early])
-                then.append(s[early : max(early, n - -(-num * n // den) + 1)])
-            columns = []
-            for lists in (first, then):
-                flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-                columns.append(W.lists(W.as_long(flat), np.array([len(x) for x in lists], np.int64)))
+                signatures.append(_signature(s).tolist())
+                prefix.append(s[: n - -(-num * n // den) + 1])  # sets are sorted by hash
+            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in (*keep, "_text")), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array(lows, pa.list_(pa.int64())), *columns],
-                [*keep, "_text", "_set", "n", "lows", "first", "then"],
+                 pa.array(lows, longs), pa.array(signatures, longs), W.lists(W.as_long(flat), np.array([len(x) for x in prefix], np.int64))],
+                [*keep, "_text", "_set", "n", "lows", "signature", "prefix"],
             )
 
     given = _keyed(docs, keep)
     schema = given.select(*keep, "_text").schema.add("_set", "binary").add("n", "integer")
-    for name in ("lows", "first", "then"):
+    for name in ("lows", "signature", "prefix"):
         schema = schema.add(name, T.ArrayType(T.LongType()))
     return given.mapInArrow(run, schema)
 
 
-def _order(nodes: DataFrame) -> DataFrame:
-    """(node, fame, kept): each node's tokens that another node has too, with their places in the
-    order, and the mean log number of nodes of its first tokens."""
-    token = nodes.select("node", F.posexplode(F.concat("first", "then")).alias("i", "token"))
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(node, fame, kept): each node's first tokens that another node has too, with their places,
+    and the mean log number of nodes of all its first tokens."""
+    token = nodes.select("node", F.posexplode("prefix").alias("at", "token"))
     often = token.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    met = token.join(materialize(often), "token").groupBy("node").agg(F.collect_list(F.struct("c", "token", "i")).alias("met"))
-    met = met.join(nodes.select("node", F.size("first").alias("m")), "node")
-    early = F.array_sort(F.filter("met", lambda x: x["i"] < F.col("m")))
-    late = F.filter("met", lambda x: x["i"] >= F.col("m"))
-    place = lambda at, x: F.struct(at.cast("int").alias("at"), x["token"].alias("token"))
-    kept = F.concat(
-        F.transform(early, lambda x, r: place(F.col("m") - F.size(early) + r, x)), F.transform(late, lambda x: place(x["i"], x))
+    met = token.join(materialize(often), "token").groupBy("node").agg(
+        F.collect_list(F.struct("at", "token")).alias("kept"), F.sum(F.ln("c")).alias("total")
     )
-    fame = F.aggregate(early, F.lit(0.0), lambda total, x: total + F.ln(x["c"])) / F.greatest("m", F.lit(1))
-    return met.select("node", fame.alias("fame"), kept.alias("kept"))
+    size = nodes.select("node", F.size("prefix").alias("m"))
+    return met.join(size, "node").select("node", (F.col("total") / F.col("m")).alias("fame"), "kept")
 
 
 def _keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -131,8 +126,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) for the (node, _text) of ``wanted``, whose keys are unique; copies of a text are
     dropped before it is moved."""
     given = _keyed(docs).join(F.broadcast(wanted.select("_text")), "_text", "left_semi") if _few(wanted) else _keyed(docs)
-    once = given.groupBy("_text").agg(F.first("text").alias("text"))
-    return materialize(once.join(wanted, "_text").select("node", "text"))
+    once = given.groupBy("_text").agg(F.first("text").alias("text"))  # joins of texts are sort-merge joins at every size
+    return materialize(once.hint("merge").join(wanted, "_text").select("node", "text"))
 
 
 #: keys that may be broadcast to leave out texts that nobody asked for (16 bytes each)
@@ -162,8 +157,8 @@ def _star_links(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -
     pairs = materialize(pairs)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = _texts(docs, nodes.select("node", "_text").join(ends, "node", "left_semi"))
-    met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-    met = met.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "other")
+    met = pairs.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+    met = met.hint("merge").join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.slices(batches):
@@ -176,24 +171,24 @@ def _star_links(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -
 
 def _candidates(nodes: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     """(node, grp): nodes and groups other than theirs whose overlap may reach what a link needs."""
-    n = F.col("n")
-    least = lambda a, b: F.ceil((a + b) * num / (num + den))  # noqa: E731  overlap that a link of these sizes needs
-    placed = nodes.select("node", "n", "kept").join(groups, "node", "left")
-    placed = placed.select("node", "n", F.coalesce("label", "node").alias("grp"), F.col("label").isNotNull().alias("many"), F.explode("kept").alias("t"))
-    token = placed.select("node", "n", "grp", "many", "t.*").where(F.col("at") <= n - F.ceil(n * num / den))
+    words = range(SIGNATURE // 64)
+    placed = nodes.join(groups, "node", "left").select(
+        "node", "n", F.coalesce("label", "node").alias("grp"), *(F.col("signature")[i].alias(f"s{i}") for i in words), F.explode("kept").alias("t")
+    )
+    query = placed.select("node", "n", "grp", *(f"s{i}" for i in words), "t.*")
     # the smaller of two linked sets has one of its first tokens in common with the other's prefix
-    row = token.where(F.col("at") <= n - F.ceil(n * (2 * num) / (num + den))).select("token", "grp", "node", "n", "at", "many")
-    single = row.where("NOT many").select("token", "grp", "node", n.alias("n_lo"), n.alias("n_hi"), F.col("at").alias("at_lo"))
-    union = row.where("many").groupBy("token", "grp").agg(
-        F.min("node").alias("node"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("at").alias("at_lo")
+    early = F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * num) / (num + den))
+    matrix = query.where(early).select(
+        "token", F.col("grp").alias("g"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("aty"),
+        *(F.col(f"s{i}").alias(f"y{i}") for i in words),
     )
-    matrix = single.unionByName(union).select("token", F.col("grp").alias("g"), "n_lo", "n_hi", "at_lo")
-    probe = token.select("token", "node", "n", "grp", "at")
-    smallest = F.greatest(F.col("n_lo"), F.ceil(n * num / den))  # of the members that may be linked
-    need = least(n, smallest)
-    met = probe.join(matrix, "token").where(
-        (F.col("grp") != F.col("g")) & (F.col("n_lo") <= n) & (F.col("n_hi") >= smallest)
-        & (n - F.col("at") >= need) & (F.col("n_hi") - F.col("at_lo") >= need)
+    n, ny = F.col("n"), F.col("ny")
+    need = F.ceil((n + ny) * num / (num + den))  # a quotient of whole numbers, so the ceiling is exact
+    differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"y{i}"))) for i in words), start=F.lit(0))
+    smaller = (ny < n) | ((ny == n) & (F.col("y") < F.col("node")))
+    met = query.join(matrix, "token").where(
+        (F.col("grp") != F.col("g")) & smaller & (ny * den >= n * num)
+        & (n - F.col("at") >= need) & (ny - F.col("aty") >= need) & (n + ny - differ >= 2 * need)
     )
     return met.select("node", F.col("g").alias("grp")).distinct()
 
@@ -213,7 +208,7 @@ def _open(docs: DataFrame, nodes: DataFrame, groups: DataFrame, asked: DataFrame
     )
     places = materialize(inside.unionByName(outside))
     texts = _texts(docs, nodes.select("node", "_text").join(places.select("node").distinct(), "node", "left_semi"))
-    cells = places.join(texts, "node").repartition("grp", "r", "c").sortWithinPartitions("grp", "r", "c", "role", "node")
+    cells = places.hint("merge").join(texts, "node").repartition("grp", "r", "c").sortWithinPartitions("grp", "r", "c", "role", "node")
 
     def compare(members: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
         sizes = np.array([len(s) for _, s in members], np.int64)
@@ -271,9 +266,9 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, keep: tu
         base.where("n > 0").groupBy("_set").agg(F.min("_row").alias("node"), F.min(id_column).alias("low"))
     )
     nodes = base.join(sets.select(F.col("node").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "node")
-    ordered = materialize(_order(nodes))
-    nodes = nodes.drop("first", "then").join(ordered, "node")  # a node without a common token links with nothing
-    nodes = materialize(nodes.select("node", "_text", "n", "lows", "fame", "kept"))
+    shared = materialize(_shared(nodes))
+    nodes = nodes.drop("prefix").join(shared, "node")  # a node without a common token links with nothing
+    nodes = materialize(nodes.select("node", "_text", "n", "lows", "signature", "fame", "kept"))
     # of two nodes with one text key, none exists: equal texts have equal sets
     star = _star_links(docs, nodes, k, num, den)
     groups = graph.components(star)
