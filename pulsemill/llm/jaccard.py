@@ -8,8 +8,10 @@ A document's tokens are its distinct ``k``-word shingles. Two documents link whe
    the most frequent (the middle of a cluster of near copies). The links found partition the
    nodes into groups of similar documents; most groups are one node.
 3. The matrix says which token is in the union of which group, for the tokens in which two
-   linked sets must meet: the first few of each set in the order of their hashes. Tokens of one
-   node only are counted and dropped. Each entry bears what bounds the overlap of a query with
+   linked sets must meet: the first few of each set in one order of all tokens, rarest first. A
+   count sketch of fixed size gives the order; any order is exact, and a token that a set share
+   of all documents has comes late at every size. Tokens of one node only are counted and
+   dropped. Each entry bears what bounds the overlap of a query with
    the group's member behind it: size, place of the token, and a signature of ``SIGNATURE``
    bits. Every token turns over one bit, so the bits in which two signatures differ are no more
    than the tokens in which the sets do.
@@ -36,7 +38,8 @@ from pulsemill.llm import words as W
 from pulsemill.llm.columns import shield
 from pulsemill.session import materialize
 
-SIGNATURE = 256
+SKETCH_BITS = 19
+SIGNATURE = 512
 #: minimum hashes by which nodes meet in step 2
 SEEDS = (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35)
 CELL = 512
@@ -62,6 +65,25 @@ def token_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+def _sketch(docs: DataFrame, k: int) -> np.ndarray:
+    """How many documents have a token, by the first bits of its hash: never too low."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for part in W.slices(batches):
+            sets = token_sets(part.column("text"), k)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            counts += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(counts, 2**32 - 1).astype("<u4").tobytes()])], ["counts"])
+
+    def add(a: bytes, b: bytes) -> bytes:
+        total = np.frombuffer(a, "<u4").astype(np.int64) + np.frombuffer(b, "<u4")
+        return np.minimum(total, 2**32 - 1).astype("<u4").tobytes()
+
+    parts = docs.select("text").mapInArrow(run, "counts binary").rdd.map(lambda r: bytes(r[0]))
+    return np.frombuffer(parts.treeReduce(add) if not parts.isEmpty() else bytes(4 << SKETCH_BITS), "<u4")
+
+
 def _signature(s: np.ndarray) -> np.ndarray:
     """As 64-bit words: bit i says whether an odd number of the tokens hashes to i."""
     at = (W.mix(s + _SECOND) >> np.uint64(32)).astype(np.int64) % SIGNATURE
@@ -73,8 +95,10 @@ def _describe(docs: DataFrame, k: int, num: int, den: int, keep: tuple[str, ...]
     """Per document: keep, _text (a key of the text), _set (a key of the set), n, lows (minimum
     hashes), signature, and prefix (its first tokens)."""
     seeds = np.array(SEEDS, np.uint64)
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sketch.value
         for part in W.slices(batches):
             sets = token_sets(part.column("text"), k)
             keys, lows, signatures, prefix = [], [], [], []
@@ -89,7 +113,8 @@ def _describe(docs: DataFrame, k: int, num: int, den: int, keep: tuple[str, ...]
                 keys.append(np.array([W.mix(s).sum(), W.mix(s ^ _SECOND).sum(), n], np.uint64).tobytes())
                 lows.append([int(W.mix(s ^ x).min().view(np.int64)) for x in seeds])
                 signatures.append(_signature(s).tolist())
-                prefix.append(s[: n - -(-num * n // den) + 1])  # sets are sorted by hash
+                count = often[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                prefix.append(s[np.argsort(count, kind="stable")[: n - -(-num * n // den) + 1]])  # equal ones by hash
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
