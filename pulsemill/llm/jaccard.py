@@ -39,7 +39,8 @@ from pulsemill.llm.columns import shield
 from pulsemill.session import materialize
 
 SKETCH_BITS = 19
-SIGNATURE = 512
+#: bits of a signature, and of a second one that sets of over ``LARGE`` tokens have besides
+SIGNATURE, WIDE, LARGE = 512, 4096, 600
 #: minimum hashes by which nodes meet in step 2
 SEEDS = (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35)
 CELL = 512
@@ -84,16 +85,16 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     return np.frombuffer(parts.treeReduce(add) if not parts.isEmpty() else bytes(4 << SKETCH_BITS), "<u4")
 
 
-def _signature(s: np.ndarray) -> np.ndarray:
+def _signature(s: np.ndarray, bits: int = SIGNATURE) -> np.ndarray:
     """As 64-bit words: bit i says whether an odd number of the tokens hashes to i."""
-    at = (W.mix(s + _SECOND) >> np.uint64(32)).astype(np.int64) % SIGNATURE
-    odd = np.bincount(at, minlength=SIGNATURE) & 1
+    at = (W.mix(s + _SECOND) >> np.uint64(32)).astype(np.int64) % bits
+    odd = np.bincount(at, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _describe(docs: DataFrame, k: int, num: int, den: int, keep: tuple[str, ...]) -> DataFrame:
     """Per document: keep, _text (a key of the text), _set (a key of the set), n, lows (minimum
-    hashes), signature, and prefix (its first tokens)."""
+    hashes), signature, wide (null sets and small ones have none), and prefix (its first tokens)."""
     seeds = np.array(SEEDS, np.uint64)
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k))
 
@@ -101,31 +102,33 @@ def _describe(docs: DataFrame, k: int, num: int, den: int, keep: tuple[str, ...]
         often = sketch.value
         for part in W.slices(batches):
             sets = token_sets(part.column("text"), k)
-            keys, lows, signatures, prefix = [], [], [], []
+            keys, lows, signatures, wide, prefix = [], [], [], [], []
             for s in sets:
                 n = len(s)
                 if not n:
                     keys.append(None)
                     lows.append([])
                     signatures.append([])
+                    wide.append([])
                     prefix.append(s)
                     continue
                 keys.append(np.array([W.mix(s).sum(), W.mix(s ^ _SECOND).sum(), n], np.uint64).tobytes())
                 lows.append([int(W.mix(s ^ x).min().view(np.int64)) for x in seeds])
                 signatures.append(_signature(s).tolist())
+                wide.append(_signature(s, WIDE).tolist() if n > LARGE else [])
                 count = often[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 prefix.append(s[np.argsort(count, kind="stable")[: n - -(-num * n // den) + 1]])  # equal ones by hash
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in (*keep, "_text")), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array(lows, longs), pa.array(signatures, longs), W.lists(W.as_long(flat), np.array([len(x) for x in prefix], np.int64))],
-                [*keep, "_text", "_set", "n", "lows", "signature", "prefix"],
+                 pa.array(lows, longs), pa.array(signatures, longs), pa.array(wide, longs), W.lists(W.as_long(flat), np.array([len(x) for x in prefix], np.int64))],
+                [*keep, "_text", "_set", "n", "lows", "signature", "wide", "prefix"],
             )
 
     given = _keyed(docs, keep)
     schema = given.select(*keep, "_text").schema.add("_set", "binary").add("n", "integer")
-    for name in ("lows", "signature", "prefix"):
+    for name in ("lows", "signature", "wide", "prefix"):
         schema = schema.add(name, T.ArrayType(T.LongType()))
     return given.mapInArrow(run, schema)
 
@@ -215,7 +218,13 @@ def _candidates(nodes: DataFrame, groups: DataFrame, num: int, den: int) -> Data
         (F.col("grp") != F.col("g")) & smaller & (ny * den >= n * num)
         & (n - F.col("at") >= need) & (ny - F.col("aty") >= need) & (n + ny - differ >= 2 * need)
     )
-    return met.select("node", F.col("g").alias("grp")).distinct()
+    pairs = met.select("node", "y", F.col("g").alias("grp"), (n + ny - 2 * need).alias("most")).distinct()
+    # of large sets the wide signatures decide
+    large = nodes.where(n > LARGE).select("node", "wide")
+    both = pairs.join(large, "node", "left").join(large.select(F.col("node").alias("y"), F.col("wide").alias("other")), "y", "left")
+    apart = F.aggregate(F.zip_with("wide", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, x: total + x)
+    known = F.col("wide").isNotNull() & F.col("other").isNotNull()
+    return both.where(~known | (apart <= F.col("most"))).select("node", "grp").distinct()
 
 
 def _open(docs: DataFrame, nodes: DataFrame, groups: DataFrame, asked: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -290,10 +299,11 @@ def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, keep: tu
     sets = materialize(
         base.where("n > 0").groupBy("_set").agg(F.min("_row").alias("node"), F.min(id_column).alias("low"))
     )
-    nodes = base.join(sets.select(F.col("node").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "node")
+    of_a_set = sets.select(F.col("node").alias("_row")).hint("merge")
+    nodes = materialize(base.drop(*keep).join(of_a_set, "_row", "left_semi").withColumnRenamed("_row", "node"))
     shared = materialize(_shared(nodes))
     nodes = nodes.drop("prefix").join(shared, "node")  # a node without a common token links with nothing
-    nodes = materialize(nodes.select("node", "_text", "n", "lows", "signature", "fame", "kept"))
+    nodes = materialize(nodes.select("node", "_text", "n", "lows", "signature", "wide", "fame", "kept"))
     # of two nodes with one text key, none exists: equal texts have equal sets
     star = _star_links(docs, nodes, k, num, den)
     groups = graph.components(star)
