@@ -59,12 +59,16 @@ def covariates(sex: Column, age: Column, height: Column, weight: Column, where:
     def flag(test: Column) -> Column:
         return F.when(F.coalesce(test, F.lit(False)), 1.0).otherwise(0.0)
 
+    def bare(c: Column) -> Column:
+        """Without white space of any kind around it."""
+        return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
     return F.struct(
-        flag(F.upper(F.trim(sex)).isin(*MALE_TOKENS)).alias("cov_sex_male"),
+        flag(F.upper(bare(sex)).isin(*MALE_TOKENS)).alias("cov_sex_male"),
         number(age).alias("cov_age"),
         number(height).alias("cov_height"),
         number(weight).alias("cov_weight"),
-        flag(F.lower(F.trim(where)) == "finger").alias("cov_site_finger"),
+        flag(F.lower(bare(where)) == "finger").alias("cov_site_finger"),
     )
 
 
@@ -90,16 +94,16 @@ def run_label(
     started_on_ecg = ~F.lower(F.coalesce(ecg_init, F.lit(""))).isin("", "false", "0")
     prompted = F.concat(F.lit("OpenTSLM-"), llm_size(llm_id))
     return (
-        F.when((model == "trivial") & (task == "quality"), "Majority class")
+        F.when((model == "trivial") & (task == "quality"), MAIN_ORDER[0])
         .when(
             (model == "trivial")
             & F.coalesce(method == "dominant_frequency", F.lit(False)),
-            "Dominant-frequency HR",
+            MAIN_ORDER[2],
         )
-        .when(model == "trivial", "Median HR")
-        .when(model == "baseline_features", "Features + LogReg/XGBoost")
-        .when(model == "cnn1d", "1D-CNN / ResNet1D")
-        .when(model == "sigma_ppg", "SIGMA-PPG")
+        .when(model == "trivial", MAIN_ORDER[1])
+        .when(model == "baseline_features", MAIN_ORDER[3])
+        .when(model == "cnn1d", MAIN_ORDER[4])
+        .when(model == "sigma_ppg", MAIN_ORDER[7])
         .when(
             model == "opentslm",
             F.concat(prompted, F.when(started_on_ecg, " (ECG)").otherwise("")),
@@ -111,8 +115,8 @@ def run_label(
 def row_family(label: Column) -> Column:
     """The MAIN_ORDER row a label belongs to: sized models share one row."""
     return (
-        F.when(label.startswith("OpenTSLM-") & label.endswith("(ECG)"), "OpenTSLM (ECG)")
-        .when(label.startswith("OpenTSLM-"), "OpenTSLM")
+        F.when(label.startswith("OpenTSLM-") & label.endswith("(ECG)"), MAIN_ORDER[6])
+        .when(label.startswith("OpenTSLM-"), MAIN_ORDER[5])
         .otherwise(label)
     )
 

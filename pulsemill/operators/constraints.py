@@ -123,11 +123,26 @@ def require_predictions(predictions: DataFrame) -> DataFrame:
 
 
 def require_task(predictions: DataFrame, task: str) -> DataFrame:
-    wrong = predictions.where(F.col("task") != task).select(
+    require_valid(wrong_task_rows(predictions, task), f"{task} report input")
+    return predictions
+
+
+def only_task(predictions: DataFrame, task: str) -> DataFrame:
+    """The same rows; the job fails at the first one of another task. Costs no pass of its own."""
+    error = F.raise_error(F.concat(F.lit(f"not a {task} row: "), F.col("record_id")))
+    return predictions.where(F.when(F.col("task").eqNullSafe(task), True).otherwise(error))
+
+
+def filled(report: DataFrame, count: str, what: str) -> DataFrame:
+    """The same report; the job fails if ``count`` says that it was made of no rows."""
+    return report.where(F.when(F.col(count) > 0, True).otherwise(F.raise_error(F.lit(f"{what}: no rows"))))
+
+
+def wrong_task_rows(predictions: DataFrame, task: str) -> DataFrame:
+    """Rows of a report input that are of another task, or of none."""
+    return predictions.where(~F.col("task").eqNullSafe(task)).select(
         "record_id", F.lit(f"not a {task} row").alias("problem")
     )
-    require_valid(wrong, f"{task} report input")
-    return predictions
 
 
 def require_disjoint(split: DataFrame) -> DataFrame:

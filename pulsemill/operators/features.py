@@ -19,13 +19,14 @@ def ppg_features(df: DataFrame, column: str = "ppg", fs: float = PPG_FS) -> Data
 
 
 def acc_features(df: DataFrame, column: str = "acc", fs: float = ACC_FS) -> DataFrame:
-    """The same of the acceleration magnitude; zeros where there is no signal."""
+    """The same of the acceleration magnitude; zeros where there is no signal, or ``has_acc`` says so."""
     block = spectral.window_features(F.col(column), fs, "acc", spectral.ACC_BAND, axes=True)
     out = df.withColumn("_block", block).select(*df.columns, "_block.*")
-    # a flat window's total power is the 1e-12 guard itself
-    empty = {n: 1e-12 if n == "acc_total_power" else 0.0
-             for n in out.columns if n.startswith("acc_")}
-    return out.withColumns({n: F.coalesce(F.col(n), F.lit(v)) for n, v in empty.items()})
+    there = F.col(column).isNotNull()
+    if "has_acc" in df.columns:
+        there = there & F.coalesce(F.col("has_acc"), F.lit(False))
+    names = [n for n in out.columns if n.startswith("acc_") and n not in df.columns]
+    return out.withColumns({n: F.coalesce(F.when(there, F.col(n)), F.lit(0.0)) for n in names})
 
 
 def covariate_features(df: DataFrame) -> DataFrame:

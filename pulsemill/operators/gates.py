@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsemill.operators.metrics import _share, scored
+from pulsemill.operators.constraints import filled, only_task
+from pulsemill.operators.metrics import _share
 
 
 def _gate_columns(truth: Column, decided: Column, total: str) -> list[Column]:
@@ -42,16 +43,20 @@ def common_windows(quality: DataFrame, hr: DataFrame) -> DataFrame:
 
 
 def pipeline_report(quality: DataFrame, hr: DataFrame) -> DataFrame:
-    """Gate shares and accepted-window HR errors over the windows both files cover."""
-    rows = common_windows(quality, hr)
+    """Gate shares and accepted-window HR errors over the windows both files cover.
+
+    A row of the wrong task on either side, and two files without a common window, are errors.
+    """
+    rows = common_windows(only_task(quality, "quality"), only_task(hr, "hr"))
     accepted = F.col("y_pred_quality").eqNullSafe(1.0)
     error = F.when(accepted, F.col("y_true_hr") - F.col("y_pred_hr"))
-    return rows.agg(
+    sums = rows.agg(
         *_gate_columns(F.col("y_true_quality"), F.col("y_pred_quality"), "n_windows"),
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.count_if(accepted & error.isNull()).alias("n_null"),
-    ).select(*_gate_shares("n_windows"), "mae", "rmse", "n_null")
+    )
+    return filled(sums, "n_windows", "common windows").select(*_gate_shares("n_windows"), "mae", "rmse", "n_null")
 
 
 def accepted_windows(quality: DataFrame, hr: DataFrame) -> DataFrame:
@@ -61,11 +66,12 @@ def accepted_windows(quality: DataFrame, hr: DataFrame) -> DataFrame:
 
 def cascade_report(quality: DataFrame, hr: DataFrame | None = None) -> DataFrame:
     """Gate shares on the full quality table; HR errors on the accepted part of ``hr``."""
-    gate = quality.agg(*_gate_columns(F.col("y_true"), F.col("y_pred"), "n_test")).select(
-        *_gate_shares("n_test")
-    )
+    quality = only_task(quality, "quality")
+    sums = quality.agg(*_gate_columns(F.col("y_true"), F.col("y_pred"), "n_test"))
+    gate = filled(sums, "n_test", "quality predictions").select(*_gate_shares("n_test"))
     if hr is None:
         return gate
+    hr = only_task(hr, "hr")
     error = F.col("y_true") - F.col("y_pred")
     on_accepted = accepted_windows(quality, hr).agg(
         F.struct(
@@ -91,37 +97,45 @@ def with_activity(hr: DataFrame, registry: DataFrame) -> DataFrame:
     return hr.join(registry.select("record_id", "activity"), "record_id", "left")
 
 
-def activity_report(hr: DataFrame, registry: DataFrame) -> DataFrame:
+def activity_report(hr: DataFrame, registry: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """HR errors overall (activity null) and per activity, with each row's level.
 
+    ``n_windows`` counts all windows of a level, ``n`` those with a readable prediction.
+    With quality predictions the overall row bears the share of windows that they accept.
     Rows are reduced to sums per activity first, then the overall row is added up
     from those. Windows without an activity count in the overall row only.
     """
-    error = F.col("y_true") - F.col("y_pred")
+    readable = F.col("y_pred").isNotNull()
+    error = F.when(readable, F.col("y_true") - F.col("y_pred"))
     sums = (
-        scored(with_activity(hr, registry))
+        with_activity(only_task(hr, "hr"), registry)
         .groupBy("activity")
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count(F.lit(1)).alias("n_windows"),
+            F.count_if(readable).alias("n"),
             F.count(error).alias("n_error"),
             F.sum(F.abs(error)).alias("abs_error"),
             F.sum(error * error).alias("sq_error"),
         )
     )
-    return (
+    out = (
         sums.rollup("activity")
         .agg(
             F.grouping("activity").alias("is_total"),
+            F.sum("n_windows").alias("n_windows"),
             F.sum("n").alias("n"),
             F.try_divide(F.sum("abs_error"), F.sum("n_error")).alias("mae"),
             F.sqrt(F.try_divide(F.sum("sq_error"), F.sum("n_error"))).alias("rmse"),
         )
-        .where((F.col("is_total") == 1) | F.col("activity").isNotNull())
-        .select(
-            F.when(F.col("is_total") == 1, "overall").otherwise("activity").alias("level"),
-            "activity",
-            "n",
-            "mae",
-            "rmse",
-        )
+        .where((F.col("is_total") == 1) | (F.col("activity").isNotNull() & (F.col("n") > 0)))
+    )
+    share = F.lit(None).cast("double") if quality is None else accepted_share(only_task(quality, "quality")).scalar()
+    return filled(out, "n_windows", "HR predictions").select(
+        F.when(F.col("is_total") == 1, "overall").otherwise("activity").alias("level"),
+        "activity",
+        "n_windows",
+        "n",
+        "mae",
+        "rmse",
+        F.when(F.col("is_total") == 1, share).alias("accepted_fraction"),
     )

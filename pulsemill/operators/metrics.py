@@ -93,16 +93,24 @@ def _pairs_in_order(by: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterato
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        totals: dict[tuple, list] = {}
+        totals: dict[tuple, list] = {}  # the run at hand only
+        last = None
+
+        def row(run: tuple) -> pd.DataFrame:
+            return pd.DataFrame([(*run, part, *totals.pop(run))], columns=[*by, "part", "pos", "neg", "inside"])
+
         for batch in batches:
             for run, rows in batch.groupby(by, sort=False, dropna=False):
+                if run != last and last in totals:  # rows are sorted: that run is complete
+                    yield row(last)
+                last = run
                 seen = totals.setdefault(run, [0, 0, 0.0])
                 p, n = rows["pos"].to_numpy(), rows["neg"].to_numpy()
                 seen[2] += float((p * (seen[1] + n.cumsum() - 0.5 * n)).sum())
                 seen[0] += int(p.sum())
                 seen[1] += int(n.sum())
-        rows = [(*run, part, *seen) for run, seen in totals.items()]
-        yield pd.DataFrame(rows, columns=[*by, "part", "pos", "neg", "inside"])
+        if last is not None:
+            yield row(last)
 
     return count
 
@@ -173,7 +181,11 @@ def hr_metrics(predictions: DataFrame, by: Sequence[str] = ("run_id",)) -> DataF
 
 
 def evaluate(predictions: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
-    """One summary row per run and task: row counts, invalid share, the task's metrics."""
+    """One summary row per run: row counts, invalid share, and the metrics of its task.
+
+    Quality runs have the four cells and the scores per class too. A run with rows of
+    two tasks is an error.
+    """
     keys = [*by, "task"]
     readable = F.col("y_pred").isNotNull()
     error = F.when(readable, F.col("y_true") - F.col("y_pred"))
@@ -185,9 +197,13 @@ def evaluate(predictions: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFra
         F.avg(F.abs(error)).alias("mae"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
     )
+    mixed = F.raise_error(F.concat(F.lit("several tasks in one run: "), F.concat_ws(", ", *by)))
+    tasks = F.count(F.lit(1)).over(W.partitionBy(*by))  # a row per run and task here
+    counts = counts.withColumn("_tasks", tasks).where(F.when(F.col("_tasks") == 1, True).otherwise(mixed)).drop("_tasks")
     auc = roc_auc(scored(predictions).where("task = 'quality'"), keys).drop("n_with_score")
     is_quality = (F.col("task") == "quality") & (F.col("n_scored") > 0)
     is_hr = F.col("task") == "hr"
+    cells = ("tn", "fp", "fn", "tp")
     return counts.join(auc, keys, "left").select(
         *keys,
         "n_records",
@@ -199,23 +215,35 @@ def evaluate(predictions: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFra
         F.when(is_quality, F.col("roc_auc")).alias("roc_auc"),
         F.when(is_hr, F.col("mae")).alias("mae"),
         F.when(is_hr, F.col("rmse")).alias("rmse"),
+        *[F.when(is_quality, F.col(c)).alias(c) for c in cells],
+        *[F.when(is_quality, c).alias(name) for name, c in class_scores().items()],
     )
 
 
 def report_json(evaluated: DataFrame) -> DataFrame:
-    """The report of each run as one JSON text."""
+    """The report of each run as one JSON text, with the full metrics block of its task."""
+
+    def per_class(name: str) -> Column:
+        scores = ("precision", "recall", "f1", "support")
+        return F.struct(*[F.col(f"{name}_{s}").alias(s) for s in scores])
+
+    quality = F.struct(
+        F.col("n_scored").alias("n"), "macro_f1", "accuracy",
+        F.struct(per_class("bad").alias("0"), per_class("good").alias("1")).alias("per_class"),
+        confusion_matrix().alias("confusion_matrix"),
+        F.array(F.lit("bad"), F.lit("good")).alias("confusion_matrix_labels"),
+        "roc_auc",
+    )
+    hr = F.struct(F.col("n_scored").alias("n"), "mae", "rmse")
+    readable = F.col("n_scored") > 0
+    head = ("task", "n_records", "n_scored", "n_invalid_responses", "invalid_response_fraction")
+    keep = {"ignoreNullFields": "false"}
     return evaluated.select(
         "run_id",
-        F.to_json(
-            F.struct(
-                "task",
-                "n_records",
-                "n_scored",
-                "n_invalid_responses",
-                "invalid_response_fraction",
-                F.struct("macro_f1", "accuracy", "roc_auc", "mae", "rmse").alias("metrics"),
-            )
-        ).alias("report"),
+        F.when(
+            F.col("task") == "quality",
+            F.to_json(F.struct(*head, F.when(readable, quality).alias("metrics")), keep),
+        ).otherwise(F.to_json(F.struct(*head, F.when(readable, hr).alias("metrics")), keep)).alias("report"),
     )
 
 

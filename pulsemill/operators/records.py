@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsemill.functions import answers, labels
@@ -72,12 +72,13 @@ def answers_to_predictions(records: DataFrame, responses: DataFrame, task: str)
     """Parse each record's ``raw_response``; unreadable answers keep their row.
 
     Records and responses must pair up one to one: anything left over on either
-    side fails the job instead of vanishing in the join.
+    side, and an id that stands twice on one, fails the job instead of vanishing or
+    multiplying in the join.
     """
     if task not in ("quality", "hr"):
         raise ValueError(f"unknown task {task!r}")
-    both = records.withColumn("is_record", F.lit(True)).join(
-        responses.select("record_id", "raw_response").withColumn("is_response", F.lit(True)),
+    both = _once(records, "record").withColumn("is_record", F.lit(True)).join(
+        _once(responses.select("record_id", "raw_response"), "response").withColumn("is_response", F.lit(True)),
         "record_id",
         "full_outer",
     )
@@ -97,6 +98,14 @@ def answers_to_predictions(records: DataFrame, responses: DataFrame, task: str)
     )
 
 
+def _once(df: DataFrame, what: str, key: str = "record_id") -> DataFrame:
+    """``df``, failing the job when a row's key stands twice. Rows of a key meet in the order of
+    the join that follows, so this costs no shuffle of its own."""
+    again = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    error = F.raise_error(F.concat(F.lit(f"{what} twice: "), F.col(key)))
+    return df.withColumn("_again", again).where(F.when(F.col("_again") == 1, True).otherwise(error)).drop("_again")
+
+
 def recover_labels(mart: DataFrame, task: str) -> DataFrame:
     """Take the label from the text answer where the mart carries no exact label at all."""
     column = "quality_label" if task == "quality" else "hr_ref"
@@ -133,7 +142,9 @@ def uncovered_subjects(registry: DataFrame, split: DataFrame) -> DataFrame:
 
 def annotated(annotations: DataFrame, info: DataFrame) -> DataFrame:
     """Annotations with subject info by record id, registry column names."""
-    info = info.dropDuplicates(["ID"]).select(
+    # of several rows of an id, the smallest: the same one in every run
+    info = info.groupBy("ID").agg(F.min(F.struct(*[c for c in info.columns if c != "ID"])).alias("i")).select("ID", "i.*")
+    info = info.select(
         F.col("ID").alias("record_id"),
         F.col("Gender").alias("sex"),
         F.col("Age [years]").alias("age"),

@@ -4,7 +4,7 @@
 * :func:`sorted_runs` / :func:`dense_index` - global order per key by range shuffle,
   so a single key spreads over many tasks.
 * :func:`hash_rank` - rank by a uniform hash, counted per hash prefix.
-* :func:`exact_median` - exact median by successive narrowing, no value list in one task.
+* :func:`exact_median` - exact median from running counts over sorted runs.
 """
 
 from __future__ import annotations
@@ -153,64 +153,41 @@ def hash_rank(
     )
 
 
-def exact_median(
-    df: DataFrame, value: str, by: str, name: str = "median", small: int = BROADCAST_ROWS
-) -> DataFrame:
+def exact_median(df: DataFrame, value: str, by: str, name: str = "median") -> DataFrame:
     """Exact median per ``by``, with no unbounded group gathered in one task.
 
-    Equal values are counted first. A table of few distinct values (checked) is
-    left to the built-in percentile. Beyond that, each value gets a coarse and a fine bin
-    inside its group's range; running counts over at most 1024 bins locate the
-    one holding each middle rank, and only that bin's values are looked at next.
+    Equal values are counted first and range-sorted into runs. Running counts over
+    (group, run) find the run that holds each middle rank, and only the values of
+    that run are looked at, whatever the distribution of the values.
     """
-    values = materialize(
+    counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(by, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    if fits_broadcast(values, small):
-        return values.groupBy(by).agg(F.percentile("v", 0.5, F.col("n")).alias(name))
-    span = values.groupBy(by).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("n_all")
-    )
-    share = F.when(
-        F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    ).otherwise(0.0)
-    binned = join_dimension(values, span, by).select(
-        by,
-        "v",
-        "n",
-        F.floor(share * 1024).alias("coarse"),
-        F.floor(share * 1048576).alias("fine"),
-    )
-    # the one or two middle ranks of each group
-    wanted = span.select(
-        by,
-        F.explode(
-            F.array(F.floor((F.col("n_all") + 1) / 2), F.floor((F.col("n_all") + 2) / 2))
-        ).alias("rank"),
-    )
-    wanted = wanted.groupBy(by, "rank").agg(F.count(F.lit(1)).alias("times"))
-
-    def narrow(level: DataFrame, targets: DataFrame, parents: list[str], key: str) -> DataFrame:
-        """Replace each target rank by its bin and the rank inside that bin."""
-        earlier = W.partitionBy(by, *parents).orderBy(key).rowsBetween(*EARLIER)
-        sums = (
-            level.groupBy(by, *parents, key)
-            .agg(F.sum("n").alias("n"))
-            .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-        )
-        return (
-            sums.join(targets, [by, *parents])
-            .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
-            .select(by, *parents, key, (F.col("rank") - F.col("before")).alias("rank"), "times")
+    runs = sorted_runs(counted, [by], ["v"])
+    whole = W.partitionBy(by)
+    earlier = whole.orderBy("run").rowsBetween(*EARLIER)
+    rank = F.explode(
+        F.array(F.floor((F.col("n_all") + 1) / 2), F.floor((F.col("n_all") + 2) / 2))
+    ).alias("rank")
+    wanted = (
+        runs.groupBy(by, "run").agg(F.sum("n").alias("n_run"))
+        .select(
+            by, "run", "n_run",
+            F.coalesce(F.sum("n_run").over(earlier), F.lit(0)).alias("before"),
+            F.sum("n_run").over(whole).alias("n_all"),
         )
-
-    at = narrow(binned, wanted, [], "coarse")
-    at = narrow(binned.join(at.select(by, "coarse").distinct(), [by, "coarse"], "left_semi"),
-                at, ["coarse"], "fine")
-    at = narrow(binned.join(at.select(by, "fine").distinct(), [by, "fine"], "left_semi"),
-                at, ["coarse", "fine"], "v")
-    return at.groupBy(by).agg(
-        (F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias(name)
+        .select(by, "run", "n_run", "before", rank)
+        .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n_run")))
+        .groupBy(by, "run", (F.col("rank") - F.col("before")).alias("rank"))
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    inside = W.partitionBy(by, "run", "rank").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    return (
+        runs.select(by, "run", "v", "n").join(wanted, [by, "run"])
+        .withColumn("upto", F.sum("n").over(inside))
+        .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+        .groupBy(by)
+        .agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias(name))
     )

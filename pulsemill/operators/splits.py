@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsemill.operators.scale import BROADCAST_ROWS, dense_index, exact_median, hash_rank
+from pulsemill.operators.scale import dense_index, exact_median, hash_rank, join_dimension
 from pulsemill.schemas import FOLDS
 from pulsemill.session import materialize
 
@@ -30,27 +30,28 @@ def subject_mode(registry: DataFrame, column: str, key: str = "subject_id") -> D
 def subject_strata(registry: DataFrame, balance_on: Sequence[str]) -> DataFrame:
     """One stratum text per subject.
 
-    Numbers: is the subject's mean above the median of all subject means. Other
+    Numbers and booleans: is the subject's mean above the median of all subject means. Other
     columns: the subject's mode. Parts are joined with a bar.
     """
     missing = [c for c in balance_on if c not in registry.columns]
     if missing:
         raise ValueError(f"cannot balance on missing columns {missing}")
-    out = registry.select("subject_id").distinct()
+    kinds = (T.NumericType, T.BooleanType)
+    numbers = [i for i, c in enumerate(balance_on) if isinstance(registry.schema[c].dataType, kinds)]
+    means = [F.avg(F.col(balance_on[i]).cast("double")).alias(f"mean{i}") for i in numbers]
+    out = registry.groupBy("subject_id").agg(F.count(F.lit(1)).alias("_n"), *means)  # one scan for all of them
+    if numbers:
+        out = materialize(out)
+    for i in numbers:
+        middle = exact_median(out.select(f"mean{i}", F.lit(0).alias("everyone")), f"mean{i}", "everyone")
+        above = F.col(f"mean{i}") > middle.select("median").scalar()
+        out = out.withColumn(f"part{i}", F.when(above, "1").otherwise("0"))
     for i, column in enumerate(balance_on):
-        part = f"part{i}"
-        if isinstance(registry.schema[column].dataType, T.NumericType):
-            means = registry.groupBy("subject_id").agg(F.avg(column).alias("m"))
-            middle = exact_median(means.withColumn("everyone", F.lit(0)), "m", "everyone")
-            above = F.col("m") > middle.select("median").scalar()
-            bucket = means.select(
-                "subject_id", F.when(above, "1").otherwise("0").alias(part)
-            )
-        else:
+        if i not in numbers:
             bucket = subject_mode(registry, column).select(
-                "subject_id", F.coalesce(F.col(column).cast("string"), F.lit("na")).alias(part)
+                "subject_id", F.coalesce(F.col(column).cast("string"), F.lit("na")).alias(f"part{i}")
             )
-        out = out.join(bucket, "subject_id", "left")
+            out = out.join(bucket, "subject_id", "left")
     parts = [F.col(f"part{i}") for i in range(len(balance_on))]
     return out.select("subject_id", F.concat_ws("|", *parts).alias("stratum"))
 
@@ -73,18 +74,13 @@ def take_share(strata: DataFrame, share: float, seed: int) -> DataFrame:
     )
     spare = F.lit(wanted) - sizes.agg(F.sum("base")).scalar()
     sizes = sizes.withColumns({"missing": -F.col("rest"), "everyone": F.lit(0)})
-    order = ["missing", "stratum"]
-    if seen["k"] <= BROADCAST_ROWS:
-        place = F.row_number().over(W.partitionBy("everyone").orderBy(*order)) - 1
-        placed = sizes.withColumn("place", place)
-    else:
-        placed = dense_index(sizes, ["everyone"], order, "place")
+    placed = dense_index(sizes, ["everyone"], ["missing", "stratum"], "place")
     quotas = placed.select(
         "stratum",
         (F.col("base") + F.when(F.col("place") < spare, 1).otherwise(0)).alias("quota"),
     )
     ranked = hash_rank(strata, ["stratum"], seed, "subject_id")
-    return ranked.join(quotas, "stratum").select(
+    return join_dimension(ranked, quotas, "stratum").select(
         "subject_id", (F.col("rank") <= F.col("quota")).alias("taken")
     )
 
@@ -98,11 +94,11 @@ def subject_split(
     """(subject_id, fold): the test fold is drawn first, then the validation fold."""
     if len(ratios) != 3 or abs(sum(ratios) - 1.0) > 1e-6:
         raise ValueError(f"ratios must be three shares adding up to 1, got {tuple(ratios)}")
-    subjects = registry.select("subject_id").distinct().limit(3).count()
-    if subjects < 3:
-        raise ValueError(f"a split needs at least 3 subjects, got {subjects}")
     train, val, test = ratios
     strata = materialize(subject_strata(registry, balance_on))
+    subjects = strata.limit(3).count()
+    if subjects < 3:
+        raise ValueError(f"a split needs at least 3 subjects, got {subjects}")
     first = materialize(take_share(strata, test, seed))
     rest = strata.join(first.where("NOT taken").select("subject_id"), "subject_id", "left_semi")
     second = take_share(rest, val / (train + val), seed)

@@ -109,11 +109,12 @@ def label_as_of(
     Both tables are sorted together into range runs. Inside a run the last label
     is carried along; what a run starts with comes from the last label of the
     key's earlier runs, a table with one row per (key, run). A key that holds
-    much of the data is thus spread over many runs. Entries at equal times rank
-    before the window, the greatest label last.
+    much of the data is thus spread over many runs, also if it all happens at one
+    instant: a hash of the row comes last in the order. Entries at equal times rank
+    before the window, the greatest label last. Entries without a time label nothing.
     """
     windows = windows.drop(label)
-    both = log.select(
+    both = log.where(F.col(log_time).cast("double").isNotNull()).select(
         *keys,
         F.col(log_time).cast("double").alias("at_time"),
         F.lit(0).alias("is_window"),
@@ -130,7 +131,9 @@ def label_as_of(
             F.struct("*").alias("row"),
         )
     )
-    runs = sorted_runs(both, keys, ["at_time", "is_window", "seen"])
+    # rows that tie here are of one kind, and their order does not matter
+    both = both.withColumn("tie", F.xxhash64(F.to_json("row"), F.monotonically_increasing_id()))
+    runs = sorted_runs(both, keys, ["at_time", "is_window", "seen", "tie"])
     inside = W.partitionBy(*keys, "run").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy(*keys).orderBy("run").rowsBetween(*EARLIER)
     carried = (

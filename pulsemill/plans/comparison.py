@@ -45,10 +45,26 @@ def labelled(ledger: DataFrame) -> DataFrame:
     )
 
 
+def newest_by_entries(ledger: DataFrame) -> DataFrame:
+    """The newest finished run per model, task and config entries, labelled.
+
+    A label depends on these alone, so only the few runs that are left get one.
+    """
+    entries = ("method", "llm_id", "ecg_init")
+    done = ledger.where("status = 'finished'").select(
+        "run_id", "created_at", "status", "metrics", "model", "task",
+        *[labels.config_value(F.col("config"), e).alias(f"_{e}") for e in entries],
+        labels.input_variant(F.col("config")).alias("variant"),
+    )
+    left = latest_finished(done, ["model", "task", *[f"_{e}" for e in entries], "variant"])
+    label = labels.run_label(*[F.col(c) for c in ("model", "task", "_method", "_llm_id", "_ecg_init")])
+    return left.withColumn("label", label).withColumn("family", labels.row_family(F.col("label")))
+
+
 def main_table(ledger: DataFrame) -> DataFrame:
     """One row per model family in fixed order; families without a run keep an empty row."""
     spark = ledger.sparkSession
-    best = latest_finished(labelled(ledger).where("variant = 'ppg'"), ["family", "task"])
+    best = latest_finished(newest_by_entries(ledger).where("variant = 'ppg'"), ["family", "task"])
     wide = best.groupBy("family").agg(
         F.max_by("label", (F.col("task") == "quality").cast("int")).alias("label"),
         *[
@@ -74,7 +90,7 @@ def main_table(ledger: DataFrame) -> DataFrame:
 def extended_table(ledger: DataFrame) -> DataFrame:
     """Quality Macro-F1 by input variant for the models that take more inputs."""
     spark = ledger.sparkSession
-    runs = labelled(ledger).where("task = 'quality'").where(F.col("label").isin(*labels.EXTENDED_ROWS))
+    runs = newest_by_entries(ledger.where("task = 'quality'")).where(F.col("label").isin(*labels.EXTENDED_ROWS))
     best = latest_finished(runs, ["label", "variant"])
     wide = (
         best.select("label", "variant", "metrics.macro_f1")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pulsemill.functions import answers, arrays, spectral
 from pulsemill.operators.records import ecg_rows, target, task_rows
-from pulsemill.operators.scale import join_dimension
-from pulsemill.schemas import HR_RANGE
+from pulsemill.operators.scale import dense_index
+from pulsemill.schemas import FOLDS, HR_RANGE
 
 SOURCE_FS = 30.0
 
@@ -27,7 +27,10 @@ PRE_PROMPT = (
     "You are given a photoplethysmography (PPG) signal recorded at a fingertip, "
     "sampled at 30 Hz for 10 seconds (300 points)."
 )
+SERIES_TEXT = "This is the %s, it has mean %%.4f and std %%.4f."
+SIGNAL_TEXT = "%s signal"
 MAGNITUDE_TEXT = "accelerometer magnitude (L2 norm of the 3 axes)"
+AXIS_TEXT = "accelerometer data on the %s-axis"
 ACC_MODES = ("none", "magnitude", "axes")
 
 
@@ -63,9 +66,7 @@ def _entry(x: Column, what: str) -> Column:
     return arrays.let(
         arrays.zscore(x),
         lambda z: F.struct(
-            F.format_string(
-                f"This is the {what}, it has mean %.4f and std %.4f.", z["mean"], z["std"]
-            ).alias("text"),
+            F.format_string(SERIES_TEXT % what, z["mean"], z["std"]).alias("text"),
             z["x"].alias("series"),
         ),
     )
@@ -75,7 +76,7 @@ def time_series(acc_mode: str = "none", signal: str = "ppg") -> Column:
     """The entries of a prompt record; their number varies with ACC availability."""
     if acc_mode not in ACC_MODES:
         raise ValueError(f"unknown acc_mode {acc_mode!r}, expected one of {ACC_MODES}")
-    main = F.array(_entry(F.col(signal), f"{signal.upper()} signal"))
+    main = F.array(_entry(F.col(signal), SIGNAL_TEXT % signal.upper()))
     if signal != "ppg" or acc_mode == "none":
         return main
     acc = F.col("acc")
@@ -84,7 +85,7 @@ def time_series(acc_mode: str = "none", signal: str = "ppg") -> Column:
     else:
         extra = F.array(
             *[
-                _entry(acc[i], f"accelerometer data on the {axis}-axis")
+                _entry(acc[i], AXIS_TEXT % axis)
                 for i, axis in enumerate("xyz")
             ]
         )
@@ -123,30 +124,31 @@ def answered(mart: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def manifest(mart: DataFrame, **parameters) -> DataFrame:
-    """Counts per task and split with the build parameters."""
+    """Counts per task and fold with the build parameters; an empty fold has zero counts."""
     per_subject = mart.groupBy("task", "split", "subject_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_subject.groupBy("task", "split").agg(
+        F.count(F.lit(1)).alias("subjects"), F.sum("n").alias("windows")
+    )
+    folds = counts.select("task").distinct().select("task", F.explode(F.array(*map(F.lit, FOLDS))).alias("split"))
     return (
-        per_subject.groupBy("task", "split")
-        .agg(F.count(F.lit(1)).alias("subjects"), F.sum("n").alias("windows"))
+        folds.join(counts, ["task", "split"], "full")
+        .fillna(0, ["subjects", "windows"])
         .withColumns({name: F.lit(value) for name, value in parameters.items()})
     )
 
 
 def subject_tensors(mart: DataFrame, rows_per_part: int = 4096) -> DataFrame:
-    """Windows packed per subject as (record_ids, x (N, 1, L), y), in record order.
+    """Windows packed per subject as (part, record_ids, x (N, 1, L), y), in record order.
 
-    A subject's pack is cut into parts by a hash of the record id, a number of
-    parts that grows with the subject, so that no single row holds an unbounded
-    number of windows.
+    Part 0 holds the subject's first ``rows_per_part`` records, part 1 the next, and so on,
+    so no row holds more windows than that.
     """
     keys = ["task", "split", "subject_id"]
-    keyed = mart.withColumn("_key", F.concat_ws("|", *keys))
-    sizes = keyed.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).alias("_parts"))
+    placed = dense_index(mart, keys, ["record_id"], "_position")
     return (
-        join_dimension(keyed, sizes, "_key")
-        .withColumn("part", F.pmod(F.xxhash64("record_id"), F.col("_parts")))
+        placed.withColumn("part", F.floor(F.col("_position") / rows_per_part))
         .groupBy(*keys, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("record_id", "x", "y"))).alias("rows"))
+        .agg(F.array_sort(F.collect_list(F.struct("_position", "record_id", "x", "y"))).alias("rows"))
         .select(
             *keys,
             "part",

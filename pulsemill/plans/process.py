@@ -97,9 +97,9 @@ def watch_registry(spark: SparkSession, raw: str, dataset: str = "", invert: boo
     """Registry of a folder of watch recordings."""
     found = watch.discover(spark, raw)
     return watch_windows(
-        watch.read_signal(spark, found, "ppg", watch.PPG_FS),
-        watch.read_signal(spark, found, "ecg", watch.ECG_FS),
-        watch.read_events(spark, found),
+        watch.read_signal(spark, raw, found, "ppg", watch.PPG_FS),
+        watch.read_signal(spark, raw, found, "ecg", watch.ECG_FS),
+        watch.read_events(spark, raw, found),
         invert=invert,
         dataset=dataset,
     )

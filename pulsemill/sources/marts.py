@@ -36,4 +36,4 @@ def read_prompt_mart(spark: SparkSession, path: str, task: str, split: str, sche
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.coalesce(1).write.mode("overwrite").json(path)
+    manifest.write.mode("overwrite").json(path)

@@ -45,11 +45,13 @@ def _decode(files: DataFrame, unpack: Callable[[bytes], dict], schema: T.StructT
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def decode_windows(files: DataFrame, ndim: int = 1) -> DataFrame:
-    """``.npy`` contents as float arrays of the given rank."""
+def decode_windows(files: DataFrame, ndim: int = 1, flat: bool = False) -> DataFrame:
+    """``.npy`` contents as float arrays of the given rank; ``flat`` takes any rank, in row order."""
 
     def unpack(content: bytes) -> dict:
         array = np.load(io.BytesIO(content), allow_pickle=False).astype(np.float32)
+        if flat:
+            array = array.reshape(-1)
         if array.ndim != ndim:
             raise ValueError(f"expected {ndim} dimensions, got shape {array.shape}")
         return {"x": array if ndim == 1 else list(array)}
@@ -76,6 +78,11 @@ def read_windows(spark: SparkSession, folder: str) -> DataFrame:
     return decode_windows(signal_files(spark, folder, "*.npy"))
 
 
+def read_ecg(spark: SparkSession, folder: str) -> DataFrame:
+    """ECG windows; a file with one column or one row too many dimensions is one series."""
+    return decode_windows(signal_files(spark, folder, "*.npy"), flat=True)
+
+
 def read_matrices(spark: SparkSession, folder: str) -> DataFrame:
     return decode_windows(signal_files(spark, folder, "*.npy"), ndim=2)
 

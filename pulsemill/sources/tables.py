@@ -13,7 +13,7 @@ from pulsemill.operators.constraints import (
     require_registry,
     require_valid,
 )
-from pulsemill.operators.scale import fits_broadcast
+from pulsemill.operators.scale import join_dimension
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +41,31 @@ def read_registry(spark: SparkSession, path: str, datasets=None) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:
-    """Split files as one row per subject: (split_id, subject_id, fold, low-data block)."""
+    """Splits as one row per subject: (split_id, subject_id, fold, low-data block).
+
+    ``path`` holds a table of :func:`write_split`, or published JSON files with three lists each.
+    """
+    table = _read_split_table(spark, path) if _has_parquet(spark, path) else _read_split_lists(spark, path)
+    require_disjoint(table.withColumn("subject_id", F.concat_ws("/", "split_id", "subject_id")))
+    return table.select(*schemas.SPLIT.names)
+
+
+def _has_parquet(spark: SparkSession, path: str) -> bool:
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return len(fs.globStatus(pattern) or []) > 0
+
+
+def _read_split_table(spark: SparkSession, path: str) -> DataFrame:
+    none = F.lit(None)
+    return spark.read.parquet(path).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("split_id"),
+        "fold", "subject_id", none.cast("double").alias("fraction"), F.col("seed").cast("int").alias("seed"),
+        none.cast("int").alias("n_train_subjects"),
+    )
+
+
+def _read_split_lists(spark: SparkSession, path: str) -> DataFrame:
     files = (
         spark.read.schema(schemas.SPLIT_FILE)
         .json(path, multiLine=True)
@@ -51,7 +75,7 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
         F.struct(F.lit(fold).alias("fold"), F.col(f"{fold}_subjects").alias("subjects"))
         for fold in schemas.FOLDS
     ])
-    table = (
+    return (
         files.select("split_id", "seed", "low_data", F.explode(lists).alias("part"))
         .select(
             "split_id",
@@ -62,39 +86,15 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
             F.col("low_data.n_train_subjects").alias("n_train_subjects"),
         )
     )
-    one_split = table.withColumn("subject_id", F.concat_ws("/", "split_id", "subject_id"))
-    require_disjoint(one_split)
-    return table.select(*schemas.SPLIT.names)
-
-
-def write_split_table(split: DataFrame, path: str) -> None:
-    """A split of any size as a (subject_id, fold) table."""
-    require_disjoint(split)
-    split.write.mode("overwrite").parquet(path)
 
 
 def write_split(split: DataFrame, path: str, seed: int, ratios) -> None:
-    """One JSON object with three sorted subject lists, for splits that fit one row."""
+    """A split of any size: a row per subject, with the seed and the ratios it was drawn with."""
     require_disjoint(split)
-    if not fits_broadcast(split):
-        raise ValueError("too many subjects for one JSON object, use write_split_table")
-    lists = [
-        F.array_sort(F.collect_set(F.when(F.col("fold") == fold, F.col("subject_id")))).alias(
-            f"{fold}_subjects"
-        )
-        for fold in schemas.FOLDS
-    ]
-    (
-        split.agg(*lists)
-        .select(
-            F.lit(seed).alias("seed"),
-            F.array(*[F.lit(float(r)) for r in ratios]).alias("ratios"),
-            *[f"{fold}_subjects" for fold in schemas.FOLDS],
-        )
-        .coalesce(1)
-        .write.mode("overwrite")
-        .json(path)
-    )
+    split.select(
+        "subject_id", "fold", F.lit(seed).alias("seed"),
+        F.array(*[F.lit(float(r)) for r in ratios]).alias("ratios"),
+    ).write.mode("overwrite").parquet(path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -121,9 +121,13 @@ def write_prediction_table(predictions: DataFrame, path: str) -> None:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Run records; a file that is no run record is left out."""
+    """Run records; a file that is no run record, or has fields that a record does not have, is left out."""
     table = spark.read.schema(schemas.LEDGER).json(path, multiLine=True, mode="DROPMALFORMED")
-    return table.where("run_id IS NOT NULL")
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_path"))
+    unknown = F.size(F.array_except(F.json_object_keys("value"), F.array(*map(F.lit, schemas.LEDGER.names)))) > 0
+    strange = whole.where(unknown).select("file_path")
+    kept = table.withColumn("file_path", F.col("_metadata.file_path")).join(strange, "file_path", "left_anti")
+    return kept.where("run_id IS NOT NULL").select(*schemas.LEDGER.names)
 
 
 def load_run(ledger: DataFrame, run_id: str) -> DataFrame:
@@ -136,7 +140,7 @@ def load_run(ledger: DataFrame, run_id: str) -> DataFrame:
 def run_predictions(ledger: DataFrame, predictions: DataFrame) -> DataFrame:
     """Predictions with the model and status of their run."""
     runs = ledger.select("run_id", "model", "status", "created_at")
-    return predictions.join(runs, "run_id")
+    return join_dimension(predictions, runs, "run_id")
 
 
 def unknown_run_values(ledger: DataFrame) -> DataFrame:
@@ -157,10 +161,10 @@ def require_ledger(ledger: DataFrame) -> DataFrame:
 
 
 def write_report(rows: DataFrame, fields: list[str], path: str) -> None:
-    """A report as one CSV with a fixed field order; other columns are dropped."""
-    rows.select(*fields).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A report as CSV with a fixed field order; other columns are dropped."""
+    rows.select(*fields).write.mode("overwrite").csv(path, header=True)
 
 
 def write_json(row: DataFrame, path: str) -> None:
-    """A one-row report as one JSON object."""
-    row.coalesce(1).write.mode("overwrite").json(path)
+    """A report as JSON lines."""
+    row.write.mode("overwrite").json(path)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,10 +113,18 @@ def event_log(df: DataFrame, name: str | None = None, keep_exits: bool = True,
     )
 
 
+def _below(path: Column, root: str) -> Column:
+    """The part of a file's address below the folder ``root``."""
+    plain = F.regexp_replace(F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "%20", " ")
+    bare = re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    return F.substring(plain, F.lit(len(bare) + 1), F.length(plain))
+
+
 def discover(spark: SparkSession, raw: str) -> DataFrame:
     """(subject_id, kind, path): the first matching CSV of each participant and kind.
 
-    A file in the kind's own folder wins over one found deeper. Participants
+    Participants are the folders P* in ``raw`` or in its folder Data; ``path`` is below
+    ``raw``. A file in the kind's own folder wins over one found deeper. Participants
     without both PPG and ECG are left out.
     """
     path = F.col("path")
@@ -125,18 +133,18 @@ def discover(spark: SparkSession, raw: str) -> DataFrame:
         F.when(name.contains("PPG"), "ppg").when(name.contains("ECG"), "ecg")
         .when(name.contains("Event"), "event")
     )
-    below = F.regexp_extract(path, r"/P[^/]*/(.*)$", 1)
+    inside = F.regexp_extract(path, r"^(?:Data/)?P[^/]*/(.*)$", 1)
     home = F.lit(False)
     for name_of_kind, pattern in HOME_FOLDERS.items():
-        home = home | ((kind == name_of_kind) & below.rlike(pattern))
+        home = home | ((kind == name_of_kind) & inside.rlike(pattern))
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")
         .load(raw)
-        .select("path")
+        .select(_below(F.col("path"), raw).alias("path"))
         .withColumn("kind", kind)
-        .withColumn("subject_id", F.regexp_extract(path, r"/(P[^/]*)/", 1))
+        .withColumn("subject_id", F.regexp_extract(path, r"^(?:Data/)?(P[^/]*)/", 1))
         .where("kind IS NOT NULL AND subject_id <> ''")
     )
     first = files.groupBy("subject_id", "kind").agg(
@@ -150,58 +158,89 @@ def discover(spark: SparkSession, raw: str) -> DataFrame:
     )
 
 
-def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple, list[str]]:
-    """Paths by header line, from one distributed pass over the files' first blocks."""
-    first_lines = (
-        spark.read.text(paths)
-        .select("value", "_metadata.file_path", "_metadata.file_block_start")
-        .where("file_block_start = 0")
-        .withColumn("row", F.monotonically_increasing_id())
-        .groupBy("file_path")
-        .agg(F.min_by("value", "row").alias("header"))
+def read_cells(spark: SparkSession, raw: str, found: DataFrame, kind: str) -> DataFrame:
+    """(subject_id, block, row, names, cells): the lines of one kind's files as arrays of texts.
+
+    Releases name and order their columns differently, so every line carries its file's
+    column names. The files are read by one glob; which of them count, and their headers,
+    come by joins on the path, not through the driver.
+    """
+    wanted = found.where(F.col("kind") == kind).select("subject_id", "path")
+    lines = (
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(raw)
+        .select(
+            _below(F.col("_metadata.file_path"), raw).alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+            "value",
+        )
+    )
+    lines = join_dimension(lines, wanted, "path")
+    headers = lines.where("block = 0").groupBy("path").agg(
+        F.min(F.struct("row", "value")).alias("head")
+    ).select("path", F.col("head.row").alias("head_row"), F.col("head.value").alias("header"))
+
+    def split(line: Column) -> Column:
+        """Cells, with quotes around them taken off; a comma inside quotes does not part cells."""
+        parts = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
+        return F.transform(parts, lambda c: F.trim(F.regexp_replace(c, r'^\s*"|"\s*$', "")))
+
+    body = join_dimension(lines, headers, "path").where("row <> head_row AND trim(value) <> ''")
+    return body.select(
+        "subject_id", "block", "row", split(F.regexp_replace("header", "^\ufeff", "")).alias("names"), split(F.col("value")).alias("cells")
+    )
+
+
+def _place(names: Column, keys: Sequence[str]) -> Column:
+    """Zero-based place of the first name that holds the earliest key, or null."""
+    low = F.transform(names, F.lower)
+
+    def first(key: str) -> Column:
+        return F.array_position(F.transform(low, lambda n: n.contains(key)), True)
+
+    at = [first(key) for key in keys]
+    return F.coalesce(*[F.when(a > 0, a - 1) for a in at]).cast("int")
+
+
+def _last_numeric(cells: DataFrame) -> DataFrame:
+    """(subject_id, numeric): the last column whose cells are numbers or empty, and not all empty."""
+    each = cells.select("subject_id", F.posexplode("cells").alias("at", "cell"))
+    empty = F.col("cell") == ""
+    columns = each.groupBy("subject_id", "at").agg(
+        F.bool_and(empty | F.col("cell").try_cast("double").isNotNull()).alias("numbers"), F.bool_or(~empty).alias("filled")
     )
-    out: dict[tuple, list[str]] = {}
-    for row in first_lines.orderBy("file_path").collect():  # one line per file
-        names = tuple(n.strip().strip('"') for n in row["header"].lstrip("\ufeff").split(","))
-        out.setdefault(names, []).append(unquote(row["file_path"]))
-    return out
+    return columns.where("numbers AND filled").groupBy("subject_id").agg(F.max("at").alias("numeric"))
 
 
-def read_csvs(spark: SparkSession, found: DataFrame, kind: str) -> list[DataFrame]:
-    """The files of one kind with ``subject_id`` and a sortable file position.
+def read_signal(spark: SparkSession, raw: str, found: DataFrame, kind: str, fs: float) -> DataFrame:
+    """The (subject_id, t, idx, value) series of every participant for one kind.
 
-    Releases name their columns differently: one scan per distinct header.
+    A file without a column of a known name gives its last numeric one, and is an error
+    without that; a file without a time column counts time at ``fs``.
     """
-    paths = [r["path"] for r in found.where(F.col("kind") == kind).select("path").collect()]
-    tables = []
-    for header, group in _headers(spark, paths).items() if paths else ():
-        columns = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        tables.append(
-            spark.read.schema(columns).csv(group, header=True).withColumns(
-                {
-                    "subject_id": F.regexp_extract(F.col("_metadata.file_path"), r"/(P[^/]*)/", 1),
-                    "_block": F.col("_metadata.file_block_start"),
-                    "_row": F.monotonically_increasing_id(),
-                }
-            )
-        )
-    return tables
-
-
-def read_signal(spark: SparkSession, found: DataFrame, kind: str, fs: float) -> DataFrame:
-    """The (subject_id, t, idx, value) series of every participant for one kind."""
-    out = None
-    for table in read_csvs(spark, found, kind):
-        part = series(table, VALUE_KEYS[kind], ["_block", "_row"], fs)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def read_events(spark: SparkSession, found: DataFrame, keep_exits: bool = True) -> DataFrame:
-    out = None
-    for table in read_csvs(spark, found, "event"):
-        part = event_log(table.drop("_block", "_row"), keep_exits=keep_exits)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "subject_id STRING, t DOUBLE, activity STRING")
-    return out
+    cells = read_cells(spark, raw, found, kind)
+    placed = cells.withColumns({"at": _place(F.col("names"), VALUE_KEYS[kind]), "time": _place(F.col("names"), TIME_KEYS)})
+    odd = placed.where("at IS NULL")
+    if not odd.isEmpty():
+        placed = join_dimension(placed, _last_numeric(odd), "subject_id", "left")
+        error = F.raise_error(F.concat(F.lit("no value column in the file of "), F.col("subject_id")))
+        placed = placed.withColumn("at", F.coalesce("at", "numeric", error.cast("int")))
+
+    def number(at: str) -> Column:
+        value = F.get("cells", F.col(at)).try_cast("double")
+        return F.when(~F.isnan(value), value)
+
+    base = placed.select("subject_id", "block", "row", number("at").alias("value"), number("time").alias("t"), F.col("time").isNotNull().alias("timed"))
+    rows = dense_index(base, ["subject_id"], ["block", "row"], span_of="t")
+    by_clock = _since_start(rows).withColumn("t", F.when(F.col("timed"), F.col("t")).otherwise(F.col("idx") / F.lit(fs)))
+    return by_clock.select("subject_id", "t", "idx", "value")
+
+
+def read_events(spark: SparkSession, raw: str, found: DataFrame, keep_exits: bool = True) -> DataFrame:
+    """(subject_id, t, activity) of every participant with an event file that has the columns."""
+    cells = read_cells(spark, raw, found, "event")
+    time = _place(F.col("names"), TIME_KEYS)
+    others = F.transform(F.col("names"), lambda n, i: F.when(i == F.col("time"), "").otherwise(n))
+    rows = cells.withColumn("time", time).withColumn("name", _place(others, EVENT_KEYS)).where("time IS NOT NULL AND name IS NOT NULL")
+    log = rows.select("subject_id", F.get("cells", F.col("time")).alias("time"), F.get("cells", F.col("name")).alias("event"))
+    return event_log(log, name="event", keep_exits=keep_exits)

@@ -25,7 +25,11 @@ def land_new_files(
     checkpoint: str,
     files_per_batch: int = 10_000,
 ) -> int:
-    """Append the decoded new files of ``folder`` to a parquet table; returns the rows added."""
+    """Append the decoded new files of ``folder`` to a parquet table; returns the rows added.
+
+    They are counted from the table's footers, before and after.
+    """
+    before = _rows(spark, table)
     files = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
@@ -42,7 +46,15 @@ def land_new_files(
         .start()
     )
     query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    return _rows(spark, table) - before
+
+
+def _rows(spark: SparkSession, table: str) -> int:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not [f for f in fs.listStatus(path) if f.getPath().getName().endswith(".parquet")]:
+        return 0
+    return spark.read.parquet(table).count()
 
 
 def land_ppg(spark: SparkSession, folder: str, table: str, checkpoint: str) -> int:

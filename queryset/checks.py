@@ -158,10 +158,13 @@ def unknown_run_values_(spark, sf):
 
 @query(
     "wrong_report_input",
-    sql([QUALITY_PRED], """SELECT run_id, 1 + CAST(0 AS BIGINT) AS n_tasks, count(*) AS n FROM quality_pred GROUP BY run_id"""),
+    sql(
+        [QUALITY_PRED],
+        """SELECT record_id, 'not a hr row' AS problem FROM quality_pred
+        WHERE NOT coalesce(CASE WHEN y_true = 1 THEN 'hr' WHEN y_pred = 1 THEN 'quality' END = 'hr', false)""",
+    ),
 )
 def wrong_report_input(spark, sf):
-    """Runs of the quality files by task count, as the gate reports require."""
-    return quality_predictions(spark, sf).groupBy("run_id").agg(
-        F.count_distinct("task").alias("n_tasks"), F.count(F.lit(1)).alias("n")
-    )
+    """Rows that the HR reports refuse: some of another task, some without one."""
+    task = F.when(F.col("y_true") == 1, "hr").when(F.col("y_pred") == 1, "quality")
+    return constraints.wrong_task_rows(quality_predictions(spark, sf).withColumn("task", task), "hr")

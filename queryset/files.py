@@ -12,10 +12,10 @@ from pulsemill.operators.records import prediction_frame
 from pulsemill.plans import marts
 from pulsemill.session import shared_folder
 from pulsemill.sources import marts as mart_io
-from pulsemill.sources import signals, tables
+from pulsemill.sources import signals, tables, watch
 from queryset.answers import QUALITY_TEXT, quality_responses
 from queryset.base import query, r6, sql, table
-from queryset.inputs import HASHED_SPLIT, PPG_RAW, SIGNALS, hashed_split, signal_registry
+from queryset.inputs import HASHED_SPLIT, PPG_RAW, SAMPLES, SIGNALS, hashed_split, samples, signal_registry
 from queryset.quality import SUMMARY_SQL, prediction_summary
 
 
@@ -52,7 +52,7 @@ def registry_file(spark, sf):
 
 @query("split_file", sql([HASHED_SPLIT], "SELECT subject_id, fold, CAST(7 AS BIGINT) AS seed FROM split"))
 def split_file(spark, sf):
-    """A split as one JSON object and back to one row per subject."""
+    """A split written as a table and read back to one row per subject."""
     path = _fresh(spark)
     tables.write_split(hashed_split(spark, sf), path, 7, (0.625, 0.1875, 0.1875))
     return tables.read_split(spark, path).select("subject_id", "fold", "seed")
@@ -240,3 +240,132 @@ def green_channel(spark, sf):
         "record_id", F.when(F.col("ppg").isNotNull(), F.size("ppg")).alias("n"),
         _checksum(F.col("ppg")).alias("checksum"), "reject_reason",
     )
+
+
+# -- files of which each has its own name, written by the tasks ------------------------------------
+def _write_files(files, folder: str) -> None:
+    """Write the (name, content) rows below ``folder``; contents are texts."""
+
+    def run(batches):
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content.encode())
+            yield batch.select(["name"])
+
+    files.select("name", "content").mapInArrow(run, "name STRING").write.format("noop").mode("overwrite").save()
+
+
+def _recordings(spark, sf) -> str:
+    """Users as participants below a folder named Projects: PPG files whose value column has no
+    known name, ECG files for two of three, events for all, a second file deeper down."""
+    user = F.col("user_id").cast("string")
+    line = F.concat_ws(",", F.col("ms").cast("string"), F.col("event_type"), F.col("value").cast("string"))
+    rows = samples(spark, sf).withColumn("ms", F.unix_millis("ts"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ms", "event_id", line.alias("l")))), lambda r: r["l"]), "\n")
+    folder = F.when(F.col("user_id") % 2 == 0, "Data/P").otherwise("P")
+    series = rows.groupBy("user_id").agg(text.alias("body")).withColumn("home", F.concat(folder, user))
+    content = F.concat(F.lit("timestamp,kind,signal\n"), "body", F.lit("\n")).alias("content")
+    kinds = (("/GalaxyWatch/a_PPG_1.csv", F.lit(True)), ("/GalaxyWatch/deep/0_PPG.csv", F.col("user_id") % 4 == 0),
+             ("/Polar H10/ECG.csv", F.col("user_id") % 3 > 0), ("/day/Events.csv", F.lit(True)))
+    root = f"{_fresh(spark)}/Projects/raw"
+    files = None
+    for name, which in kinds:
+        part = series.where(which).select(F.concat("home", F.lit(name)).alias("name"), content)
+        files = part if files is None else files.unionByName(part)
+    _write_files(files, root)
+    return root
+
+
+PEOPLE = """
+people AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'Data/P' ELSE 'P' END || user_id AS home FROM events
+           WHERE user_id % 3 > 0)"""
+
+
+@query(
+    "watch_discovery",
+    sql(
+        [PEOPLE],
+        """SELECT 'P' || user_id AS subject_id, 'ppg' AS kind, home || '/GalaxyWatch/a_PPG_1.csv' AS path FROM people
+        UNION ALL SELECT 'P' || user_id, 'ecg', home || '/Polar H10/ECG.csv' FROM people
+        UNION ALL SELECT 'P' || user_id, 'event', home || '/day/Events.csv' FROM people""",
+    ),
+)
+def watch_discovery(spark, sf):
+    """Participants found below a root with a folder of its own that begins with P."""
+    return watch.discover(spark, _recordings(spark, sf))
+
+
+@query(
+    "watch_file_series",
+    sql(
+        [SAMPLES],
+        f"""SELECT 'P' || subject_id AS subject_id, {r6('t')} AS t, idx, {r6('value')} AS value FROM samples
+        WHERE CAST(subject_id AS BIGINT) % 3 > 0""",
+    ),
+)
+def watch_file_series(spark, sf):
+    """The series of these files: the value is their last numeric column, not a helper of the reader."""
+    root = _recordings(spark, sf)
+    return watch.read_signal(spark, root, watch.discover(spark, root), "ppg", watch.PPG_FS)
+
+
+@query(
+    "ledger_file",
+    sql(
+        [],
+        f"""SELECT 'run' || s_suppkey AS run_id, CASE WHEN s_suppkey % 2 = 0 THEN 'cnn1d' ELSE 'trivial' END AS model,
+        {r6('s_acctbal / 100e0')} AS mae FROM supplier WHERE s_suppkey % 5 NOT IN (1, 3)""",
+    ),
+)
+def ledger_file(spark, sf):
+    """Run records, one file each; some are cut short, some have a field that no record has."""
+    key = F.col("s_suppkey")
+    record = F.to_json(F.struct(
+        F.concat(F.lit("run"), key.cast("string")).alias("run_id"),
+        F.when(key % 2 == 0, "cnn1d").otherwise("trivial").alias("model"), F.lit("hr").alias("task"),
+        F.lit("finished").alias("status"), F.struct((F.col("s_acctbal") / 100.0).alias("mae")).alias("metrics"),
+    ))
+    content = (
+        F.when(key % 5 == 1, F.substring(record, 1, 40))
+        .when(key % 5 == 3, F.concat(F.lit('{"surprise": 1,\n'), F.substring(record, F.lit(2), F.length(record))))
+        .otherwise(F.replace(record, F.lit(","), F.lit(",\n")))
+    )
+    folder = _fresh(spark)
+    rows = table(spark, sf, "supplier").select(F.format_string("run%d/run.json", key).alias("name"), content.alias("content"))
+    _write_files(rows, folder)
+    return tables.read_ledger(spark, f"{folder}/*/run.json").select("run_id", "model", "metrics.mae")
+
+
+@query(
+    "ecg_on_grid",
+    sql(
+        [SIGNALS, PPG_RAW],
+        f"""SELECT s.record_id, j.j AS i,
+        {r6('CAST(CAST(sum(r.x * (1e0 + 2e0 * cos(2e0 * pi() * r.i / 64e0) * CASE WHEN j.j = 0 THEN 1 ELSE -1 END)) / 64e0 AS FLOAT) AS DOUBLE)')} AS x
+        FROM signals s JOIN ppg_raw r ON s.vec_id = r.vec_id CROSS JOIN (VALUES (CAST(0 AS BIGINT)), (CAST(1 AS BIGINT))) j(j)
+        GROUP BY s.record_id, j.j""",
+    ),
+)
+def ecg_on_grid(spark, sf):
+    """ECG files of one or two dimensions, from 1000 to 30 Hz: 64 samples become two."""
+    content = F.arrow_udf(_npy_flat_or_column, "binary")(F.col("embedding"), F.col("vec_id") % 2 == 0)
+    files = table(spark, sf, "embeddings").select(
+        F.format_string("/raw/%d.npy", F.col("vec_id")).alias("path"), content.alias("content")
+    )
+    on_grid = signals.ecg_on_ppg_grid(signals.decode_windows(files, flat=True))
+    return on_grid.select("record_id", F.posexplode("ecg").alias("i", "x"))
+
+
+def _npy_flat_or_column(batch: pa.Array, tall: pa.Array) -> pa.Array:
+    out = []
+    for row, upright in zip(batch, tall.to_pylist()):
+        buffer = io.BytesIO()
+        array = np.array(row.as_py(), dtype=np.float64)
+        np.save(buffer, array[:, None] if upright else array)
+        out.append(buffer.getvalue())
+    return pa.array(out, type=pa.binary())

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from pulsemill.functions.labels import is_motion
 from pulsemill.operators import gates, metrics
 from queryset.base import query, r6, sql
-from queryset.inputs import ACTIVITIES, PRICE_PRED, activities, price_predictions
+from queryset.inputs import ACTIVITIES, PRICE_PRED, QUALITY_PRED, activities, price_predictions, quality_predictions
 
-ERRORS = f"""count(*) AS n, {r6('avg(abs(y_true - y_pred))')} AS mae,
+ERRORS = f"""count(y_pred) AS n, {r6('avg(abs(y_true - y_pred))')} AS mae,
 {r6('sqrt(avg((y_true - y_pred) * (y_true - y_pred)))')} AS rmse"""
 
 
@@ -25,16 +25,20 @@ def hr_errors(spark, sf):
 @query(
     "activity_report",
     sql(
-        [PRICE_PRED, ACTIVITIES,
+        [PRICE_PRED, ACTIVITIES, QUALITY_PRED,
          """joined AS (SELECT p.*, a.activity FROM price_pred p LEFT JOIN activities a
-            ON p.record_id = a.record_id WHERE p.y_pred IS NOT NULL)"""],
-        f"""SELECT 'overall' AS level, CAST(NULL AS VARCHAR) AS activity, {ERRORS} FROM joined
+            ON p.record_id = a.record_id)"""],
+        f"""SELECT 'overall' AS level, CAST(NULL AS VARCHAR) AS activity, count(*) AS n_windows, {ERRORS},
+        (SELECT {r6("avg(CASE WHEN y_pred = 1 THEN 1e0 ELSE 0e0 END)")} FROM quality_pred) AS accepted_fraction FROM joined
         UNION ALL
-        SELECT 'activity' AS level, activity, {ERRORS} FROM joined WHERE activity IS NOT NULL GROUP BY activity""",
+        SELECT 'activity' AS level, activity, count(*) AS n_windows, {ERRORS}, CAST(NULL AS DOUBLE) FROM joined
+        WHERE activity IS NOT NULL GROUP BY activity HAVING count(y_pred) > 0""",
     ),
 )
 def activity_report(spark, sf):
-    return gates.activity_report(price_predictions(spark, sf), activities(spark, sf))
+    return gates.activity_report(
+        price_predictions(spark, sf), activities(spark, sf), quality_predictions(spark, sf)
+    )
 
 
 @query(

@@ -35,16 +35,17 @@ def tensor_mart(spark, sf):
     "subject_tensors",
     sql(
         [SIGNALS],
-        """SELECT 'quality' AS task, split, subject_id, count(*) AS n,
-        string_agg(record_id, ',' ORDER BY record_id) AS record_ids, sum(quality_label) AS n_good
-        FROM signals GROUP BY split, subject_id""".replace("sum(quality_label)", "CAST(sum(quality_label) AS BIGINT)"),
+        """SELECT 'quality' AS task, split, subject_id, part, count(*) AS n,
+        string_agg(record_id, ',' ORDER BY record_id) AS record_ids, CAST(sum(quality_label) AS BIGINT) AS n_good
+        FROM (SELECT *, (row_number() OVER (PARTITION BY split, subject_id ORDER BY record_id) - 1) // 3 AS part FROM signals)
+        GROUP BY split, subject_id, part""",
     ),
 )
 def subject_tensors(spark, sf):
-    """The windows of a subject packed in record order."""
-    packed = marts.subject_tensors(marts.tensor_mart(signal_registry(spark, sf), "quality"))
+    """The windows of a subject packed in record order, three to a part."""
+    packed = marts.subject_tensors(marts.tensor_mart(signal_registry(spark, sf), "quality"), rows_per_part=3)
     return packed.select(
-        "task", "split", "subject_id", F.size("x").alias("n"),
+        "task", "split", "subject_id", "part", F.size("x").alias("n"),
         F.array_join("record_ids", ",").alias("record_ids"),
         F.aggregate("y", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("n_good"),
     )
@@ -71,13 +72,15 @@ def tensor_record_ids(spark, sf):
     "mart_manifest",
     sql(
         [SIGNALS],
-        """SELECT 'hr' AS task, split, count(DISTINCT subject_id) AS subjects, count(*) AS windows,
+        """SELECT 'hr' AS task, f.split, count(DISTINCT subject_id) AS subjects, count(subject_id) AS windows,
         50e0 AS target_fs, 30e0 AS source_fs, 'zscore' AS normalize, CAST(42 AS BIGINT) AS seed
-        FROM signals WHERE quality_label = 1 GROUP BY split""",
+        FROM (VALUES ('train'), ('val'), ('test')) f(split)
+        LEFT JOIN signals s ON s.split = f.split AND quality_label = 1 AND s.split <> 'val' GROUP BY f.split""",
     ),
 )
 def mart_manifest(spark, sf):
-    mart = marts.tensor_mart(signal_registry(spark, sf), "hr")
+    """A mart whose validation fold is empty still lists it."""
+    mart = marts.tensor_mart(signal_registry(spark, sf).where("split <> 'val'"), "hr")
     return marts.manifest(mart, target_fs=50.0, source_fs=30.0, normalize="zscore", seed=42)
 
 

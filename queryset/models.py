@@ -1,10 +1,14 @@
 """Baselines: trivial statistics, MLlib models, external scorers."""
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from pulsemill.operators import baselines
 from pulsemill.operators.features import feature_table
 from pulsemill.operators.records import with_split
 from pulsemill.plans import predict, train
-from pulsemill.session import materialize
+from pulsemill.session import materialize, shared_folder
 from queryset.base import query, r6, sql
 from queryset.inputs import HASHED_SPLIT, PPG_RAW, REGISTRY, SIGNALS, hashed_split, registry, signal_registry
 
@@ -81,12 +85,26 @@ def boosted_trees_baseline(spark, sf):
     return made.drop("raw_response", "parse_status", "prob_good")
 
 
-@query("saved_model_predictions")
+@query(
+    "saved_model_predictions",
+    sql([SIGNALS], """SELECT split, count(*) AS n, CAST(0 AS BIGINT) AS n_different,
+        CAST(count(*) AS BIGINT) AS n_scored FROM signals GROUP BY split"""),
+)
 def saved_model_predictions(spark, sf):
-    """A fitted model applied to every window, with an explicit 0.5 threshold."""
+    """A fitted model stored, loaded and applied with its tuned threshold, against the one never stored."""
     base = signal_registry(spark, sf)
     model = train.fit(materialize(feature_table(base, "ppg")), "quality")
-    return predict.predict_saved(model, base, threshold=0.5).drop("raw_response", "parse_status")
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    model.save(spark, path)
+    stored = predict.predict_saved(train.FeatureModel.load(spark, path), base)
+    fresh = predict.predict_saved(model, base).select(
+        "record_id", F.col("y_pred").alias("other_pred"), F.col("prob_good").alias("other_prob")
+    )
+    met = stored.join(fresh, "record_id").join(base.select("record_id", "split"), "record_id")
+    same = F.col("y_pred").eqNullSafe(F.col("other_pred")) & (F.abs(F.col("prob_good") - F.col("other_prob")) < 1e-9)
+    return met.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~same).alias("n_different"), F.count("prob_good").alias("n_scored")
+    )
 
 
 def _mean_level(windows):

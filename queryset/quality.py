@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pulsemill.functions.labels import decide
 from pulsemill.operators import gates, metrics
 from pulsemill.operators.records import prediction_frame
-from pulsemill.operators.scale import seeded_hash
+from pulsemill.operators.scale import join_dimension, seeded_hash
 from queryset.base import query, r6, sql
 from queryset.inputs import HR_PRED, QUALITY_PRED, hr_predictions, quality_predictions
 
@@ -83,6 +83,10 @@ def roc_auc(spark, sf):
     return metrics.roc_auc(rows).select("run_id", "roc_auc")
 
 
+_CLASS_SQL = {
+    "bad_precision": _ratio("tn", "tn + fn"), "bad_recall": _ratio("tn", "tn + fp"), "bad_f1": r6("bad_f1"), "bad_support": "(tn + fp)",
+    "good_precision": _ratio("tp", "tp + fp"), "good_recall": _ratio("tp", "tp + fn"), "good_f1": r6("good_f1"), "good_support": "(tp + fn)",
+}
 SUMMARY_SQL = sql(
     [QUALITY_PRED, HR_PRED, CELLS, F1, AUC,
      """both_pred AS (SELECT run_id, task, y_true, y_pred, parse_status FROM quality_pred
@@ -95,7 +99,10 @@ SELECT b.run_id, b.task, count(*) AS n_records, count(b.y_pred) AS n_scored,
        {r6("max(CASE WHEN b.task = 'quality' THEN 1e0 * (tn + tp) / (tn + fp + fn + tp) END)")} AS accuracy,
        {r6("max(CASE WHEN b.task = 'quality' THEN roc_auc END)")} AS roc_auc,
        {r6("avg(CASE WHEN b.task = 'hr' THEN abs(b.y_true - b.y_pred) END)")} AS mae,
-       {r6("sqrt(avg(CASE WHEN b.task = 'hr' THEN (b.y_true - b.y_pred) * (b.y_true - b.y_pred) END))")} AS rmse
+       {r6("sqrt(avg(CASE WHEN b.task = 'hr' THEN (b.y_true - b.y_pred) * (b.y_true - b.y_pred) END))")} AS rmse,
+       max(CASE WHEN b.task = 'quality' THEN tn END) AS tn, max(CASE WHEN b.task = 'quality' THEN fp END) AS fp,
+       max(CASE WHEN b.task = 'quality' THEN fn END) AS fn, max(CASE WHEN b.task = 'quality' THEN tp END) AS tp,
+       {", ".join(f"max(CASE WHEN b.task = 'quality' THEN {c} END) AS {n}" for n, c in _CLASS_SQL.items())}
 FROM both_pred b LEFT JOIN f1 ON b.run_id = f1.run_id LEFT JOIN auc ON b.run_id = auc.run_id
 GROUP BY b.run_id, b.task""",
 )
@@ -171,8 +178,7 @@ def frozen_threshold(spark, sf):
     )
     chosen = metrics.best_threshold(rows.where("fold = 'val'")).drop("macro_f1")
     return (
-        rows.where("fold = 'test'")
-        .join(chosen, "run_id")
+        join_dimension(rows.where("fold = 'test'"), chosen, "run_id")
         .select("run_id", "record_id", "prob_good",
                 decide(F.col("prob_good"), F.col("threshold")).alias("y_pred"))
     )

@@ -182,7 +182,7 @@ def ppg_features(spark, sf):
 
 
 ACC_SELECT = ", ".join(
-    f"{r6(f'CASE WHEN s.has_acc THEN {c} ELSE {1e-12 if c == 'acc_total_power' else 0e0} END')} AS {c}"
+    f"{r6(f'CASE WHEN s.has_acc THEN {c} ELSE 0e0 END')} AS {c}"
     for c in ACC_COLS
 )
 
@@ -191,12 +191,15 @@ ACC_SELECT = ", ".join(
     "acc_features",
     sql(
         ACC_BLOCK,
-        f"""SELECT s.vec_id, {ACC_SELECT} FROM signals s JOIN acc_time t ON s.vec_id = t.vec_id
+        f"""SELECT s.vec_id, {ACC_SELECT},
+        NOT s.has_acc AS no_power FROM signals s JOIN acc_time t ON s.vec_id = t.vec_id
         JOIN acc_freq f ON s.vec_id = f.vec_id""",
     ),
 )
 def acc_features(spark, sf):
-    return features.acc_features(signal_registry(spark, sf).select("vec_id", "acc")).drop("acc")
+    """Windows without ACC have exactly no power, which rounding would not tell from a little."""
+    made = features.acc_features(signal_registry(spark, sf).select("vec_id", "acc", "has_acc"))
+    return made.withColumn("no_power", F.col("acc_total_power") == 0.0).drop("acc", "has_acc")
 
 
 COV = """

@@ -69,6 +69,12 @@ def test_unpaired_responses_fail(spark):
         records.answers_to_predictions(records_of(spark), said, "hr").collect()
     with pytest.raises(ValueError, match="unknown task"):
         records.answers_to_predictions(records_of(spark), said, "age")
+    whole = records_of(spark).select("record_id").withColumn("raw_response", F.lit("Answer: 70"))
+    assert records.answers_to_predictions(records_of(spark), whole, "hr").count() == whole.count()
+    with pytest.raises(Exception, match="response twice"):
+        records.answers_to_predictions(records_of(spark), whole.unionByName(whole.limit(1)), "hr").collect()
+    with pytest.raises(Exception, match="record twice"):
+        records.answers_to_predictions(records_of(spark).unionByName(records_of(spark).limit(1)), whole, "hr").collect()
 
 
 def test_labels_from_answers(spark):

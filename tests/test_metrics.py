@@ -1,5 +1,7 @@
 """Metrics against hand counts and brute force."""
 
+import json
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -135,6 +137,23 @@ def test_report_json(spark):
     )
     out = {r["run_id"]: r["report"] for r in metrics.report_json(metrics.evaluate(both)).collect()}
     assert '"roc_auc":1.0' in out["r"] and '"mae":3.0' in out["h"]
+    block = json.loads(out["r"])["metrics"]
+    assert block["n"] == 2 and block["confusion_matrix"] == [[1, 0], [0, 1]] and block["confusion_matrix_labels"] == ["bad", "good"]
+    assert block["per_class"]["1"] == {"precision": 1.0, "recall": 1.0, "f1": 1.0, "support": 1}
+    nothing = metrics.report_json(metrics.evaluate(frame(spark, [1, 0], [None, None]))).first()["report"]
+    assert json.loads(nothing)["metrics"] is None
+
+
+def test_reports_refuse_wrong_tasks_and_empty_input(spark):
+    quality, hr = frame(spark, [1, 0], [1, 0]), frame(spark, [60, 70], [61, 73], task="hr")
+    for build in (
+        lambda: gates.pipeline_report(hr, hr), lambda: gates.pipeline_report(quality, quality), lambda: gates.cascade_report(hr),
+        lambda: gates.cascade_report(quality, quality), lambda: gates.activity_report(quality, hr.selectExpr("record_id", "'a' AS activity")),
+        lambda: metrics.evaluate(quality.unionByName(hr.withColumn("run_id", F.lit("r")))),
+        lambda: gates.pipeline_report(quality, hr.where("record_id = 'none'")), lambda: gates.cascade_report(quality.limit(0)),
+    ):
+        with pytest.raises(Exception, match="not a|several tasks|no rows"):
+            build().collect()
 
 
 def test_cascade_hand_count(spark):
@@ -160,6 +179,7 @@ def test_activity_report(spark):
     )
     rows = {(r["level"], r["activity"]): r for r in gates.activity_report(hr, registry).collect()}
     assert set(rows) == {("overall", None), ("activity", "Standing"), ("activity", "Running")}
+    assert rows["overall", None]["n_windows"] == 5 and rows["activity", "Running"]["n_windows"] == 2
     assert rows["overall", None]["n"] == 4  # r3 has no activity but counts here
     assert rows["activity", "Running"]["mae"] == 30.0
 

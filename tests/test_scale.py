@@ -41,18 +41,33 @@ def test_hash_rank_is_a_permutation_and_reproducible(spark):
     assert (both["rank_x"] == both["rank_y"]).all()
 
 
-@pytest.mark.parametrize("small", [0, scale.BROADCAST_ROWS])
-def test_exact_median_both_ways(spark, small):
+def test_exact_median(spark, many_runs):
     rng = np.random.default_rng(0)
     rows = [("even", float(v)) for v in rng.normal(size=400)]
     rows += [("odd", float(v)) for v in rng.integers(0, 5, 301)]
     rows += [("one", 3.5), ("flat", 2.0), ("flat", 2.0), ("flat", None)]
     df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
-    got = {r["g"]: r["median"] for r in scale.exact_median(df, "v", "g", small=small).collect()}
+    got = {r["g"]: r["median"] for r in scale.exact_median(df, "v", "g").collect()}
     for g in ("even", "odd", "one", "flat"):
         assert got[g] == np.median([v for k, v in rows if k == g and v is not None])
 
 
+def test_median_with_an_outlier_looks_at_few_values(spark, many_runs, monkeypatch):
+    """One far value squeezes all others together; still no run holds more than its part."""
+    rows = spark.range(4000).selectExpr("'g' AS g", "CAST(id AS DOUBLE) / 20 AS v").union(spark.sql("SELECT 'g', 1e15D"))
+    seen = []
+    plain = scale.sorted_runs
+
+    def watched(*args):
+        out = plain(*args)
+        seen.append(out.groupBy("run").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(scale, "sorted_runs", watched)
+    assert scale.exact_median(rows, "v", "g").first()["median"] == 100.0
+    assert seen[0] < 2500
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 @pytest.mark.parametrize("share", [0.001, 0.3, 1.0])
 def test_hot_split_join_equals_plain_join(spark, how, share):

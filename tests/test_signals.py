@@ -163,7 +163,7 @@ def test_feature_width_grows_with_the_variant(spark, variant, width):
 
 def test_missing_acc_and_covariates(spark):
     rows = {r["record_id"]: r for r in features.feature_table(registry(spark), "ppg_acc_cov").collect()}
-    assert rows["0"]["acc_std"] == 0.0 and rows["0"]["acc_total_power"] == 1e-12
+    assert rows["0"]["acc_std"] == 0.0 and rows["0"]["acc_total_power"] == 0.0
     assert rows["1"]["acc_std"] == pytest.approx(1.0, abs=1e-6)
     assert (rows["0"]["cov_sex_male"], rows["1"]["cov_sex_male"]) == (0.0, 1.0)
     assert (rows["1"]["cov_height"], rows["1"]["cov_weight"], rows["1"]["cov_site_finger"]) == (0, 0, 1)

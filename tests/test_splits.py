@@ -42,6 +42,12 @@ def test_strata_are_spread_evenly(spark):
         assert abs(tested - 0.2 * len(members)) <= 1
 
 
+def test_booleans_are_balanced_like_numbers(spark):
+    rows = [(s, i < k) for s, k in (("a", 0), ("b", 1), ("c", 3), ("d", 4)) for i in range(4)]
+    got = splits.subject_strata(spark.createDataFrame(rows, "subject_id STRING, flag BOOLEAN"), ["flag"])
+    assert {r["subject_id"]: r["stratum"] for r in got.collect()} == {"a": "0", "b": "0", "c": "1", "d": "1"}
+
+
 def test_tiny_input_falls_back_to_a_plain_draw(spark):
     got = folds(splits.subject_split(registry(spark, 3)))
     assert sorted(got.values()) == ["test", "train", "val"]

@@ -44,10 +44,13 @@ def test_label_as_of_against_brute_force(spark, many_runs, hot):
     rng = np.random.default_rng(5)
     subject = (lambda: "s0") if hot else (lambda: f"s{rng.integers(0, 4)}")
     obs = [(f"w{i}", subject(), float(rng.integers(0, 60))) for i in range(400)]
+    obs += [(f"x{i}", "s0", 30.0) for i in range(300)]  # many at one instant
     log = sorted({(subject(), float(rng.integers(5, 60)), f"act{rng.integers(0, 3)}") for _ in range(30)})
+    log += [("s0", 30.0, f"act{i % 3}") for i in range(50)]
+    ghosts = [("s0", None, "Ghost"), ("s1", None, "Ghost")]  # entries without a time label nothing
     got = windows.label_as_of(
         spark.createDataFrame(obs, "record_id STRING, subject_id STRING, t0 DOUBLE").repartition(4),
-        spark.createDataFrame(log, "subject_id STRING, t DOUBLE, activity STRING"),
+        spark.createDataFrame(log + ghosts, "subject_id STRING, t DOUBLE, activity STRING"),
         ["subject_id"], "t0", "t", "activity",
     )
     assert got.columns == ["record_id", "subject_id", "t0", "activity"]
