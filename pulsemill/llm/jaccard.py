@@ -323,12 +323,12 @@ def one_of_each(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, i
     """``docs`` with one row of each component: that of the smallest id (null last), then of the
     first row. Rows without a shingle are linked with nothing and all stay."""
     given, back = shield(docs.withColumnsRenamed({text: "text"}), (id_column, "text"))
-    others = tuple(c for c in given.columns if c != "text")
+    others = (*(c for c in given.columns if c != "text"), "_null")
+    given = given.withColumn("_null", F.col("text").isNull())  # their key is that of the empty text
     linked = materialize(link(given, k=k, num=num, den=den, keep=others, id_column=id_column))
     first = F.min(F.struct(F.col(id_column).isNull(), id_column, "_row")).alias("m")
     kept = linked.where("_component IS NOT NULL").groupBy("_component").agg(first).select(F.col("m._row").alias("_row"))
     rows = linked.join(kept, "_row", "left_semi").unionByName(linked.where("_component IS NULL"))
-    null = given.where("text IS NULL")  # these have the key of the empty text
-    texts = _keyed(given.where("text IS NOT NULL")).groupBy("_text").agg(F.first("text").alias("text"))
-    filled = rows.join(texts, "_text") if null.isEmpty() else rows.join(texts, "_text", "left")
+    texts = _keyed(given).groupBy("_text").agg(F.first("text").alias("text"))
+    filled = rows.join(texts, "_text").withColumn("text", F.when(~F.col("_null"), F.col("text")))
     return back(filled).withColumnsRenamed({"text": text})
