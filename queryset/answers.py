@@ -151,7 +151,9 @@ def answer_summary(spark, sf):
         rows.drop("raw_response"), rows.select("record_id", "raw_response"), "hr"
     )
     out = metrics.evaluate(made.withColumn("run_id", F.lit("events")))
-    return out.drop("macro_f1", "accuracy", "roc_auc")
+    return out.select(
+        "run_id", "task", "n_records", "n_scored", "n_invalid_responses", "invalid_response_fraction", "mae", "rmse"
+    )
 
 
 @query(

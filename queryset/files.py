@@ -265,7 +265,7 @@ def _recordings(spark, sf) -> str:
     known name, ECG files for two of three, events for all, a second file deeper down."""
     user = F.col("user_id").cast("string")
     line = F.concat_ws(",", F.col("ms").cast("string"), F.col("event_type"), F.col("value").cast("string"))
-    rows = samples(spark, sf).withColumn("ms", F.unix_millis("ts"))
+    rows = samples(spark, sf).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ms", "event_id", line.alias("l")))), lambda r: r["l"]), "\n")
     folder = F.when(F.col("user_id") % 2 == 0, "Data/P").otherwise("P")
     series = rows.groupBy("user_id").agg(text.alias("body")).withColumn("home", F.concat(folder, user))

@@ -90,7 +90,7 @@ _CLASS_SQL = {
 SUMMARY_SQL = sql(
     [QUALITY_PRED, HR_PRED, CELLS, F1, AUC,
      """both_pred AS (SELECT run_id, task, y_true, y_pred, parse_status FROM quality_pred
-        UNION ALL SELECT run_id, task, y_true, y_pred, parse_status FROM hr_pred)"""],
+        UNION ALL SELECT 'hr_' || run_id AS run_id, task, y_true, y_pred, parse_status FROM hr_pred)"""],
     f"""
 SELECT b.run_id, b.task, count(*) AS n_records, count(b.y_pred) AS n_scored,
        count(*) FILTER (b.parse_status = 'invalid') AS n_invalid_responses,
@@ -112,7 +112,8 @@ GROUP BY b.run_id, b.task""",
 def prediction_summary(spark, sf):
     """The evaluation report of every prediction file."""
     quality = quality_predictions(spark, sf).drop("n_chars")
-    return metrics.evaluate(quality.unionByName(hr_predictions(spark, sf)))
+    hr = hr_predictions(spark, sf).withColumn("run_id", F.concat(F.lit("hr_"), "run_id"))  # a run has one task
+    return metrics.evaluate(quality.unionByName(hr))
 
 
 CURVE = """
