@@ -67,7 +67,39 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_quality")
+@query("op10_quality", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+win AS (
+  SELECT r, i, md5(array_to_string(w[i : i + 2], ' ')) AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+again AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT r, unnest(range(i, i + 3)) AS p
+    FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1) GROUP BY r),
+word AS (
+  SELECT r, x, len(regexp_extract_all(x, '[A-Z]')) AS caps,
+         strlen(regexp_replace(x, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS letters
+  FROM (SELECT r, unnest(w) AS x FROM d)),
+per AS (
+  SELECT r, sum(len(x)) AS word_chars, count(*) FILTER (caps > 1 AND 2 * caps > letters) AS loud,
+         count(*) FILTER (letters > 0) AS lettered, count(*) FILTER (regexp_matches(x, '[0-9]')) AS digits
+  FROM word GROUP BY r),
+counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, loud, lettered, digits
+  FROM d LEFT JOIN again USING (r) LEFT JOIN per USING (r)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_symbols > 20 * n_words
+            OR 100 * n_dup_lines > 40 * n_lines OR 100 * loud > 60 * n_words OR 100 * lettered < 60 * n_words
+            OR 100 * digits > 50 * n_words) AS kept
+FROM base""")
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -204,7 +236,26 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
 
 
-@query("op4_jaccard")
+@query("op4_jaccard", r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, md5(g) AS g FROM (
+    SELECT r, array_to_string(w[i : i + 2], ' ') AS g
+    FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+links AS (
+  SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(r, t) AS (
+  SELECT r, r FROM d UNION SELECT reach.r, b.y FROM reach JOIN both_ways b ON reach.t = b.x),
+low AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.t GROUP BY reach.r)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (r) JOIN low USING (r)""")
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.link(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
     return out.select("doc_id", "n_shingles", "component_id")
