@@ -38,7 +38,7 @@ FILE_TOKENS = 4_000_000
 #: distinct words whose ids a task remembers
 REMEMBERED = 800_000
 #: words that are encoded as one text, and marks that may follow a word of letters
-TOGETHER = 500
+TOGETHER = 1000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END = 2
 TOKENIZER = "word_bpe_49k.json"
@@ -208,14 +208,14 @@ def encoder(tokenizer_path: str):
     def learn(words: list[str]) -> list[bytes]:
         if not suffix:
             return [code for _, code in alone(words)]
-        parts = [(w, "") if w.isalpha() else (w.rstrip(MARKS), w) for w in words]
-        stems = {stem for stem, _ in parts if stem.isalpha()}
-        rest = {w if not stem.isalpha() else w[len(stem) :] for stem, w in parts if w}
-        codes = dict(together(list(stems)))
-        codes.update(alone(list(rest - stems)))
-        return [
-            codes[stem] if not w else codes[stem] + codes[w[len(stem) :]] if stem.isalpha() else codes[w] for stem, w in parts
-        ]
+        others = {w: w.rstrip(MARKS) for w in words if not w.isalpha()}
+        marked = {w: stem for w, stem in others.items() if stem.isalpha()}  # letters, then marks
+        codes = dict(together(list({w for w in words if w not in others}.union(marked.values()))))
+        rest = {w[len(stem) :] for w, stem in marked.items()}.union(others.keys() - marked.keys())
+        codes.update(alone(list(rest)))
+        for w, stem in marked.items():
+            codes[w] = codes[stem] + codes[w[len(stem) :]]
+        return list(map(codes.__getitem__, words))
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and the number of each text's ids; a null text has none."""
