@@ -10,6 +10,8 @@ from pulsemill.session import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: no source is repeated more often than this
 MOST = 3.0
+#: parts of the range of draws in which words are summed before single documents are looked at
+PARTS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -60,14 +62,19 @@ def targets(sizes: DataFrame, share: float = 1.0, most: float = MOST) -> DataFra
 
 def mix(
     docs: DataFrame, *, id_column: str = "doc_id", source: str = "source", size: Column | None = None,
-    weights: DataFrame | None = None, share: float = 1.0, most: float = MOST, seed: int = 0,
+    weights: DataFrame | None = None, share: float = 1.0, most: float = MOST, seed: int = 0, settle: bool = True,
 ) -> DataFrame:
     """``docs`` with ``_size``, ``_source_size``, ``_target``, ``_rate`` and ``_copies``.
 
     The rate of a source is its target over its size. A document is taken floor(rate) times
-    and once more with probability equal to the rest; the draw is seeded by id and text, so
-    reruns agree. Sizes are summed before anything is shuffled, and the one row per source
-    is joined back by adaptive execution, which splits a hot source. ``weights`` is
+    and once more if its draw, a number from 0 to 1 that a hash of id and text gives, is below
+    the rest of the rate. With ``settle`` the bound is moved from there to the draw at which the
+    words taken come nearest to the target, which matters for sources of few or of very
+    different documents; it nears the rest as a source grows. Reruns agree.
+
+    Sizes are summed per source and part of the range of draws before anything is shuffled,
+    and only the one part in which a source reaches its target is looked at again. The one row
+    per source is joined back by adaptive execution, which splits a hot source. ``weights`` is
     (source, weight) and defaults to 1, 2, 3 in turn; a source without a weight is not taken.
 
     Null sources form one source; null texts have size 0 and follow their source's rate;
@@ -75,24 +82,51 @@ def mix(
     table stays empty; other columns pass through.
     """
     n = word_count(F.col("text")) if size is None else size
-    sized = docs.withColumn("_size", n)
-    per_source = sized.groupBy(F.col(source).alias("source")).agg(F.sum("_size").alias("source_size"))
+    u = draw(F.col(id_column), F.md5(F.coalesce("text", F.lit(""))), seed=seed)
+    key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
+    sized = docs.withColumns({"_size": n, "_draw": u, "_key": key}).withColumn("_part", F.floor(F.col("_draw") * PARTS))
+    cells = materialize(sized.groupBy(F.col(source).alias("source"), "_key", "_part").agg(F.sum("_size").alias("words")))
+    per_source = cells.groupBy("source", "_key").agg(F.sum("words").alias("source_size"))
     if weights is None:
         weighed = weights_in_turn(per_source)
     else:
         w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double"))
         weighed = per_source.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0.0, ["weight"])
-    aims = materialize(targets(weighed.where("weight > 0"), share, most)).select(
-        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"),
-        F.col("source_size").alias("_source_size"),
-        F.col("target").alias("_target"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"),
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    aims = materialize(targets(weighed.where("weight > 0"), share, most).select("_key", "source_size", "target", rate.alias("rate")))
+    rest = F.col("rate") - F.floor("rate")
+    bounds = aims.select("_key", rest.alias("bound"))
+    if settle:
+        bounds = _settled(sized, cells, aims.select("_key", (rest * F.col("source_size")).alias("wanted")))
+    per_key = aims.join(bounds, "_key", "left").select(
+        "_key", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"),
+        F.when(rest > 0, F.coalesce("bound", F.lit(0.0))).otherwise(0.0).alias("_bound"),
     )
-    key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    out = sized.withColumn("_key", key).join(aims, "_key", "left").drop("_key").fillna(0.0, ["_rate", "_target"])
-    rest = F.col("_rate") - F.floor("_rate")
-    extra = (draw(F.col(id_column), F.md5(F.coalesce("text", F.lit(""))), seed=seed) < rest).cast("long")
-    return out.withColumn("_copies", F.floor("_rate") + extra)
+    out = sized.join(materialize(per_key), "_key", "left").fillna(0.0, ["_rate", "_target", "_bound"])
+    extra = (F.col("_draw") < F.col("_bound")).cast("long")
+    return out.withColumn("_copies", F.floor("_rate") + extra).drop("_key", "_part", "_draw", "_bound")
+
+
+def _settled(sized: DataFrame, cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_key, bound): documents with a draw below ``bound`` hold the number of words nearest to ``wanted``."""
+    order = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("words").over(order), F.lit(0))
+    met = cells.select("_key", "_part", "words", before.alias("before")).join(wanted, "_key").where(
+        (F.col("before") <= F.col("wanted")) & (F.col("before") + F.col("words") > F.col("wanted"))
+    )
+    met = materialize(met.select("_key", "_part", "before", "wanted"))  # one part of each source
+    near = sized.join(met, ["_key", "_part"]).groupBy("_key", "before", "wanted", "_part", "_draw").agg(F.sum("_size").alias("words"))
+    upto = Window.partitionBy("_key").orderBy("_draw").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("sum", F.col("before") + F.sum("words").over(upto))
+    fits = F.col("sum") <= F.col("wanted")
+    ends = near.groupBy("_key", "before", "wanted", "_part").agg(
+        F.max(F.when(fits, F.col("_draw"))).alias("last"), F.max(F.when(fits, F.col("sum"))).alias("below"),
+        F.min(F.when(~fits, F.col("_draw"))).alias("next"), F.min(F.when(~fits, F.col("sum"))).alias("above"),
+    )
+    over = (F.col("above") - F.col("wanted")) < (F.col("wanted") - F.coalesce("below", "before"))
+    step = F.lit(2.0**-49)  # draws are multiples of twice that
+    low = F.coalesce(F.col("last") + step, F.col("_part") / F.lit(float(PARTS)))
+    return ends.select("_key", F.when(over, F.col("next") + step).otherwise(low).alias("bound"))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:

@@ -51,14 +51,22 @@ aims AS (
          CASE WHEN total > 0 THEN least(level * w, filled) / total ELSE 0 END AS rate
   FROM step CROSS JOIN level),
 drawn AS (
-  SELECT s.*, a.total, a.target, a.rate,
+  SELECT s.*, a.total, a.target, a.rate, coalesce('s' || s.source, 'n') AS key, (a.rate - floor(a.rate)) * a.total AS wanted,
          CAST('0x' || substr(md5('0' || chr(1) || coalesce(CAST(doc_id AS VARCHAR), chr(0)) || chr(1) || md5(text)), 1, 12)
               AS BIGINT) / 281474976710656.0 AS u
-  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
+sums AS (
+  SELECT key, u, max(wanted) AS wanted, sum(sum(size)) OVER (PARTITION BY key ORDER BY u) AS upto FROM drawn GROUP BY key, u),
+ends AS (
+  SELECT key, max(wanted) AS wanted, max(u) FILTER (upto <= wanted) AS last,
+         coalesce(max(upto) FILTER (upto <= wanted), 0) AS below,
+         min(u) FILTER (upto > wanted) AS next, min(upto) FILTER (upto > wanted) AS above
+  FROM sums GROUP BY key),
+bounds AS (SELECT key, CASE WHEN above - wanted < wanted - below THEN next ELSE coalesce(last, -1) END AS bound FROM ends)
 SELECT doc_id, size, CAST(total AS BIGINT) AS source_size,
        round(target, 6) AS target,
-       size * CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
-FROM drawn""")
+       size * CAST(floor(rate) + CASE WHEN rate > floor(rate) AND u <= bound THEN 1 ELSE 0 END AS BIGINT) AS taken
+FROM drawn JOIN bounds USING (key)""")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(
