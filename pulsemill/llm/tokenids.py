@@ -158,10 +158,21 @@ class Reader:
 # -- tokenizing ------------------------------------------------------------------------
 
 
-def _process_cache(key: str) -> dict[int, bytes]:
-    """A dictionary that later tasks of the same Python process find again."""
-    holder = sys.modules.setdefault("_pulsemill_known_words", types.ModuleType("_pulsemill_known_words"))
-    return holder.__dict__.setdefault(key, {})
+def _loaded(path: str):
+    """The tokenizer, which ids end a word, and the words known so far; later tasks of the same
+    Python process find them again."""
+    holder = sys.modules.setdefault("_pulsemill_tokenizers", types.ModuleType("_pulsemill_tokenizers")).__dict__
+    if path not in holder:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        holder[path] = tokenizer, last, {}
+    return holder[path]
 
 
 def encoder(tokenizer_path: str):
@@ -176,15 +187,7 @@ def encoder(tokenizer_path: str):
     ``REMEMBERED`` words at a time, between the tasks of a process as well.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks use the cores already
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
-    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-    last = np.zeros(max(vocabulary.values()) + 1, bool)
-    if suffix:
-        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-    known = _process_cache(tokenizer_path)
+    tokenizer, last, known = _loaded(tokenizer_path)
 
     def alone(words: list[str]) -> Iterator[tuple[str, bytes]]:
         for at in range(0, len(words), TOGETHER):
@@ -206,7 +209,7 @@ def encoder(tokenizer_path: str):
             yield from zip(some, (raw[i:j] for i, j in zip([0, *to], to, strict=False)), strict=True)
 
     def learn(words: list[str]) -> list[bytes]:
-        if not suffix:
+        if not last.any():
             return [code for _, code in alone(words)]
         others = {w: w.rstrip(MARKS) for w in words if not w.isalpha()}
         marked = {w: stem for w, stem in others.items() if stem.isalpha()}  # letters, then marks
