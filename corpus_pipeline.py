@@ -43,7 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in ascending order of doc_id; per document where its ids are, and their checksum."""
-    return tokenids.read(*tokenids.write(docs))
+    return tokenids.read(*tokenids.write(docs, shared=False))  # leaves the memory to the stages before
 
 
 STAGES = [

@@ -158,10 +158,11 @@ class Reader:
 # -- tokenizing ------------------------------------------------------------------------
 
 
-def _loaded(path: str):
-    """The tokenizer, which ids end a word, and the words known so far; later tasks of the same
-    Python process find them again."""
-    holder = sys.modules.setdefault("_pulsemill_tokenizers", types.ModuleType("_pulsemill_tokenizers")).__dict__
+def _loaded(path: str, shared: bool):
+    """The tokenizer, which ids end a word, and the words known so far; if ``shared``, later tasks
+    of the same Python process find them again."""
+    kept = sys.modules.setdefault("_pulsemill_tokenizers", types.ModuleType("_pulsemill_tokenizers")).__dict__
+    holder = kept if shared else {}
     if path not in holder:
         from tokenizers import Tokenizer
 
@@ -175,7 +176,7 @@ def _loaded(path: str):
     return holder[path]
 
 
-def encoder(tokenizer_path: str):
+def encoder(tokenizer_path: str, shared: bool = True):
     """A function from a text column to its ids, equal to the tokenizer's own on the whole texts.
 
     The tokenizer drops white space and never merges across it, nor across the border of a
@@ -184,10 +185,10 @@ def encoder(tokenizer_path: str):
     at a time: each ends with the one id whose token has the mark of a word's end, which
     tells them apart; if the number of such ids is not that of the words, and for all other
     words, each is encoded alone. Codes are remembered by the words' 64-bit hashes, of at most
-    ``REMEMBERED`` words at a time, between the tasks of a process as well.
+    ``REMEMBERED`` words at a time, and if ``shared`` between the tasks of a process as well.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks use the cores already
-    tokenizer, last, known = _loaded(tokenizer_path)
+    tokenizer, last, known = _loaded(tokenizer_path, shared)
 
     def alone(words: list[str]) -> Iterator[tuple[str, bytes]]:
         for at in range(0, len(words), TOGETHER):
@@ -259,6 +260,7 @@ def default_tokenizer() -> str:
 def write(
     docs: DataFrame, folder: str | None = None, *, tokenizer: str | None = None, end: int | None = END,
     id_column: str = "doc_id", text: str = "text", partitions: int | None = None, file_tokens: int = FILE_TOKENS,
+    shared: bool = True,
 ) -> tuple[DataFrame, str]:
     """Encode all documents and write their ids, in ascending order of the id column.
 
@@ -269,7 +271,8 @@ def write(
     make an empty catalog.
 
     Documents are dealt out by ranges of (id, hash, place of the row), so one id with many
-    rows covers many tasks. A task keeps one file's tokens in memory.
+    rows covers many tasks. A task keeps one file's tokens in memory; with ``shared`` the Python
+    process keeps the tokenizer and its words for the next task (some 200 MB), which saves time.
     """
     spark = docs.sparkSession
     folder = folder or files.new_folder(spark, "tokens")
@@ -281,7 +284,7 @@ def write(
     dealt = given.repartitionByRange(partitions, *keys) if partitions else given.repartitionByRange(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, shared)
         part, piece = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         codes: list[np.ndarray] = []
