@@ -6,7 +6,7 @@ scan finds the contiguous run of blocks with the largest sum. The weights are lo
 counted on labelled pages: pages whose author has marked the content (article or main), of
 which at most about ``TRAIN`` are read; kinds of block that these do not show keep their
 prior. Elements that are never article text (menus, forms, adverts, reader comments, ...)
-are cut out of the run by name.
+are cut out of the run by name, unless they hold the article.
 """
 
 from __future__ import annotations
@@ -34,10 +34,10 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose text is no part of an article
 NEVER = frozenset(
-    "applet audio aside button canvas datalist dialog footer form head iframe input map menu nav noscript object script "
+    "applet audio aside button canvas datalist dialog footer head iframe input map menu nav noscript object script "
     "search select style svg template textarea title video".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: words of a class or id that say an element is not the article
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adsense sponsor sponsored sponsors promo promoted promotion "
@@ -46,11 +46,21 @@ NAMES = frozenset(
     "subscription signup login signin register share sharing social related recommended recommendations comment comments "
     "commentlist disqus replies respond discussion widget widgets toolbar pagination pager banner copyright skip paywall".split()
 )
-#: those of them that hold however long the element is; others do not cut an element that
-#: holds the page's h1, article or main element, or over ``MOST_CUT`` of its words and
-#: over ``LEAST_WHOLE`` words
-FIRM = frozenset("comment comments commentlist disqus replies respond discussion".split())
+#: those of them that name readers' comments: they do not cut an element that holds all of the
+#: page's h1, article and main elements, or, if it has none, most of its words; others, and
+#: ``form``, do not cut one that holds any of these, or most of the words: over ``MOST_CUT``
+#: of them and over ``LEAST_WHOLE``
+FIRM = frozenset("comment comments commentlist disqus replies".split())
 MOST_CUT, LEAST_WHOLE = 0.6, 100
+#: those of them that are topics of articles as well: alone, inside marked content, they cut
+#: only an element that is made of links and comments, or a label of under ``LABEL`` words
+TOPICS = frozenset(
+    "discussion respond related register notice notices share sharing social sponsor sponsors promotion navigation "
+    "cookie cookies consent gdpr notification alert subscribe subscription recommended recommendations copyright".split()
+)
+LABEL = 10
+#: how an element is named as no article
+SURE, COMMENTS, PERHAPS, TOPIC = range(4)
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTENT = frozenset(("article", "main"))
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -81,8 +91,9 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, int]] = []  # open elements: name, and number if named as no article
-        self.named: list[bool] = []  # whether the element of this number is cut out for sure
-        self.whole: set[int] = set()  # numbers of elements that hold the content after all
+        self.named: list[int] = []  # how the element of this number is named as no article
+        self.marks: list[tuple[str, tuple[int, ...]]] = []  # h1, article and main elements, and the numbers around them
+        self.replies: set[int] = set()  # numbers of elements in an article that hold articles of their own
         self.content = self.links = 0
         self.labelled = False
         self._new()
@@ -108,12 +119,15 @@ class _Page(HTMLParser):
                 self._new()
             self.blocks[-1].tags.append(tag)
             return
-        number, firm = -1, self._no_article(tag, dict(attrs))
-        if firm is not None:
+        number, how = -1, self._no_article(tag, dict(attrs))
+        if tag == "article":
+            outer = next((i for i, (t, _) in enumerate(self.stack) if t == "article"), len(self.stack))
+            self.replies.update(n for _, n in self.stack[outer:] if n >= 0)
+        if how is not None:
             number = len(self.named)
-            self.named.append(firm)
+            self.named.append(how)
         elif tag in CONTENT or tag == "h1":
-            self.whole.update(n for _, n in self.stack if n >= 0 and not self.named[n])
+            self.marks.append((tag, tuple(n for _, n in self.stack if n >= 0)))
         self.stack.append((tag, number))
         if tag in CONTENT and number < 0:
             self.content += 1
@@ -147,18 +161,66 @@ class _Page(HTMLParser):
         if self.links > 0:
             self.blocks[-1].links += len(data.split())
 
-    def _no_article(self, tag: str, attrs: dict[str, str | None]) -> bool | None:
-        """Whether an element is named as no article: for sure, perhaps, or (None) not at all."""
-        if tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "") in ROLES:
-            return True
+    def _no_article(self, tag: str, attrs: dict[str, str | None]) -> int | None:
+        """How an element is named as no article: for sure, or otherwise, or (None) not at all."""
+        role = attrs.get("role") or ""
+        if tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true" or role in ROLES:
+            return SURE
         if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-            return True
+            return SURE
         if tag == "header":
-            return None if self.content else True
+            return None if self.content else SURE
         if tag in ("html", "body", "main") or tag in HEADINGS:
             return None
-        names = {w.lower() for key in ("class", "id") for w in _NAME.findall(attrs.get(key) or "")}
-        return bool(names & FIRM) if names & NAMES else None
+        names = {w.lower() for key in ("class", "id") for w in _NAME.findall(attrs.get(key) or "")} & NAMES
+        if names & FIRM:
+            return COMMENTS
+        if tag == "form" or role == "form":
+            return PERHAPS
+        if self.content and tag not in CONTENT and len(names) == 1 and names <= TOPICS:
+            return TOPIC
+        return PERHAPS if names else None
+
+
+def _cut(page: _Page) -> set[int]:
+    """Numbers of the elements that are cut out of a page."""
+    named = page.named
+    cut = {n for n, how in enumerate(named) if how == SURE}
+    if len(cut) == len(named):
+        return cut
+    texts = [(b, n) for b in page.blocks if (n := len(b.words)) and not cut.intersection(b.within)]
+
+    def most() -> set[int]:
+        size: Counter = Counter()
+        for b, n in texts:
+            if not cut.intersection(b.within):
+                size.update(dict.fromkeys((-1, *b.within), n))
+        return {n for n in size if n >= 0 and size[n] > max(LEAST_WHOLE, MOST_CUT * size[-1])}
+
+    shown = [(tag, around) for tag, around in page.marks if not cut.intersection(around)]
+    inside = Counter((n, tag) for tag, around in shown for n in around)
+    total, large = Counter(tag for tag, _ in shown), most()
+    for e in (n for n, how in enumerate(named) if how == COMMENTS):
+        other = {tag for tag in total if inside[e, tag] < total[tag]}
+        any_mark = any(inside[e, tag] for tag in total)
+        whole = inside[e, "main"] or (any_mark and not other & {"h1", "article"}) or (e in large and not other)
+        if not whole:
+            cut.add(e)
+    large = most()
+    held = {(n, tag == "h1") for tag, around in page.marks for n in around}
+    holds = {n for n, _ in held}
+    cut |= {n for n, how in enumerate(named) if how == PERHAPS and n not in holds and n not in large}
+    texts_of: dict[int, list[tuple[Block, int]]] = {n: [] for n, how in enumerate(named) if how == TOPIC}
+    for b, n in texts:
+        for e in texts_of.keys() & set(b.within):
+            texts_of[e].append((b, n))
+    for e, own in reversed(texts_of.items()):  # inner ones first
+        size = sum(n for _, n in own)
+        other = sum(n if cut.intersection(b.within) else min(b.links, n) for b, n in own)
+        label = size < LABEL and not any(b.tag in HEADINGS or b.tag in ("p", "section") for b, _ in own)
+        if (e in page.replies and (e, True) not in held) or (e not in holds and (2 * other > size or label)):
+            cut.add(e)
+    return cut
 
 
 def blocks_of(html: str) -> tuple[list[Block], bool]:
@@ -166,20 +228,13 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
     page = _Page()
     page.feed(html)
     page.close()
-    size: Counter = Counter()
-    for b in page.blocks:
-        if not any(page.named[n] for n in b.within):
-            n_words = len(b.words)
-            size[-1] += n_words
-            for n in b.within:
-                size[n] += n_words
-    kept = page.whole | {n for n in size if n >= 0 and size[n] > max(LEAST_WHOLE, MOST_CUT * size[-1])}
+    cut = _cut(page)
     found, pending = [], []
     for b in page.blocks:
         if "".join(b.parts).strip():
             b.tags = pending + b.tags
             pending = []
-            b.cut = any(page.named[n] or n not in kept for n in b.within)
+            b.cut = not cut.isdisjoint(b.within)
             found.append(b)
         else:
             pending += b.tags

@@ -173,6 +173,42 @@ def test_page_parts():
         assert extract.main_text(p, {}) == TEXT
 
 
+LINES = [f"Sentence number {i} tells one more thing that the page has to say." for i in range(12)]
+
+
+def test_elements_that_hold_the_article_are_not_cut():
+    body = "<h1>The title here</h1>" + "".join(f"<p>{x}</p>" for x in LINES)
+    want = "\n\n".join(["The title here", *LINES])
+    menu, login = "<nav><a href='/a'>Home</a></nav>", "<form id='login'>Your name <input name='n'><button>Go</button></form>"
+    for tag in ("article", "main", "div"):
+        for around in ("form id='aspnetForm'", "form role='form'", "div class='comments-open'", "div class='discussion'", "div id='respond'"):
+            page = f"<body><{around}>{menu}<{tag}>{body}</{tag}><div class='ad'>Buy it now</div></{around.split()[0]}>{login}</body>"
+            assert extract.main_text(page, {}) == want, (tag, around)
+    words = "".join(f"<p>{x}</p>" for x in LINES)
+    for around in ("form", "div class='comments'"):  # most of the words, and nothing is marked
+        assert extract.main_text(f"<body>{menu}<{around}>{words}</{around.split()[0]}></body>", {}) == "\n\n".join(LINES)
+
+
+def test_sections_of_an_article_on_topics_that_name_other_things():
+    for name in ("id='discussion'", "class='sec-discussion'", "id='respond'", "id='related-work'", "id='register-of-interests'", "class='notice-period'"):
+        for tag in ("section", "div"):
+            page = f"<article><h1>The title here</h1><p>{LINES[0]}</p><{tag} {name}><h2>Part two</h2><p>{LINES[1]}</p></{tag}><p>{LINES[2]}</p></article>"
+            assert extract.main_text(page, {}) == "\n\n".join(["The title here", LINES[0], "Part two", *LINES[1:3]])
+
+
+def test_comments_and_links_in_an_article_are_cut():
+    words = "".join(f"<p>{x}</p>" for x in LINES)
+    comment = "".join(f"<li class='comment'><p>{x}</p></li>" for x in LINES)
+    for part in (
+        f"<section id='discussion'><h2>Two comments</h2><ul>{comment}</ul></section>", f"<section id='discussion'><h2>Said</h2><article><p>{LINES[3]}</p></article></section>",
+        f"<div class='comments'>{words}</div>", f"<div class='comments'><article>{words}</article></div>",
+        "<div class='related'><h2>Read on</h2><a href='/a'>Another story of the day</a></div>", "<div class='share'>Share this page</div>",
+        f"<div class='cookie-notice'><p>{LINES[4]}</p></div>", "<div id='respond'><h3>Reply</h3><form>Your name and mail <textarea></textarea></form></div>",
+    ):
+        page = f"<article><h1>The title here</h1><p>{LINES[0]}</p>{part}</article>"
+        assert extract.main_text(page, {}) == "The title here\n\n" + LINES[0], part
+
+
 def test_best_run_is_the_largest_sum():
     rng = np.random.default_rng(3)
     for _ in range(200):
