@@ -180,7 +180,8 @@ def encoder(tokenizer_path: str, shared: bool = True):
     """A function from a text column to its ids, equal to the tokenizer's own on the whole texts.
 
     The tokenizer drops white space and never merges across it, nor across the border of a
-    run of letters and the marks behind it. So each distinct word is encoded once, by the
+    run of letters and the marks behind it, if the letters are letters still when normalized
+    (İ becomes i and a dot, which joins the marks). So each distinct word is encoded once, by the
     library, and texts are put together from words. Words of letters go to the library many
     at a time: each ends with the one id whose token has the mark of a word's end, which
     tells them apart; if the number of such ids is not that of the words, and for all other
@@ -189,6 +190,11 @@ def encoder(tokenizer_path: str, shared: bool = True):
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks use the cores already
     tokenizer, last, known = _loaded(tokenizer_path, shared)
+    normalized = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+
+    def letters(word: str) -> bool:
+        """Whether a word is of letters only, as it stands and as the tokenizer sees it."""
+        return word.isalpha() and (word.isascii() or normalized(word).isalpha())
 
     def alone(words: list[str]) -> Iterator[tuple[str, bytes]]:
         for at in range(0, len(words), TOGETHER):
@@ -203,7 +209,7 @@ def encoder(tokenizer_path: str, shared: bool = True):
             text = " ".join(some)
             ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(last[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids) or not text.lower().replace(" ", "").isalpha():
+            if len(ends) != len(some) or ends[-1] != len(ids) or not letters(text.replace(" ", "")):
                 yield from alone(some)
                 continue
             raw, to = ids.tobytes(), (4 * ends).tolist()
@@ -213,7 +219,7 @@ def encoder(tokenizer_path: str, shared: bool = True):
         if not last.any():
             return [code for _, code in alone(words)]
         others = {w: w.rstrip(MARKS) for w in words if not w.isalpha()}
-        marked = {w: stem for w, stem in others.items() if stem.isalpha()}  # letters, then marks
+        marked = {w: stem for w, stem in others.items() if letters(stem)}  # letters, then marks
         codes = dict(together(list({w for w in words if w not in others}.union(marked.values()))))
         rest = {w[len(stem) :] for w, stem in marked.items()}.union(others.keys() - marked.keys())
         codes.update(alone(list(rest)))

@@ -74,6 +74,19 @@ def test_word_by_word_encoding_equals_the_tokenizer(monkeypatch):
             assert [ids[b - k : b].tolist() for b, k in zip(ends, n)] == whole
 
 
+def test_letters_that_become_letter_and_mark_are_not_parted_from_marks():
+    from tokenizers import Tokenizer
+
+    path = tokenids.default_tokenizer()
+    stems = ["GELDİ", "İ", "\u0958", "क\u0958", "\uFB2A", "é", "ΣΑΣ", "word", *(chr(c) for c in range(0x80, 0x110000) if chr(c).isalpha())]
+    tokenizer, encode = Tokenizer.from_file(path), tokenids.encoder(path, shared=False)
+    for given in ([s + m for s in stems[:8] for m in ("", ".", "!", ",", ")", "?", "...")], [s + "!" for s in stems]):
+        whole = [e.ids for e in tokenizer.encode_batch(given, add_special_tokens=False)]
+        ids, n = encode(pa.array(given))
+        ends = np.cumsum(n)
+        assert [ids[b - k : b].tolist() for b, k in zip(ends, n)] == whole
+
+
 def test_token_files(spark, odd, nothing):
     from tokenizers import Tokenizer
 
