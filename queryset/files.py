@@ -1,6 +1,7 @@
 """Sinks and scans: tables written to the shared folder and read back."""
 
 import io
+import itertools
 import uuid
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pulsemill.functions import arrays
 from pulsemill.operators.records import prediction_frame
 from pulsemill.plans import marts
-from pulsemill.session import shared_folder
+from pulsemill.session import materialize, shared_folder
 from pulsemill.sources import marts as mart_io
 from pulsemill.sources import signals, tables, watch
 from queryset.answers import QUALITY_TEXT, quality_responses
@@ -260,24 +261,110 @@ def _write_files(files, folder: str) -> None:
     files.select("name", "content").mapInArrow(run, "name STRING").write.format("noop").mode("overwrite").save()
 
 
-def _recordings(spark, sf) -> str:
+def _write_lines(lines, folder: str):
+    """Write sorted (home, line) rows, a piece per task below ``folder``: (home, part, piece, at, size) of each home's bytes in it."""
+
+    def run(batches):
+        import pyarrow.fs as pafs
+        from pyspark import TaskContext
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        part = TaskContext.get().partitionId()
+        piece = f"{part}-{uuid.uuid4().hex}"
+        home, start, at = None, 0, 0
+
+        def place():
+            return {"home": home, "part": part, "piece": piece, "at": start, "size": at - start}
+
+        with fs.open_output_stream(f"{root}/{piece}") as out:
+            for batch in batches:
+                done = []
+                rows = zip(batch.column("home").to_pylist(), batch.column("line").to_pylist())
+                for own, group in itertools.groupby(rows, lambda r: r[0]):
+                    if own != home:
+                        done += [place()] if home is not None else []
+                        home, start = own, at
+                    text = "".join(f"{line}\n" for _, line in group).encode()
+                    out.write(text)
+                    at += len(text)
+                yield pa.RecordBatch.from_pylist(done, schema)
+        if home is not None:
+            yield pa.RecordBatch.from_pylist([place()], schema)
+
+    schema = pa.schema([("home", pa.string()), ("part", pa.int32()), ("piece", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
+    return materialize(lines.mapInArrow(run, "home STRING, part INT, piece STRING, at LONG, size LONG"))
+
+
+def _join_pieces(places, pieces: str, folder: str, header: str) -> None:
+    """Write each file ``name`` below ``folder``: the header, then its pieces' bytes in the order of the parts."""
+
+    def run(batches):
+        import pyarrow.fs as pafs
+
+        fs, root = pafs.FileSystem.from_uri(folder)
+        source_fs, source_root = pafs.FileSystem.from_uri(pieces)
+        name = piece = out = source = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["name"] != name:
+                    if out:
+                        out.close()
+                    name = row["name"]
+                    fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                    out = fs.open_output_stream(f"{root}/{name}")
+                    out.write(header.encode())
+                if row["piece"] != piece:
+                    if source:
+                        source.close()
+                    piece = row["piece"]
+                    source = source_fs.open_input_file(f"{source_root}/{piece}")
+                source.seek(row["at"])
+                left = row["size"]
+                while left:
+                    some = source.read(min(left, COPIED))
+                    if not some:
+                        raise EOFError(f"{piece} is cut short")
+                    out.write(some)
+                    left -= len(some)
+            yield batch.select(["name"])
+        for stream in (out, source):
+            if stream:
+                stream.close()
+
+    dealt = places.repartition("name").sortWithinPartitions("name", "part").select("name", "piece", "at", "size")
+    dealt.mapInArrow(run, "name STRING").write.format("noop").mode("overwrite").save()
+
+
+#: bytes that are copied at a time
+COPIED = 4 << 20
+HEADER = "timestamp,kind,signal\n"
+
+
+def _recordings(spark, sf, lines: bool = True) -> str:
     """Users as participants below a folder named Projects: PPG files whose value column has no
-    known name, ECG files for two of three, events for all, a second file deeper down."""
+    known name, ECG files for two of three, events for all, a second file deeper down.
+
+    Without ``lines`` each file is its header only. The lines are sorted by ranges, so a user
+    covers many tasks; a file's task only copies their bytes.
+    """
     user = F.col("user_id").cast("string")
-    line = F.concat_ws(",", F.col("ms").cast("string"), F.col("event_type"), F.col("value").cast("string"))
-    rows = samples(spark, sf).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ms", "event_id", line.alias("l")))), lambda r: r["l"]), "\n")
-    folder = F.when(F.col("user_id") % 2 == 0, "Data/P").otherwise("P")
-    series = rows.groupBy("user_id").agg(text.alias("body")).withColumn("home", F.concat(folder, user))
-    content = F.concat(F.lit("timestamp,kind,signal\n"), "body", F.lit("\n")).alias("content")
+    home = F.concat(F.when(F.col("user_id") % 2 == 0, "Data/P").otherwise("P"), user).alias("home")
     kinds = (("/GalaxyWatch/a_PPG_1.csv", F.lit(True)), ("/GalaxyWatch/deep/0_PPG.csv", F.col("user_id") % 4 == 0),
              ("/Polar H10/ECG.csv", F.col("user_id") % 3 > 0), ("/day/Events.csv", F.lit(True)))
+    names = F.filter(F.array(*[F.when(which, F.concat(home, F.lit(name))) for name, which in kinds]), lambda n: n.isNotNull())
+    rows = samples(spark, sf).where("user_id IS NOT NULL")
+    users = rows.select("user_id").distinct().select(home, F.explode(names).alias("name"))
     root = f"{_fresh(spark)}/Projects/raw"
-    files = None
-    for name, which in kinds:
-        part = series.where(which).select(F.concat("home", F.lit(name)).alias("name"), content)
-        files = part if files is None else files.unionByName(part)
-    _write_files(files, root)
+    if not lines:
+        _write_files(users.select("name", F.lit(HEADER).alias("content")), root)
+        return root
+    ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
+    line = F.concat_ws(",", ms, F.col("event_type"), F.col("value").cast("string")).alias("line")
+    order = ("user_id", "ts", "event_id")
+    pieces = _fresh(spark)
+    places = _write_lines(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(home, line), pieces)
+    _join_pieces(places.join(users, "home"), pieces, root, HEADER)
     return root
 
 
@@ -297,7 +384,7 @@ people AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'Data/P' ELSE
 )
 def watch_discovery(spark, sf):
     """Participants found below a root with a folder of its own that begins with P."""
-    return watch.discover(spark, _recordings(spark, sf))
+    return watch.discover(spark, _recordings(spark, sf, lines=False))
 
 
 @query(
