@@ -1,10 +1,11 @@
 """Quality rules as a short-circuit cascade, ordered by rejections per unit of cost.
 
 Each rule gets a ``Page`` (the words of a slice of documents) and the documents that are
-still in, and says which of them it rejects. A rule works on the words of these only, so
-what an earlier rule has rejected costs nothing later. Cost and selectivity of every rule
-are measured on a sample of about ``SAMPLE`` documents; the verdict does not depend on the
-order, only the time does.
+still in, and says which of them it rejects. Once ``FAIR`` of a page's documents are out, the
+page is made anew of the others, so that what is rejected costs nothing later. Cost and
+selectivity of every rule are measured on a sample of about ``SAMPLE`` documents, each rule
+alone, so that it pays for counts that rules of a cascade share; the verdict does not depend
+on the order, only the time does.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pulsemill.llm import words as W
 
 #: documents on which rules are measured, about
 SAMPLE = 2000
+#: share of a page's documents whose rejection is worth finding the words of the others again
+FAIR = 0.25
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _UPPER = np.zeros(256, bool)
@@ -134,13 +137,17 @@ def _in_capitals(page: Page) -> np.ndarray:
 def run_cascade(page: Page, rules: list[tuple[str, Rule]]) -> tuple[np.ndarray, list[tuple[str, int, int, float]]]:
     """What every document fails first (-1: nothing), and each rule's documents, rejections and seconds."""
     failed = np.full(len(page.n_words), -1)
+    rows = np.arange(len(failed))  # the page's documents
     seen = []
     for i, (name, rule) in enumerate(rules):
-        alive = failed < 0
         began = time.process_time()
+        alive = failed[rows] < 0
+        if alive.any() and np.mean(alive) <= 1 - FAIR:
+            page, rows = Page(page.texts.take(pa.array(np.flatnonzero(alive)))), rows[alive]
+            alive = np.ones(len(rows), bool)
         bad = alive & rule(page, alive) if alive.any() else np.zeros_like(alive)
         seen.append((name, int(alive.sum()), int(bad.sum()), time.process_time() - began))
-        failed[bad] = i
+        failed[rows[bad]] = i
     return failed, seen
 
 

@@ -338,3 +338,17 @@ def test_rules_run_in_the_order_of_rejections_per_cost(spark, odd):
     assert quality.ordered(quality.measure(odd, rules, sample=1000), rules)[0] == "many"
     seen = quality.run_cascade(quality.Page(pa.array(texts(ODD))), [("many", rules["many"]), ("none", rules["none"])])[1]
     assert seen[1][1] == seen[0][1] - seen[0][2]  # the second rule sees what the first has left
+
+
+def test_a_rule_does_not_work_on_rejected_documents():
+    given = [f"{'short ' * (i % 4 > 0)}{i}" for i in range(40)]
+    seen = []
+
+    def note(page, alive):
+        seen.append((page.texts.to_pylist(), alive.sum()))
+        return page.n_words < 1
+
+    rules = [("two", lambda p, alive: p.n_words == 2), ("note", note), ("none", lambda p, alive: p.n_words == 1)]
+    failed, counts = quality.run_cascade(quality.Page(pa.array(given)), rules)
+    assert seen == [(given[::4], 10)] and [c[1:3] for c in counts] == [(40, 30), (10, 0), (10, 10)]
+    assert failed.tolist() == [0 if i % 4 else 2 for i in range(40)]
