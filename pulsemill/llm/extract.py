@@ -325,23 +325,43 @@ def main_text(html: str, model: dict[str, float]) -> str:
 
 
 def train(pages: DataFrame, *, sample: int = TRAIN, html: str = "html") -> dict[str, float]:
-    """Weights from about ``sample`` pages picked by hash; one row per kind comes to the driver."""
-    every = max(1, pages.count() // max(1, sample))
-    picked = pages.select(F.col(html).alias("html")).where(F.col("html").isNotNull() & (F.pmod(F.xxhash64("html"), F.lit(every)) == 0))
+    """Weights from the different labelled pages with the smallest hashes, ``sample`` of them at least
+    if there are as many; ``sample`` hashes and one row per kind come to the driver.
+
+    What has the tag in a comment or a cut element is no labelled page; then more hashes are taken.
+    """
+    tagged = pages.select(F.col(html).alias("html")).where(F.col("html").rlike(r"(?i)<(article|main)[\s/>]"))
+    tagged = tagged.withColumn("h", F.xxhash64("html"))
+    least = [r["h"] for r in tagged.select("h").distinct().orderBy("h").limit(max(1, sample)).collect()]
+    low, high = -(1 << 63), (1 << 63) - 1
+    upto = least[-1] if len(least) >= max(1, sample) else high
+    while True:
+        counts = _tallied(tagged.where(F.col("h") <= upto).dropDuplicates(["h"]).select("html"))
+        labelled = counts.pop(("p", "", True), 0)
+        if labelled >= sample or upto >= high:
+            return weights(counts)
+        times = 1 + min(3.0, 1.2 * sample / max(1, labelled) - 1)
+        upto = min(high, low + int((upto - low + 1) * times))
+
+
+def _tallied(picked: DataFrame) -> dict[tuple[str, str, bool], int]:
+    """The sums of all pages' tallies, and under ("p", "", True) how many are labelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter = Counter()
             for h in batch.column("html").to_pylist():
-                total.update(tally(h))
+                found = tally(h)
+                total.update(found)
+                total["p", "", True] += bool(found)
             what, name, good = zip(*total, strict=True) if total else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(what, pa.string()), pa.array(name, pa.string()), pa.array(good, pa.bool_()), pa.array(total.values(), pa.int64())],
                 ["what", "name", "good", "n"],
             )
 
-    found = picked.mapInArrow(run, "what string, name string, good boolean, n long").groupBy("what", "name", "good").agg(F.sum("n").alias("n"))
-    return weights({(r["what"], r["name"], r["good"]): r["n"] for r in found.collect()})
+    found = picked.repartition(16).mapInArrow(run, "what string, name string, good boolean, n long").groupBy("what", "name", "good").agg(F.sum("n").alias("n"))
+    return {(r["what"], r["name"], r["good"]): r["n"] for r in found.collect()}
 
 
 def extract(pages: DataFrame, model: dict[str, float], *, html: str = "html") -> DataFrame:

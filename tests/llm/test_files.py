@@ -243,6 +243,15 @@ def test_given_pages_are_their_articles(spark, table):
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
 
 
+def test_weights_are_counted_on_different_labelled_pages(spark):
+    marked = [f"<nav>Menu of {i}</nav><article><p>{x}</p></article>" for i, x in enumerate(LINES)]
+    plain = [f"<div>Page {i} has no mark</div>" for i in range(200)] + [f"<!-- <main> --><p>{i}</p>" for i in range(30)]
+    pages = spark.createDataFrame([(h,) for h in marked + [marked[0]] * 120 + plain], "html string")
+    want = extract.weights(sum(map(extract.tally, marked), start=extract.Counter()))
+    assert extract.train(pages, sample=12) == extract.train(pages, sample=500) == want
+    assert extract.train(pages.where("html NOT LIKE '%article%'"), sample=5) == {}
+
+
 def test_odd_pages(spark):
     given = [(None, None, None), (1, "", ""), (1, "", ""), (2, None, "no tags at all, only some words in a row"), (3, "u", "<p>unclosed <b>x <div>y"), (4, "u", "<" * 500 + "a" * 100_000),
              (5, "u", "<article></article>"), (6, "u", "<script>var x"), (7, "u", "&lt;p&gt; &#0; &bogus; &amp;amp;</html></body></p>")]
