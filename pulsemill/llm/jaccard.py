@@ -19,8 +19,9 @@ A document's tokens are its distinct ``k``-word shingles. Two documents link whe
    needs, and is compared with their members token by token, in cells of at most
    ``CELL`` members and ``CELL`` queries.
 
-Within a group nothing is compared again: it is connected already. So the number of rows
-follows the number of documents and of groups, not of pairs in a cluster.
+Within a group nothing is compared again: it is connected already. But the matrix has an entry
+per token and member, and the join on tokens meets members of the own group before it drops
+them: m different near copies in a group give about m * m such pairs per shared prefix token.
 """
 
 from __future__ import annotations
