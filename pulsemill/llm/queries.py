@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsemill.llm import decontam, extract, jaccard, mixing, quality, secrets, substrings, tokenids, toxicity, warc
+from pulsemill.llm import (
+    decontam, extract, jaccard, merkle, mixing, neardup, quality, search, secrets, substrings, tokenids, toxicity, warc,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -269,4 +271,110 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+@query("op11_merkle", r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, *, CAST(doc_id AS VARCHAR) AS id FROM documents),
+bits AS (
+  SELECT r, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(8 * len(id)),
+           lambda i: (CAST(ord(id[CAST(i // 8 AS INT) + 1]) AS BIGINT) >> (i % 8)) & 1)),
+           lambda c, b: xor(c >> 1, 3988292384 * xor(c & 1, b))) AS c FROM d WHERE id IS NOT NULL),
+own AS (
+  SELECT d.r, doc_id, lang, prefix, suffix,
+         sha256(prefix || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || suffix) AS leaf,
+         CASE WHEN xor(c, 4294967295) % 7 = 0
+              THEN sha256(prefix || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || suffix)
+              ELSE sha256(prefix || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || suffix) END AS forged
+  FROM (SELECT *, coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-')
+               || coalesce(strlen(lang) || ':' || lang, '-') AS prefix, coalesce(strlen(text) || ':' || text, '-') AS suffix FROM d) d
+  LEFT JOIN bits USING (r)),
+leaves AS (
+  SELECT r, doc_id, leaf, forged, coalesce('=' || lang, '') AS g, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY lang) AS n
+  FROM own WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),
+low(g, l, p, n, h) AS (
+  SELECT g, 0, p, n, leaf FROM leaves
+  UNION ALL
+  SELECT g, l + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM low WHERE n > 1 GROUP BY g, l, n, p // 2),
+tops AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n FROM low WHERE n = 1),
+high(l, p, n, h) AS (
+  SELECT 0, p, n, h FROM tops
+  UNION ALL
+  SELECT l + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM high WHERE n > 1 GROUP BY l, n, p // 2),
+steps AS (
+  SELECT r, x.l AS s, (leaves.p >> x.l) % 2 AS right_slot, coalesce(y.h, '') AS sibling
+  FROM leaves JOIN (SELECT DISTINCT g, l FROM low WHERE n > 1) x USING (g)
+  LEFT JOIN low y ON y.g = leaves.g AND y.l = x.l AND y.p = xor(leaves.p >> x.l, 1)
+  UNION ALL
+  SELECT r, 1000 + x.l, (tops.p >> x.l) % 2, coalesce(y.h, '')
+  FROM leaves JOIN tops USING (g) CROSS JOIN (SELECT DISTINCT l FROM high WHERE n > 1) x
+  LEFT JOIN high y ON y.l = x.l AND y.p = xor(tops.p >> x.l, 1)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY s) AS k FROM steps),
+folds(r, k, h) AS (
+  SELECT r, 1, forged FROM leaves
+  UNION ALL
+  SELECT f.r, f.k + 1, sha256(CASE WHEN right_slot = 1 THEN sibling || f.h ELSE f.h || sibling END) FROM folds f JOIN ranked x ON x.r = f.r AND x.k = f.k),
+ends AS (SELECT r, max_by(h, k) AS folded_root FROM folds GROUP BY r),
+proofs AS (SELECT r, string_agg(sibling, '' ORDER BY s) AS proof FROM steps GROUP BY r)
+SELECT doc_id, leaf, tops.h AS subroot, high.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = high.h AS verified
+FROM leaves JOIN tops USING (g) JOIN high ON high.n = 1 JOIN ends USING (r) LEFT JOIN proofs USING (r)""")
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {c: F.col(c) for c in merkle.FIELDS}
+    changed = merkle.leaf([*({**fields, "n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}).values()])
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    forged = F.when(picked, changed).otherwise(merkle.leaf([*fields.values()]))
+    tree = merkle.manifest(table(spark, sf_dir, "documents"), keep={"forged": forged})
+    folded = tree.withColumn("folded_root", merkle.fold(F.col("forged"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op12_search", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+q AS (
+  SELECT DISTINCT i, item_id, term FROM (
+    SELECT i, item_id, unnest(t) AS term FROM (
+      SELECT row_number() OVER () AS i, item_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark))),
+whole AS (SELECT count(*) AS big_n, CAST(sum(len(t)) AS BIGINT) AS big_l FROM d WHERE len(t) > 0),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term, big_n),
+gains AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))) AS gain
+  FROM tf JOIN w USING (term), whole),
+scores AS (SELECT i, item_id, r, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM q JOIN gains USING (term) GROUP BY i, item_id, r, doc_id),
+ranks AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 50""")
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query("op13_near_vectors", r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (
+  SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM fine a JOIN fine b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_dot_product(a.e, b.e) >= 0.98 * a.norm * b.norm),
+reach(r, t) AS (SELECT r, r FROM v UNION SELECT reach.r, y FROM reach JOIN links ON t = x),
+low AS (SELECT reach.r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = t GROUP BY reach.r),
+counts AS (SELECT x AS r, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN low USING (r) LEFT JOIN counts USING (r)""")
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
