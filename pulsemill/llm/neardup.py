@@ -39,7 +39,7 @@ from pulsemill.session import materialize
 TABLES = 3
 ROTATIONS = 3
 PROBES = 4
-BLOCK = 512
+BLOCK = 256
 #: vectors of at most so many components in all are hashed at once
 PIECE = 1 << 20
 
