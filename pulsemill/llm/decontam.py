@@ -75,7 +75,7 @@ def benchmark_windows(benchmark: DataFrame, *, n: int = WINDOW, k: int = GRAM, i
             )
 
     given = benchmark.select(F.col(item).cast("string").alias("_item"), F.col(text).alias(text))
-    found = given.mapInArrow(run, "_item string, words string, length int, fingerprint long")
+    found = given.mapInArrow(W.tidy(run), "_item string, words string, length int, fingerprint long")
     return found.groupBy("words", "length", "fingerprint").agg(F.array_sort(F.collect_set("_item")).alias("items"))
 
 
@@ -145,7 +145,7 @@ def overlaps(
     given = docs.select(*dict.fromkeys([*keep, text]))
     schema = given.select(*keep).schema.add("n_words", "long")
     schema = schema.add("_windows", T.ArrayType(T.StructType().add("words", "string").add("starts", T.ArrayType(T.IntegerType()))))
-    seen = materialize(given.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
+    seen = materialize(given.mapInArrow(W.tidy(run), schema).withColumn("_row", F.monotonically_increasing_id()))
 
     cand = seen.where(F.size("_windows") > 0).select("_row", F.explode("_windows").alias("w"))
     cand = cand.select("_row", F.col("w.words").alias("words"), F.col("w.starts").alias("starts"))

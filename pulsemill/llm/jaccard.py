@@ -82,7 +82,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
         total = np.frombuffer(a, "<u4").astype(np.int64) + np.frombuffer(b, "<u4")
         return np.minimum(total, 2**32 - 1).astype("<u4").tobytes()
 
-    parts = docs.select("text").mapInArrow(run, "counts binary").rdd.map(lambda r: bytes(r[0]))
+    parts = docs.select("text").mapInArrow(W.tidy(run), "counts binary").rdd.map(lambda r: bytes(r[0]))
     return np.frombuffer(parts.treeReduce(add) if not parts.isEmpty() else bytes(4 << SKETCH_BITS), "<u4")
 
 
@@ -131,7 +131,7 @@ def _describe(docs: DataFrame, k: int, num: int, den: int, keep: tuple[str, ...]
     schema = given.select(*keep, "_text").schema.add("_set", "binary").add("n", "integer")
     for name in ("lows", "signature", "wide", "prefix"):
         schema = schema.add(name, T.ArrayType(T.LongType()))
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(W.tidy(run), schema)
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _star_links(docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -
             good = pa.array([_linked(x, y, num, den) for x, y in zip(left, right, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], ["a", "b"])
 
-    return materialize(met.mapInArrow(run, "a long, b long"))
+    return materialize(met.mapInArrow(W.tidy(run), "a long, b long"))
 
 
 def _candidates(nodes: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _open(docs: DataFrame, nodes: DataFrame, groups: DataFrame, asked: DataFrame
         if cell is not None:
             yield done()
 
-    return materialize(cells.select("grp", "r", "c", "role", "node", "text").mapInArrow(run, "a long, b long"))
+    return materialize(cells.select("grp", "r", "c", "role", "node", "text").mapInArrow(W.tidy(run), "a long, b long"))
 
 
 def link(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, keep: tuple[str, ...] = ("doc_id",), id_column: str = "doc_id") -> DataFrame:

@@ -115,7 +115,7 @@ def index(docs: DataFrame, *, n: int = WINDOW, k: int = GRAM, keep: tuple[str, .
     schema = given.select(*keep, "_key").schema.add("n_words", "long").add("sha", "binary")
     for name, kind in (("at", "int"), ("size", "int"), ("anchor", "bigint"), ("phrase", "bigint")):
         schema = schema.add(name, _array(kind))
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(W.tidy(run), schema)
 
 
 def _array(kind: str):
@@ -153,7 +153,7 @@ def _texts_of(docs: DataFrame, keys: DataFrame, keep: tuple[str, ...]) -> DataFr
             yield batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
 
     given = _keyed(docs, keep)
-    return given.mapInArrow(run, given.schema)
+    return given.mapInArrow(W.tidy(run), given.schema)
 
 
 def repeats(docs: DataFrame, *, n: int = WINDOW, k: int = GRAM, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -242,7 +242,7 @@ def _windows(docs: DataFrame, opened: DataFrame, n: int) -> DataFrame:
     schema = met.select("_key").schema
     for name, kind in (("at", "int"), ("anchor", "bigint"), ("window", "bigint")):
         schema = schema.add(name, _array(kind))
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(W.tidy(run), schema)
 
 
 def _cut_texts(docs: DataFrame, cut: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -275,4 +275,4 @@ def _cut_texts(docs: DataFrame, cut: DataFrame, keep: tuple[str, ...]) -> DataFr
     met = _texts_of(docs, cut, keep).join(cut, "_key").select(*keep, "text", "covers")
     schema = met.select(*keep).schema.add("n_words", "long").add("n_removed", "long").add("kept_sha", "binary")
     schema = schema.add("factors", T.ArrayType(T.StructType().add("at", "integer").add("to", "integer")))
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(W.tidy(run), schema)

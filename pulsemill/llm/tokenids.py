@@ -17,7 +17,7 @@ import os
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,10 +34,12 @@ MAGIC = b"DACTOK01"
 CHUNK = 8
 BLOCK = 512
 #: tokens of a file, about; one document is never cut
-FILE_TOKENS = 4_000_000
-#: distinct words whose ids a task remembers
+FILE_TOKENS = 2_000_000
+#: tokens that are decoded at once, about
+READ_TOKENS = 500_000
+#: distinct parts of words whose ids a task remembers
 REMEMBERED = 800_000
-#: words that are encoded as one text, and marks that may follow a word of letters
+#: parts that are encoded as one text, and marks that may follow a run of letters
 TOGETHER = 1000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END = 2
@@ -158,7 +160,38 @@ class Reader:
 # -- tokenizing ------------------------------------------------------------------------
 
 
-def _loaded(path: str, shared: bool):
+@dataclass
+class _Known:
+    """Ids of words: ``ids[at[i] : at[i] + size[i]]`` for the i-th of the ascending ``keys``."""
+
+    keys: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def empty(cls) -> _Known:
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``keys``, and which are there."""
+        place = np.searchsorted(self.keys, keys)
+        there = place < len(self.keys)
+        there[there] = self.keys[place[there]] == keys[there]
+        return place, there
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Take in new words, whose ids follow each other in ``ids``."""
+        order = np.argsort(keys)
+        at = (np.cumsum(size) - size + len(self.ids))[order]
+        where = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, where, keys[order])
+        self.at = np.insert(self.at, where, at)
+        self.size = np.insert(self.size, where, size[order])
+        self.ids = np.concatenate([self.ids, ids])
+
+
+def _loaded(path: str, shared: bool) -> dict:
     """The tokenizer, which ids end a word, and the words known so far; if ``shared``, later tasks
     of the same Python process find them again."""
     kept = sys.modules.setdefault("_pulsemill_tokenizers", types.ModuleType("_pulsemill_tokenizers")).__dict__
@@ -172,7 +205,7 @@ def _loaded(path: str, shared: bool):
         last = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        holder[path] = tokenizer, last, {}
+        holder[path] = {"tokenizer": tokenizer, "last": last, "known": _Known.empty()}
     return holder[path]
 
 
@@ -181,79 +214,110 @@ def encoder(tokenizer_path: str, shared: bool = True):
 
     The tokenizer drops white space and never merges across it, nor across the border of a
     run of letters and the marks behind it, if the letters are letters still when normalized
-    (İ becomes i and a dot, which joins the marks). So each distinct word is encoded once, by the
-    library, and texts are put together from words. Words of letters go to the library many
-    at a time: each ends with the one id whose token has the mark of a word's end, which
-    tells them apart; if the number of such ids is not that of the words, and for all other
-    words, each is encoded alone. Codes are remembered by the words' 64-bit hashes, of at most
-    ``REMEMBERED`` words at a time, and if ``shared`` between the tasks of a process as well.
+    (İ becomes i and a dot, which joins the marks). So texts are cut into parts there, each
+    distinct part is encoded once, by the library, and texts are put together from parts.
+    Parts of letters go to the library many at a time: each ends with the one id whose token has
+    the mark of a word's end, which tells them apart; if the number of such ids is not that of
+    the parts, and for all other parts, each is encoded alone. Ids are remembered by the parts'
+    64-bit hashes, of at most ``REMEMBERED`` parts at a time, and if ``shared`` between the
+    tasks of a process as well.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks use the cores already
-    tokenizer, last, known = _loaded(tokenizer_path, shared)
+    held = _loaded(tokenizer_path, shared)
+    tokenizer, last = held["tokenizer"], held["last"]
     normalized = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
 
-    def letters(word: str) -> bool:
-        """Whether a word is of letters only, as it stands and as the tokenizer sees it."""
-        return word.isalpha() and (word.isascii() or normalized(word).isalpha())
-
-    def alone(words: list[str]) -> Iterator[tuple[str, bytes]]:
-        for at in range(0, len(words), TOGETHER):
-            some = words[at : at + TOGETHER]
-            for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                yield w, np.array(e.ids, "<u4").tobytes()
-
-    def together(words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words of letters only."""
+    def alone(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Sizes and ids of some words at a time."""
         for at in range(0, len(words), TOGETHER):
-            some = words[at : at + TOGETHER]
-            text = " ".join(some)
-            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ids = [e.ids for e in tokenizer.encode_batch_fast(words[at : at + TOGETHER], add_special_tokens=False)]
+            yield np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], np.uint32)
+
+    def together(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for parts of letters only, given by their bytes."""
+        for at in range(0, len(start), TOGETHER):
+            size = (end - start)[at : at + TOGETHER]
+            to = np.cumsum(size + 1)
+            text = np.full(to[-1] - 1, 0x20, np.uint8)
+            inside = np.arange(size.sum())
+            skip = np.repeat(np.arange(len(size)), size)
+            text[inside + skip] = data[np.repeat(start[at : at + TOGETHER] - (np.cumsum(size) - size), size) + inside]
+            text = text.tobytes().decode()
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(last[ids]) + 1
-            if len(ends) != len(some) or ends[-1] != len(ids) or not letters(text.replace(" ", "")):
-                yield from alone(some)
-                continue
-            raw, to = ids.tobytes(), (4 * ends).tolist()
-            yield from zip(some, (raw[i:j] for i, j in zip([0, *to], to, strict=False)), strict=True)
-
-    def learn(words: list[str]) -> list[bytes]:
-        if not last.any():
-            return [code for _, code in alone(words)]
-        others = {w: w.rstrip(MARKS) for w in words if not w.isalpha()}
-        marked = {w: stem for w, stem in others.items() if letters(stem)}  # letters, then marks
-        codes = dict(together(list({w for w in words if w not in others}.union(marked.values()))))
-        rest = {w[len(stem) :] for w, stem in marked.items()}.union(others.keys() - marked.keys())
-        codes.update(alone(list(rest)))
-        for w, stem in marked.items():
-            codes[w] = codes[stem] + codes[w[len(stem) :]]
-        return list(map(codes.__getitem__, words))
+            if len(ends) == len(size) and ends[-1] == len(ids):
+                yield np.diff(ends, prepend=0).astype(np.int32), ids
+            else:
+                yield from alone(text.split(" "))
+
+    def learn(data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray, plain: np.ndarray) -> None:
+        plain = plain & last.any()
+        words = [data[i:j].tobytes().decode() for i, j in zip(start[~plain].tolist(), end[~plain].tolist(), strict=True)]
+        found = [*together(data, start[plain], end[plain]), *alone(words)]
+        if found:
+            size, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+            held["known"].add(np.concatenate([keys[plain], keys[~plain]]), size, ids)
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and the number of each text's ids; a null text has none."""
         w = W.find(texts)
-        which, hashes = pd.factorize(w.hash)
-        keys = hashes.tolist()
-        codes = list(map(known.get, keys))
-        new = [i for i, code in enumerate(codes) if code is None]
-        if new:
+        start, end, first, plain = _parts(w, normalized)
+        which, keys = pd.factorize(w.span_hash(start, end))
+        place, there = held["known"].find(keys)
+        if not there.all():
+            if len(held["known"].keys) + int((~there).sum()) > REMEMBERED:
+                held["known"] = _Known.empty()
+                there[:] = False
             at = np.zeros(len(keys), np.int64)
-            at[which[::-1]] = np.arange(len(which))[::-1]  # the first place of each distinct word
-            flat, at = w.data.tobytes(), at[new]
-            words = [flat[i:j].decode() for i, j in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-            for i, code in zip(new, learn(words), strict=True):
-                known[keys[i]] = codes[i] = code
-        size = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-        ids = np.frombuffer(b"".join(codes), "<u4")
-        each = size[which]
+            at[which[::-1]] = np.arange(len(which))[::-1]  # the first place of each distinct part
+            at = at[~there]
+            learn(w.data, start[at], end[at], keys[~there], plain[at])
+            place, _ = held["known"].find(keys)
+        known = held["known"]
+        each = known.size[place].astype(np.int64)[which]
         before = np.zeros(len(each) + 1, np.int64)
         np.cumsum(each, out=before[1:])
-        place = np.repeat((np.cumsum(size) - size)[which] - before[:-1], each) + np.arange(before[-1])
-        return ids[place], np.diff(before[w.first])
+        at = np.repeat(known.at[place][which] - before[:-1], each)
+        at += np.arange(before[-1])
+        return known.ids[at], np.diff(before[first])
 
     return encode
 
 
+#: kinds of bytes for the parts of words
+_LETTER, _MARK, _OTHER = 0, 1, 2
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[c for c in range(0x80) if chr(c).isalpha()]] = _LETTER
+_KIND[[ord(c) for c in MARKS]] = _MARK
+
+
+def _parts(w: W.Words, normalized: Callable[[str], str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut into letters and the marks behind them: starts, ends, each document's first part
+    (and the end), and which parts are of letters only, as they stand and as normalized."""
+    kind = _KIND[w.data]
+    if len(w.data) and w.data.max() >= 0x80:
+        points = np.frombuffer(w.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        far = points >= 0x80
+        rare, which = np.unique(points[far], return_inverse=True)
+        letter = np.array([c.isalpha() and normalized(c).isalpha() for c in map(chr, rare.tolist())], bool)
+        of_point = np.zeros(len(points), np.uint8)
+        of_point[far] = np.where(letter, _LETTER, _OTHER)[which]
+        width = 1 + far.astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        kind = np.where(w.data >= 0x80, np.repeat(of_point, width), kind)
+    sums = np.zeros((2, len(kind) + 1), np.int64)
+    np.cumsum(kind == _LETTER, out=sums[0, 1:])
+    np.cumsum(kind == _OTHER, out=sums[1, 1:])
+    breaks = np.concatenate([np.flatnonzero(kind != _LETTER), [len(kind)]])
+    stop = np.minimum(breaks[np.searchsorted(breaks, w.start)], w.end)  # of the letters that a word starts with
+    cut = (stop > w.start) & (stop < w.end) & (sums[0, w.end] == sums[0, stop]) & (sums[1, w.end] == sums[1, w.start])
+    twice = 1 + cut.astype(np.int64)
+    start, end = np.repeat(w.start, twice), np.repeat(w.end, twice)
+    head = np.cumsum(twice)[cut] - 2
+    end[head], start[head + 1] = stop[cut], stop[cut]
+    first = np.concatenate([[0], np.cumsum(twice)])[w.first]
+    return start, end, first, sums[0, end] - sums[0, start] == end - start
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -310,7 +374,7 @@ def write(
                 ["part", "piece", "file", "docs", "tokens"],
             )
 
-        for batch in W.slices(batches, "text", 2 * W.SLICE):
+        for batch in W.slices(batches):
             found, n = encode(batch.column("text"))
             if end is not None:
                 found, n = np.insert(found, np.cumsum(n), end), n + 1
@@ -324,7 +388,7 @@ def write(
             yield flush()
 
     schema = "part int, piece int, file string, docs long, tokens long"
-    dealt.sortWithinPartitions(*keys).select("_id", "text").mapInArrow(run, schema).write.parquet(f"{folder}/written")
+    dealt.sortWithinPartitions(*keys).select("_id", "text").mapInArrow(W.tidy(run), schema).write.parquet(f"{folder}/written")
     written = spark.read.parquet(f"{folder}/written")
     per_part = written.groupBy("part").agg(F.sum("tokens").alias("_t"))
     before = F.sum("_t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -347,17 +411,23 @@ def read(catalog: DataFrame, folder: str, *, with_ids: bool = False) -> DataFram
             for name, first in zip(batch.column("file").to_pylist(), batch.column("first_token").to_pylist(), strict=True):
                 fs, path = files.opened(folder)
                 with fs.open_input_file(f"{path}/{name}") as source:
-                    reader = Reader(source.read())
-                starts = reader.starts()
-                flat = memoryview(reader.tokens(0, reader.n_tokens).astype("<u4").tobytes())
-                ids = [flat[a:b] for a, b in zip((4 * starts[:-1]).tolist(), (4 * starts[1:]).tolist(), strict=True)]
-                columns = [reader.doc_ids(), starts[:-1] + first, np.diff(starts), [zlib.crc32(x) for x in ids]]
-                columns += [[bytes(x) for x in ids]] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                    reader = Reader(source)
+                    doc_ids, starts = reader.doc_ids(), reader.starts()
+                    at = 0
+                    while at < len(doc_ids):  # some documents at a time, or a longer one
+                        to = max(at + 1, int(np.searchsorted(starts, starts[at] + READ_TOKENS, "right")) - 1)
+                        own = starts[at : to + 1]
+                        flat = memoryview(reader.tokens(int(own[0]), int(own[-1] - own[0])).astype("<u4").tobytes())
+                        ends = (4 * (own - own[0])).tolist()
+                        ids = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+                        columns = [doc_ids[at:to], own[:-1] + first, np.diff(own), [zlib.crc32(x) for x in ids]]
+                        columns += [[bytes(x) for x in ids]] * with_ids
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                        at = to
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     spread = catalog.select("file", "first_token").repartition(_tasks(catalog), "file")
-    return spread.mapInArrow(run, schema)
+    return spread.mapInArrow(W.tidy(run), schema)
 
 
 def _tasks(catalog: DataFrame) -> int:
@@ -396,7 +466,7 @@ def tokens_at(catalog: DataFrame, folder: str, places: DataFrame) -> DataFrame:
         if source:
             source.close()
 
-    return met.sortWithinPartitions("file", "at").mapInArrow(run, "place long, token long")
+    return met.sortWithinPartitions("file", "at").mapInArrow(W.tidy(run), "place long, token long")
 
 
 def open_folder(spark: SparkSession, folder: str) -> DataFrame:

@@ -99,7 +99,7 @@ def sample_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> li
             )
 
     schema = met.select("doc_id", F.col("_toxic").alias("label")).schema.add("words", "binary").add("n", "long")
-    found = met.mapInArrow(run, schema).toArrow().sort_by("doc_id")
+    found = met.mapInArrow(W.tidy(run), schema).toArrow().sort_by("doc_id")
     rows = zip(found["label"].to_pylist(), found["words"].to_pylist(), found["n"].to_pylist(), strict=True)
     return [(int(label), np.frombuffer(words, np.uint64), n) for label, words, n in rows]
 
@@ -205,4 +205,4 @@ def grade(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0
             )
 
     schema = docs.select(*kept).schema.add("expected_severity", "double").add("grade", "long").add("toxic", "boolean")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(W.tidy(run), schema)

@@ -6,7 +6,8 @@ a task's memory is bounded by the slice or by its longest document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +68,11 @@ class Words:
         spread = (self.total[start + n] - self.total[start]) * _power("down", len(self.data) + 1)[start]
         return mix(spread ^ mix(np.full(len(at), n + (1 << 32), np.uint64))), at
 
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of runs of bytes, as those of words."""
+        spread = (self.total[end] - self.total[start]) * _power("down", len(self.data) + 1)[start]
+        return mix(spread ^ mix((end - start).astype(np.uint64)))
+
     @property
     def count(self) -> np.ndarray:
         return np.diff(self.first)
@@ -148,3 +154,22 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
 def as_long(x: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as Spark's signed ones."""
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Task) -> Task:
+    """``run``, which at its end gives memory back to the system: a Python worker lives on
+    through many tasks, and what its allocators keep counts as the executor's."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return tidied
