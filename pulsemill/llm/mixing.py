@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsemill.llm.columns import shield
+from pulsemill.operators.scale import dense_index, sorted_runs
 from pulsemill.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,9 +30,10 @@ def draw(*keys: Column, seed: int = 0) -> Column:
 
 def weights_in_turn(sources: DataFrame, turn: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
     """Weights for the sources: 1, 2, 3, 1, ... by code point, null last."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    place = (F.row_number().over(order) - 1) % len(turn)
-    return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, turn)), place.cast("int") + 1))
+    keyed = sources.withColumns({"_all": F.lit(0), "_null": F.col("source").isNull()})
+    placed = dense_index(keyed, ["_all"], ["_null", "source"], "_place").drop("_all", "_null")
+    weight = F.element_at(F.array(*map(F.lit, turn)), (F.col("_place") % len(turn)).cast("int") + 1)
+    return placed.withColumn("weight", weight).drop("_place")
 
 
 def targets(sizes: DataFrame, share: float = 1.0, most: float = MOST) -> DataFrame:
@@ -42,22 +45,27 @@ def targets(sizes: DataFrame, share: float = 1.0, most: float = MOST) -> DataFra
     level at which this ends follows from running sums over that order: with the first j
     sources full, the others get (budget - most * their sizes) / (their weight) per weight,
     and the right j is the first for which source j+1 stays below its limit. There is one
-    row per source here.
+    row per source here; sums run within pieces of the sorted sources, and over a row per piece.
     """
-    whole = Window.partitionBy()
     full = F.col("source_size") * F.lit(most)
-    order = Window.orderBy((full / F.col("weight")), F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    step = sizes.select(
-        "*",
-        F.coalesce(F.sum(full).over(before), F.lit(0.0)).alias("_full"),
-        F.sum("weight").over(after).alias("_open"),
-        (F.sum("source_size").over(whole) * F.lit(share)).alias("_budget"),
-    ).withColumn("_level", F.greatest(F.col("_budget") - F.col("_full"), F.lit(0.0)) / F.col("_open"))
-    level = F.max(F.when(F.col("_level") * F.col("weight") <= full, F.col("_level"))).over(whole)
-    target = F.least(F.coalesce(level * F.col("weight"), full), full)
-    return step.withColumn("target", target).drop("_full", "_open", "_budget", "_level")
+    keyed = sizes.withColumns({"_all": F.lit(0), "_full": full, "_ratio": full / F.col("weight"), "_null": F.col("source").isNull()})
+    runs = sorted_runs(keyed, ["_all"], ["_ratio", "_null", "source"])
+    earlier = Window.partitionBy("_all").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0.0)
+    pieces = materialize(
+        runs.groupBy("_all", "run").agg(*(F.sum(c).cast("double").alias(c) for c in ("_full", "weight", "source_size"))).select(
+            "run", F.coalesce(F.sum("_full").over(earlier), none).alias("_full0"), F.coalesce(F.sum("weight").over(earlier), none).alias("_weight0"),
+            *(F.sum(c).over(Window.partitionBy("_all")).alias(f"_all_{c}") for c in ("weight", "source_size")),
+        )
+    )
+    before = Window.partitionBy("run").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    over = lambda c: F.coalesce(F.sum(c).over(before), none)
+    step = runs.withColumns({"_full1": over("_full"), "_weight1": over("weight")}).join(pieces, "run")
+    left = F.col("_all_source_size") * F.lit(share) - F.col("_full0") - F.col("_full1")
+    reached = F.greatest(left, none) / (F.col("_all_weight") - F.col("_weight0") - F.col("_weight1"))
+    level = step.select(F.max(F.when(reached * F.col("weight") <= F.col("_full"), reached))).first()[0]  # one number
+    target = full if level is None else F.least(F.lit(level) * F.col("weight"), full)
+    return sizes.withColumn("target", target)
 
 
 def mix(
@@ -78,13 +86,22 @@ def mix(
     (source, weight) and defaults to 1, 2, 3 in turn; a source without a weight is not taken.
 
     Null sources form one source; null texts have size 0 and follow their source's rate;
-    a source without words has target 0 and rate 0; repeated rows are drawn alike; an empty
-    table stays empty; other columns pass through.
+    a source without words has target 0 and rate 0; an empty table stays empty. Repeated rows
+    (of one id, text and source) share a draw; with ``settle``, where a source's target lies
+    among them, as many of them as come nearest to it are taken once more than the others.
+    Columns with the names of results are replaced, and others pass through.
     """
+    results = ["_size", "_source_size", "_target", "_rate", "_copies"]
+    plain, _ = shield(docs.drop(*results), own := (id_column, "text", source))
+    to = {p: c for p, c in zip(plain.columns, docs.drop(*results).columns, strict=True) if p not in own}
     n = word_count(F.col("text")) if size is None else size
     u = draw(F.col(id_column), F.md5(F.coalesce("text", F.lit(""))), seed=seed)
     key = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
-    sized = docs.withColumns({"_size": n, "_draw": u, "_key": key}).withColumn("_part", F.floor(F.col("_draw") * PARTS))
+    if size is not None:  # may look at any column
+        sized = docs.drop(*results).withColumn("_size", n).select("_size", *(F.col(f"`{c}`").alias(p) for p, c in zip(plain.columns, docs.drop(*results).columns, strict=True)))
+    else:
+        sized = plain.withColumn("_size", n)
+    sized = sized.withColumns({"_draw": u, "_key": key}).withColumn("_part", F.floor(F.col("_draw") * PARTS))
     cells = materialize(sized.groupBy(F.col(source).alias("source"), "_key", "_part").agg(F.sum("_size").alias("words")))
     per_source = cells.groupBy("source", "_key").agg(F.sum("words").alias("source_size"))
     if weights is None:
@@ -95,42 +112,59 @@ def mix(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aims = materialize(targets(weighed.where("weight > 0"), share, most).select("_key", "source_size", "target", rate.alias("rate")))
     rest = F.col("rate") - F.floor("rate")
-    bounds = aims.select("_key", rest.alias("bound"))
+    bounds = aims.select("_key", rest.alias("bound"), F.lit(0).cast("long").alias("some"))
     if settle:
-        bounds = _settled(sized, cells, aims.select("_key", (rest * F.col("source_size")).alias("wanted")))
+        bounds = materialize(_settled(sized, cells, aims.select("_key", (rest * F.col("source_size")).alias("wanted"))))
     per_key = aims.join(bounds, "_key", "left").select(
         "_key", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"),
         F.when(rest > 0, F.coalesce("bound", F.lit(0.0))).otherwise(0.0).alias("_bound"),
+        F.when(rest > 0, F.coalesce("some", F.lit(0))).otherwise(0).cast("long").alias("_some"),
     )
     out = sized.join(materialize(per_key), "_key", "left").fillna(0.0, ["_rate", "_target", "_bound"])
-    extra = (F.col("_draw") < F.col("_bound")).cast("long")
-    return out.withColumn("_copies", F.floor("_rate") + extra).drop("_key", "_part", "_draw", "_bound")
+    extra = F.col("_draw") < F.col("_bound")
+    if settle and not bounds.where("some > 0").isEmpty():
+        split = (F.col("_some") > 0) & (F.col("_draw") == F.col("_bound"))
+        repeated = dense_index(out.where(split).withColumn("_row", F.monotonically_increasing_id()), ["_key"], ["_row"], "_place")
+        out = out.where(~split | split.isNull()).withColumn("_extra", extra).unionByName(
+            repeated.withColumn("_extra", F.col("_place") < F.col("_some")).drop("_row", "_place")
+        )
+    else:
+        out = out.withColumn("_extra", extra)
+    out = out.withColumn("_copies", F.floor("_rate") + F.col("_extra").cast("long"))
+    first = [F.col(f"`{p}`").alias(to.get(p, p)) for p in plain.columns]
+    return out.select(*first, *results)
 
 
 def _settled(sized: DataFrame, cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_key, bound): documents with a draw below ``bound`` hold the number of words nearest to ``wanted``."""
+    """(_key, bound, some): documents with a draw below ``bound``, and ``some`` of the equal
+    ones with that draw, hold the number of words nearest to ``wanted``."""
     order = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("words").over(order), F.lit(0))
     met = cells.select("_key", "_part", "words", before.alias("before")).join(wanted, "_key").where(
         (F.col("before") <= F.col("wanted")) & (F.col("before") + F.col("words") > F.col("wanted"))
     )
     met = materialize(met.select("_key", "_part", "before", "wanted"))  # one part of each source
-    near = sized.join(met, ["_key", "_part"]).groupBy("_key", "before", "wanted", "_part", "_draw").agg(F.sum("_size").alias("words"))
+    near = sized.join(met, ["_key", "_part"]).groupBy("_key", "before", "wanted", "_draw").agg(
+        F.sum("_size").alias("words"), F.count(F.lit(1)).alias("rows")
+    )
     upto = Window.partitionBy("_key").orderBy("_draw").rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("sum", F.col("before") + F.sum("words").over(upto))
-    fits = F.col("sum") <= F.col("wanted")
-    ends = near.groupBy("_key", "before", "wanted", "_part").agg(
-        F.max(F.when(fits, F.col("_draw"))).alias("last"), F.max(F.when(fits, F.col("sum"))).alias("below"),
-        F.min(F.when(~fits, F.col("_draw"))).alias("next"), F.min(F.when(~fits, F.col("sum"))).alias("above"),
-    )
-    over = (F.col("above") - F.col("wanted")) < (F.col("wanted") - F.coalesce("below", "before"))
+    at = near.where("sum > wanted").groupBy("_key").agg(F.min_by(F.struct("_draw", "rows", "words", "sum", "wanted"), "_draw").alias("at"))
+    each = F.col("at")["words"] / F.col("at")["rows"]  # repeated rows have one size
+    left = F.col("at")["wanted"] - (F.col("at")["sum"] - F.col("at")["words"])
+    whole = F.floor(left / each)
+    some = whole + (each - (left - whole * each) < left - whole * each).cast("long")
     step = F.lit(2.0**-49)  # draws are multiples of twice that
-    low = F.coalesce(F.col("last") + step, F.col("_part") / F.lit(float(PARTS)))
-    return ends.select("_key", F.when(over, F.col("next") + step).otherwise(low).alias("bound"))
+    all_of_them = some >= F.col("at")["rows"]
+    return at.select(
+        "_key", F.when(all_of_them, F.col("at")["_draw"] + step).otherwise(F.col("at")["_draw"]).alias("bound"),
+        F.when(all_of_them, F.lit(0)).otherwise(some).cast("long").alias("some"),
+    )
 
 
 def repeat(mixed: DataFrame) -> DataFrame:
     """Each row as often as ``_copies`` says, without the helper columns."""
     helpers = ["_size", "_source_size", "_target", "_rate", "_copies"]
+    kept = [F.col(f"`{c}`") for c in mixed.columns if c not in helpers]
     times = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return mixed.where("_copies > 0").withColumn("_turn", times).drop("_turn", *helpers)
+    return mixed.where("_copies > 0").select(*kept, times.alias("_turn")).select(*kept)

@@ -58,17 +58,19 @@ drawn AS (
               AS BIGINT) / 281474976710656.0 AS u
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
 sums AS (
-  SELECT key, u, max(wanted) AS wanted, sum(sum(size)) OVER (PARTITION BY key ORDER BY u) AS upto FROM drawn GROUP BY key, u),
+  SELECT key, u, max(wanted) AS wanted, sum(size) AS words, count(*) AS n,
+         sum(sum(size)) OVER (PARTITION BY key ORDER BY u) AS upto FROM drawn GROUP BY key, u),
 ends AS (
-  SELECT key, max(wanted) AS wanted, max(u) FILTER (upto <= wanted) AS last,
-         coalesce(max(upto) FILTER (upto <= wanted), 0) AS below,
-         min(u) FILTER (upto > wanted) AS next, min(upto) FILTER (upto > wanted) AS above
-  FROM sums GROUP BY key),
-bounds AS (SELECT key, CASE WHEN above - wanted < wanted - below THEN next ELSE coalesce(last, -1) END AS bound FROM ends)
+  SELECT key, u, n, words / n AS each, wanted - (upto - words) AS open FROM sums WHERE upto > wanted
+  QUALIFY row_number() OVER (PARTITION BY key ORDER BY u) = 1),
+bounds AS (
+  SELECT key, u AS bound, floor(open / each) + CASE WHEN each - (open - floor(open / each) * each) < open - floor(open / each) * each
+                                                    THEN 1 ELSE 0 END AS taking FROM ends),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key, u ORDER BY doc_id) AS place FROM drawn)
 SELECT doc_id, size, CAST(total AS BIGINT) AS source_size,
        round(target, 6) AS target,
-       size * CAST(floor(rate) + CASE WHEN rate > floor(rate) AND u <= bound THEN 1 ELSE 0 END AS BIGINT) AS taken
-FROM drawn JOIN bounds USING (key)""")
+       size * CAST(floor(rate) + CASE WHEN rate > floor(rate) AND (u < bound OR u = bound AND place <= taking) THEN 1 ELSE 0 END AS BIGINT) AS taken
+FROM ranked LEFT JOIN bounds USING (key)""")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(

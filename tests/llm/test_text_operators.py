@@ -252,6 +252,19 @@ def test_mixing_comes_near_its_targets(spark):
     assert mixing.mix(docs, weights=own).where("_copies > 0 AND source NOT IN ('a', 'b')").count() == 0
 
 
+def test_equal_rows_meet_the_target_together(spark):
+    rows_ = [(7, "one two three four five six seven eight", "a")] * 1000 + [(i, "one two three four", "b") for i in range(1000)]
+    docs = documents(spark, rows_).repartition(5)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == [c for c in docs.columns if c != "_size"] + ["_size", "_source_size", "_target", "_rate", "_copies"]
+    assert {r["_key"] for r in mixed.select("_key").distinct().collect()} == {"k"}
+    for r in mixed.groupBy("source", "_target").agg({"*": "count"}).collect():
+        taken = mixed.where(mixed["source"] == r["source"]).selectExpr("sum(_size * _copies)").first()[0]
+        assert abs(taken - r["_target"]) <= 4  # half a row of the larger
+    counts = Counter(mixed.where("source = 'a'").toPandas()["_copies"])
+    assert len(counts) == 2 and counts == Counter(mixing.mix(docs).where("source = 'a'").toPandas()["_copies"])
+
+
 # -- 9 ---------------------------------------------------------------------------------
 
 
