@@ -1,8 +1,9 @@
 """Toxicity grades by cumulative-link ordinal regression over sparse word features.
 
 P(grade <= k) = logistic(cut_k - w.x), with one weight per feature (a word or the
-beginning of one) for all thresholds, and ordered cuts. The model is fitted on the driver from a bounded sample of labelled rows
-(``SAMPLE``); every document is scored where it lies, against the model's word table.
+beginning of one) for all thresholds, and ordered cuts. The model is fitted on the driver from a
+bounded sample of labelled rows (``SAMPLE``), of which it gets the chosen features only; every
+document is scored where it lies, against the model's word table.
 """
 
 from __future__ import annotations
@@ -12,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsemill.llm import words as W
+from pulsemill.session import materialize
 
 #: labelled documents that a model is fitted on, at most
 SAMPLE = 10_000
@@ -74,11 +77,11 @@ class Model:
         return np.bincount(pair // len(self.words), self.weights[pair % len(self.words)], n)
 
 
-def sample_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[int, np.ndarray, int]]:
-    """(label, distinct features, words) of up to ``sample`` labelled documents, picked by hash of the id.
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(label, features): distinct features of up to ``sample`` labelled documents, picked by hash of the id.
 
     Ids without a label, null ids and null labels are left out; of a repeated label the
-    largest counts, of a repeated id the smallest text.
+    largest counts, of a repeated id the smallest text. The table is written.
     """
     picked = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
@@ -89,33 +92,45 @@ def sample_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.slices(batches):
-            w = W.find(part.column("text"), W.ALNUM, W.LOWER)
-            found, doc = features(w)
-            ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            rows = [found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("_toxic"), pa.array(rows, pa.binary()), pa.array(w.count, pa.int64())],
-                ["doc_id", "label", "words", "n"],
-            )
+            found, doc = features(W.find(part.column("text"), W.ALNUM, W.LOWER))
+            own = W.lists(W.as_long(found), np.bincount(doc, minlength=part.num_rows))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_toxic").cast(pa.int64()), own], ["doc_id", "label", "features"])
+
+    return materialize(met.mapInArrow(W.tidy(run), f"doc_id {dict(docs.dtypes)['doc_id']}, label long, features array<long>"))
 
-    schema = met.select("doc_id", F.col("_toxic").alias("label")).schema.add("words", "binary").add("n", "long")
-    found = met.mapInArrow(W.tidy(run), schema).toArrow().sort_by("doc_id")
-    rows = zip(found["label"].to_pylist(), found["words"].to_pylist(), found["n"].to_pylist(), strict=True)
-    return [(int(label), np.frombuffer(words, np.uint64), n) for label, words, n in rows]
 
+def choose_words(rows: DataFrame) -> np.ndarray:
+    """Features found in toxic documents far more often than the share of toxic documents explains.
 
-def choose_words(labels: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
-    """Words found in toxic documents far more often than the share of toxic documents explains."""
-    if not docs or labels.min() == labels.max():
+    They are counted on the executors; those chosen, ``MOST_WORDS`` at most, come to the driver.
+    """
+    n_docs, n_bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("long")), F.lit(0))).first()
+    if not 0 < n_bad < n_docs:
         return np.zeros(0, np.uint64)
-    base = float(np.mean(labels > 0))
-    word, n = np.unique(np.concatenate(docs), return_counts=True)
-    bad_word, bad_n = np.unique(np.concatenate([d for d, y in zip(docs, labels, strict=True) if y > 0]), return_counts=True)
-    bad = np.zeros(len(word))
-    bad[np.searchsorted(word, bad_word)] = bad_n
-    z = (bad - base * n) / np.sqrt(n * base * (1 - base))
-    found = np.flatnonzero((n >= LEAST_DOCS) & (z >= SIGNIFICANT))
-    return np.sort(word[found[np.argsort(-z[found], kind="stable")[:MOST_WORDS]]])
+    base = n_bad / n_docs
+    counts = rows.select((F.col("label") > 0).cast("long").alias("bad"), F.explode("features").alias("feature")).groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")
+    )
+    z = (F.col("bad") - base * F.col("n")) / F.sqrt(F.col("n") * (base * (1 - base)))
+    best = counts.where(F.col("n") >= LEAST_DOCS).select("feature", z.alias("z")).where(F.col("z") >= SIGNIFICANT)
+    found = best.orderBy(F.col("z").desc(), "feature").limit(MOST_WORDS).toArrow()["feature"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def held(rows: DataFrame, words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Labels of the sampled documents, by id, and which of ``words`` each holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("features")
+            flat = own.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            known = np.isin(flat, words)
+            kept = [flat[a:b][known[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(kept, pa.binary())], ["doc_id", "label", "words"])
+
+    found = rows.mapInArrow(W.tidy(run), rows.select("doc_id", "label").schema.add("words", "binary")).toArrow().sort_by("doc_id")
+    return found["label"].to_numpy(), [np.frombuffer(x, np.uint64) for x in found["words"].to_pylist()]
 
 
 def severity(labels: np.ndarray, docs: list[np.ndarray], words: np.ndarray, grades: int = GRADES) -> np.ndarray:
@@ -175,11 +190,10 @@ def fit(grades: np.ndarray, docs: list[np.ndarray], words: np.ndarray, *, ridge:
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, grades: int = GRADES) -> Model:
     """A model from (doc_id, toxic) labels of ``docs``. Without labels, or with one kind of
     them only, it gives every document the same severity."""
-    rows = sample_words(docs, labels, sample)
-    label = np.array([r[0] for r in rows], np.int64)
-    texts = [r[1] for r in rows]
-    words = choose_words(label, texts)
-    return fit(severity(label, texts, words, grades), texts, words)
+    rows = sampled(docs, labels, sample)
+    words = choose_words(rows)
+    label, own = held(rows, words)
+    return fit(severity(label, own, words, grades), own, words)
 
 
 def grade(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.5) -> DataFrame:

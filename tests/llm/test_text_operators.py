@@ -290,6 +290,23 @@ def test_toxicity_on_documents_that_it_has_not_seen(spark):
     assert {r["grade"] for r in got} <= {0, 1, 2}
 
 
+def test_chosen_features_are_those_of_a_plain_count(spark):
+    docs, labels, truth = toxic_table(spark, 400, 3)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows_ = toxicity.sampled(docs, labels)
+    words = toxicity.choose_words(rows_)
+    found = lambda text: set(toxicity.features(W.find(pa.array([text]), W.ALNUM, W.LOWER))[0].tolist())
+    n, bad, base = Counter(), Counter(), np.mean(list(truth.values()))
+    for i, t in texts.items():
+        n.update(found(t))
+        bad.update(found(t) if truth[i] else ())
+    want = {f for f in n if n[f] >= 5 and (bad[f] - base * n[f]) / np.sqrt(n[f] * base * (1 - base)) >= toxicity.SIGNIFICANT}
+    label, own = toxicity.held(rows_, words)
+    assert set(words.tolist()) == want and want
+    assert label.tolist() == [truth[i] for i in sorted(texts)]
+    assert [set(x.tolist()) for x in own] == [found(texts[i]) & want for i in sorted(texts)]
+
+
 def test_fit_recovers_ordered_grades():
     """Held-out likelihood of a known model: near that of the model itself."""
     rng = np.random.default_rng(0)
