@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -31,6 +31,8 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre "
     "search section summary table tbody tfoot thead title tr ul".split()
 )
+#: cells of a row, which is a block: white space stands between them
+CELLS = frozenset(("td", "th"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: elements whose text is no part of an article
 NEVER = frozenset(
@@ -44,14 +46,13 @@ NAMES = frozenset(
     "nav navbar navigation navi menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe "
     "subscription signup login signin register share sharing social related recommended recommendations comment comments "
-    "commentlist disqus replies respond discussion widget widgets toolbar pagination pager banner copyright skip paywall".split()
+    "commentlist disqus replies respond discussion toolbar pagination pager banner copyright skip paywall".split()
 )
 #: those of them that name readers' comments: they do not cut an element that holds all of the
 #: page's h1, article and main elements, or, if it has none, most of its words; others, and
 #: ``form``, do not cut one that holds any of these, or most of the words: over ``MOST_CUT``
-#: of them and over ``LEAST_WHOLE``
 FIRM = frozenset("comment comments commentlist disqus replies".split())
-MOST_CUT, LEAST_WHOLE = 0.6, 100
+MOST_CUT = 0.6
 #: those of them that are topics of articles as well: alone, inside marked content, they cut
 #: only an element that is made of links and comments, or a label of under ``LABEL`` words
 TOPICS = frozenset(
@@ -76,7 +77,7 @@ class Block:
     links: int = 0
     tags: list[str] = field(default_factory=list)  # between the block before and this one, and in it
     inside: bool = False  # in an article or main element
-    within: tuple[int, ...] = ()  # the elements around it that are named as no article
+    within: int = -1  # the innermost element around it that is named as no article
     cut: bool = False
 
     @property
@@ -84,23 +85,64 @@ class Block:
         return "".join(self.parts).split()
 
 
-class _Page(HTMLParser):
+#: elements nested deeper become siblings, as in browsers
+DEEPEST = 512
+#: words before a name that speak of the page's layout: no-sidebar, has-sidebar
+_OF_LAYOUT = frozenset("no non not without has have with".split())
+
+
+class _Parser(HTMLParser):
+    """Reads what is not well formed as browsers do; the whole page is fed at once.
+
+    An open comment or tag at the end takes the rest of the page; ``<![...>`` other than a closed
+    CDATA section is a comment that ends at the next ``>``.
+    """
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        page = self.rawdata
+        if page.startswith(("<!-->", "<!--->"), i):
+            return page.index(">", i) + 1
+        at = page.find("-->", i + 4)
+        return len(page) if at < 0 else at + 3
+
+    def parse_html_declaration(self, i: int) -> int:
+        page = self.rawdata
+        if page.startswith("<!--", i):
+            return self.parse_comment(i)
+        if page.startswith("<![CDATA[", i) and (at := page.find("]]>", i)) >= 0:
+            return at + 3
+        at = page.find(">", i)
+        return len(page) if at < 0 else at + 1
+
+    def parse_starttag(self, i: int) -> int:
+        return len(self.rawdata) if self.rawdata.find(">", i) < 0 else super().parse_starttag(i)
+
+    def parse_endtag(self, i: int) -> int:
+        return len(self.rawdata) if self.rawdata.find(">", i) < 0 else super().parse_endtag(i)
+
+    def parse_pi(self, i: int) -> int:
+        return len(self.rawdata) if self.rawdata.find(">", i) < 0 else super().parse_pi(i)
+
+
+class _Page(_Parser):
     """Turns a page into blocks."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, int]] = []  # open elements: name, and number if named as no article
+        self.around: list[tuple[str, int]] = [("body", -1)]  # at each: the innermost block and number
+        self.open: Counter = Counter()  # open elements by name
         self.named: list[int] = []  # how the element of this number is named as no article
-        self.marks: list[tuple[str, tuple[int, ...]]] = []  # h1, article and main elements, and the numbers around them
+        self.outer: list[int] = []  # and the number of the next one around it; outer ones come first
+        self.marks: list[tuple[str, int]] = []  # h1, article and main elements, and the number around them
         self.replies: set[int] = set()  # numbers of elements in an article that hold articles of their own
         self.content = self.links = 0
         self.labelled = False
         self._new()
 
     def _new(self) -> None:
-        tag = next((t for t, _ in reversed(self.stack) if t in BLOCKS), "body")
-        within = tuple(n for _, n in self.stack if n >= 0)
+        tag, within = self.around[-1]
         last = self.blocks[-1] if self.blocks else None
         if last is not None and not last.parts:  # nothing was said in it
             last.tag, last.within, last.inside = tag, within, self.content > 0
@@ -119,42 +161,59 @@ class _Page(HTMLParser):
                 self._new()
             self.blocks[-1].tags.append(tag)
             return
+        if len(self.stack) >= DEEPEST:
+            self._pop()
         number, how = -1, self._no_article(tag, dict(attrs))
         if tag == "article":
-            outer = next((i for i, (t, _) in enumerate(self.stack) if t == "article"), len(self.stack))
-            self.replies.update(n for _, n in self.stack[outer:] if n >= 0)
+            if self.open["article"]:
+                outer = next(i for i, (t, _) in enumerate(self.stack) if t == "article")
+                self.replies.update(n for _, n in self.stack[outer:] if n >= 0)
         if how is not None:
             number = len(self.named)
             self.named.append(how)
+            self.outer.append(self.around[-1][1])
         elif tag in CONTENT or tag == "h1":
-            self.marks.append((tag, tuple(n for _, n in self.stack if n >= 0)))
+            self.marks.append((tag, self.around[-1][1]))
         self.stack.append((tag, number))
+        self.open[tag] += 1
+        block, within = self.around[-1]
+        self.around.append((tag if tag in BLOCKS else block, number if number >= 0 else within))
         if tag in CONTENT and number < 0:
             self.content += 1
             self.labelled = True
         self.links += tag == "a"
         if tag in BLOCKS or number >= 0:
             self._new()
+        elif tag in CELLS:
+            self.blocks[-1].parts.append(" ")
         self.blocks[-1].tags.append(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.handle_starttag("br", [])
-        elif tag not in VOID and any(t == tag for t, _ in self.stack):
+        elif tag not in VOID and self.open[tag] > 0:
             self._close(tag)
             self.blocks[-1].tags.append(tag)
 
     def _close(self, tag: str) -> None:
         block = False
         while self.stack:
-            name, number = self.stack.pop()
+            name, number = self._pop()
             block |= name in BLOCKS or number >= 0
-            self.content -= name in CONTENT and number < 0
-            self.links -= name == "a"
             if name == tag:
                 break
         if block:
             self._new()
+        elif tag in CELLS:
+            self.blocks[-1].parts.append(" ")
+
+    def _pop(self) -> tuple[str, int]:
+        name, number = self.stack.pop()
+        self.around.pop()
+        self.open[name] -= 1
+        self.content -= name in CONTENT and number < 0
+        self.links -= name == "a"
+        return name, number
 
     def handle_data(self, data: str) -> None:
         self.blocks[-1].parts.append(data)
@@ -172,7 +231,8 @@ class _Page(HTMLParser):
             return None if self.content else SURE
         if tag in ("html", "body", "main") or tag in HEADINGS:
             return None
-        names = {w.lower() for key in ("class", "id") for w in _NAME.findall(attrs.get(key) or "")} & NAMES
+        given = [_NAME.findall(name) for key in ("class", "id") for name in (attrs.get(key) or "").split()]
+        names = {w.lower() for words in given if words and words[0].lower() not in _OF_LAYOUT for w in words} & NAMES
         if names & FIRM:
             return COMMENTS
         if tag == "form" or role == "form":
@@ -182,43 +242,64 @@ class _Page(HTMLParser):
         return PERHAPS if names else None
 
 
+def _spread(page: _Page, cut: set[int]) -> list[bool]:
+    """Which numbers are in ``cut`` or inside one that is; the last entry is for no number."""
+    out = [False] * (len(page.named) + 1)
+    for n, outer in enumerate(page.outer):
+        out[n] = n in cut or out[outer]
+    return out
+
+
+def _sums(page: _Page, found: Iterable[tuple[int, int]]) -> list[int]:
+    """Sums of (number, amount) per number and the numbers inside; the last entry is the sum of all."""
+    out = [0] * (len(page.named) + 1)
+    for n, amount in found:
+        out[n] += amount
+    for n in reversed(range(len(page.named))):
+        out[page.outer[n]] += out[n]
+    return out
+
+
 def _cut(page: _Page) -> set[int]:
     """Numbers of the elements that are cut out of a page."""
     named = page.named
     cut = {n for n, how in enumerate(named) if how == SURE}
     if len(cut) == len(named):
         return cut
-    texts = [(b, n) for b in page.blocks if (n := len(b.words)) and not cut.intersection(b.within)]
+    gone = _spread(page, cut)
+    texts = [(b, n) for b in page.blocks if not gone[b.within] and (n := len(b.words))]
 
     def most() -> set[int]:
-        size: Counter = Counter()
-        for b, n in texts:
-            if not cut.intersection(b.within):
-                size.update(dict.fromkeys((-1, *b.within), n))
-        return {n for n in size if n >= 0 and size[n] > max(LEAST_WHOLE, MOST_CUT * size[-1])}
-
-    shown = [(tag, around) for tag, around in page.marks if not cut.intersection(around)]
-    inside = Counter((n, tag) for tag, around in shown for n in around)
-    total, large = Counter(tag for tag, _ in shown), most()
+        gone = _spread(page, cut)
+        size = _sums(page, ((b.within, n) for b, n in texts if not gone[b.within]))
+        return {n for n in range(len(named)) if size[n] > MOST_CUT * size[-1]}
+
+    shown = [(tag, around) for tag, around in page.marks if not gone[around]]
+    total, large = {tag for tag, _ in shown}, most()
+    inside = {tag: _sums(page, ((around, 1) for t, around in shown if t == tag)) for tag in total}
     for e in (n for n, how in enumerate(named) if how == COMMENTS):
-        other = {tag for tag in total if inside[e, tag] < total[tag]}
-        any_mark = any(inside[e, tag] for tag in total)
-        whole = inside[e, "main"] or (any_mark and not other & {"h1", "article"}) or (e in large and not other)
+        other = {tag for tag in total if inside[tag][e] < inside[tag][-1]}
+        any_mark = any(inside[tag][e] for tag in total)
+        whole = ("main" in total and inside["main"][e]) or (any_mark and not other & {"h1", "article"}) or (e in large and not other)
         if not whole:
             cut.add(e)
     large = most()
-    held = {(n, tag == "h1") for tag, around in page.marks for n in around}
-    holds = {n for n, _ in held}
-    cut |= {n for n, how in enumerate(named) if how == PERHAPS and n not in holds and n not in large}
+    holds = _sums(page, ((around, 1) for _, around in page.marks))
+    titled = _sums(page, ((around, 1) for tag, around in page.marks if tag == "h1"))
+    cut |= {n for n, how in enumerate(named) if how == PERHAPS and not holds[n] and n not in large}
     texts_of: dict[int, list[tuple[Block, int]]] = {n: [] for n, how in enumerate(named) if how == TOPIC}
-    for b, n in texts:
-        for e in texts_of.keys() & set(b.within):
-            texts_of[e].append((b, n))
+    for b, n in texts if texts_of else ():
+        e = b.within
+        while e >= 0:
+            if e in texts_of:
+                texts_of[e].append((b, n))
+            e = page.outer[e]
     for e, own in reversed(texts_of.items()):  # inner ones first
+        gone = _spread(page, cut)
         size = sum(n for _, n in own)
-        other = sum(n if cut.intersection(b.within) else min(b.links, n) for b, n in own)
+        other = sum(n if gone[b.within] else min(b.links, n) for b, n in own)
         label = size < LABEL and not any(b.tag in HEADINGS or b.tag in ("p", "section") for b, _ in own)
-        if (e in page.replies and (e, True) not in held) or (e not in holds and (2 * other > size or label)):
+        if (e in page.replies and not titled[e]) or (not holds[e] and (2 * other > size or label)):
             cut.add(e)
     return cut
 
@@ -228,13 +309,13 @@ def blocks_of(html: str) -> tuple[list[Block], bool]:
     page = _Page()
     page.feed(html)
     page.close()
-    cut = _cut(page)
+    gone = _spread(page, _cut(page))
     found, pending = [], []
     for b in page.blocks:
         if "".join(b.parts).strip():
             b.tags = pending + b.tags
             pending = []
-            b.cut = not cut.isdisjoint(b.within)
+            b.cut = gone[b.within]
             found.append(b)
         else:
             pending += b.tags

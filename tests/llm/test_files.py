@@ -309,3 +309,36 @@ def test_archives(spark):
     assert sorted(map(repr, have)) == sorted(map(repr, want))
     assert catalog.count() > 3 and catalog.agg({"records": "sum"}).first()[0] == len(given)
     assert warc.read(*warc.write(pages.limit(0))).count() == 0
+
+
+WORDY = "word " * 75
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>one</p><![ endif]--><p>two</p></article>", "one\n\ntwo"),
+    ("<article><p>one<![> two</p><![foo[bar> <p>three</p></article>", "one two\n\nthree"),
+    ("<article><p>one</p><![CDATA[ <b>gone</b> ]]><p>two<![1]></p></article>", "one\n\ntwo"),
+    ("<article><p>one</p><![ CDATA[", "one"),
+    ("<article><p>one</p><!-- open <p>gone</p>", "one"),
+    ("<article><p>one</p><a <p gone", "one"),
+    ("<article><table><tr><th>Year</th><th>Sales</th></tr><tr><td>2019<td>45</td></tr></table></article>", "Year Sales\n\n2019 45"),
+    (f"<div class='layout no-sidebar'><h2>Title</h2><p>{WORDY}</p></div>", "Title\n\n" + WORDY.strip()),
+    (f"<h1>Title</h1><div class='elementor-widget'><p>{WORDY}</p></div><div class='elementor-widget'><p>{WORDY}</p></div>",
+     "\n\n".join(("Title", WORDY.strip(), WORDY.strip()))),
+    (f"<div class='sidebar'><p>few words</p></div><div class='promo-layout'><h2>Title</h2><p>{WORDY}</p></div>", "Title\n\n" + WORDY.strip()),
+])
+def test_pages_that_are_not_well_formed_or_oddly_named(page, text):
+    assert extract.main_text(page, {}) == text
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div class=nav>x", "<article class=comment>x", "<!--", "<a ", "</a ", "<![", "<![foo[", "<?", "<p class='discussion'>x"])
+def test_time_of_nested_pages_follows_their_length(part):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        extract.main_text(part * n, {})
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.05)  # a hundred times, were it the square
