@@ -14,6 +14,7 @@ from pulsemill.operators.constraints import (
     require_valid,
 )
 from pulsemill.operators.scale import join_dimension
+from pulsemill.sources.named import write_single
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -161,10 +162,14 @@ def require_ledger(ledger: DataFrame) -> DataFrame:
 
 
 def write_report(rows: DataFrame, fields: list[str], path: str) -> None:
-    """A report as CSV with a fixed field order; other columns are dropped."""
-    rows.select(*fields).write.mode("overwrite").csv(path, header=True)
+    """A report as one CSV file with a fixed field order; other columns are dropped.
+
+    Many tasks may write it; the file is there when all of it is (``named``).
+    """
+    header = F.lit(",".join(fields))
+    write_single(rows.select(F.to_csv(F.struct(*fields), {"escape": '"'}).alias("line")), path, first=header)
 
 
-def write_json(row: DataFrame, path: str) -> None:
-    """A report as JSON lines."""
-    row.write.mode("overwrite").json(path)
+def write_json(rows: DataFrame, path: str) -> None:
+    """A report as one JSON file, a line per row; one row makes a plain JSON object."""
+    write_single(rows.select(F.to_json(F.struct(*rows.columns)).alias("line")), path)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsemill.functions.labels import event_name
 from pulsemill.operators.scale import dense_index, join_dimension
+from pulsemill.session import materialize, shared_folder
+from pulsemill.sources import recordings
 
 # fixed values: column keys looked for in this order, folder patterns, sampling rates
 TIME_KEYS = ("timestamp", "time", "unix", "ts")
@@ -202,36 +205,31 @@ def _place(names: Column, keys: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(a > 0, a - 1) for a in at]).cast("int")
 
 
-def _last_numeric(cells: DataFrame) -> DataFrame:
-    """(subject_id, numeric): the last column whose cells are numbers or empty, and not all empty."""
-    each = cells.select("subject_id", F.posexplode("cells").alias("at", "cell"))
-    empty = F.col("cell") == ""
-    columns = each.groupBy("subject_id", "at").agg(
-        F.bool_and(empty | F.col("cell").try_cast("double").isNotNull()).alias("numbers"), F.bool_or(~empty).alias("filled")
-    )
-    return columns.where("numbers AND filled").groupBy("subject_id").agg(F.max("at").alias("numeric"))
-
-
-def read_signal(spark: SparkSession, raw: str, found: DataFrame, kind: str, fs: float) -> DataFrame:
+def read_signal(spark: SparkSession, raw: str, found: DataFrame, kind: str, fs: float, split: int = recordings.SPLIT) -> DataFrame:
     """The (subject_id, t, idx, value) series of every participant for one kind.
 
-    A file without a column of a known name gives its last numeric one, and is an error
-    without that; a file without a time column counts time at ``fs``.
+    A file without a column of a known name gives its last numeric one (numbers or empty cells,
+    and not all empty), and is an error without that; a file without a time column counts time
+    at ``fs``. Each byte of the files is read once, by ranges of ``split`` bytes; places and
+    times follow from one summary row per range.
     """
-    cells = read_cells(spark, raw, found, kind)
-    placed = cells.withColumns({"at": _place(F.col("names"), VALUE_KEYS[kind]), "time": _place(F.col("names"), TIME_KEYS)})
-    odd = placed.where("at IS NULL")
-    if not odd.isEmpty():
-        placed = join_dimension(placed, _last_numeric(odd), "subject_id", "left")
-        error = F.raise_error(F.concat(F.lit("no value column in the file of "), F.col("subject_id")))
-        placed = placed.withColumn("at", F.coalesce("at", "numeric", error.cast("int")))
-
-    def number(at: str) -> Column:
-        value = F.get("cells", F.col(at)).try_cast("double")
-        return F.when(~F.isnan(value), value)
-
-    base = placed.select("subject_id", "block", "row", number("at").alias("value"), number("time").alias("t"), F.col("time").isNotNull().alias("timed"))
-    rows = dense_index(base, ["subject_id"], ["block", "row"], span_of="t")
+    listing = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    found.where(F.col("kind") == kind).select("subject_id", "path").write.parquet(listing)
+    read = materialize(recordings.read_ranges(spark, raw, listing, TIME_KEYS, VALUE_KEYS[kind], split))
+    ranges = materialize(read.where("row < 0").select("subject_id", "block", "n", "t_min", "t_max", "kinds"))
+    whole = Window.partitionBy("subject_id")  # a row per range
+    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    columns = ranges.select("subject_id", F.posexplode("kinds").alias("at", "is")).groupBy("subject_id", "at").agg(F.max("is").alias("is"))
+    numeric = columns.where(F.col("is") == 1).groupBy("subject_id").agg(F.max("at").alias("numeric"))
+    placed = ranges.select(
+        "subject_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"),
+        F.min("t_min").over(whole).alias("span_min"), F.max("t_max").over(whole).alias("span_max"),
+    )
+    placed = materialize(placed.join(numeric, "subject_id", "left"))  # written, so that its size decides how it is joined
+    rows = read.where("row >= 0").select("subject_id", "block", "row", "timed", "t", "value", "cells").join(placed, ["subject_id", "block"])
+    error = F.raise_error(F.concat(F.lit("no value column in the file of "), F.col("subject_id"))).cast("double")
+    value = F.when(F.col("cells").isNull(), F.col("value")).when(F.col("numeric").isNull(), error).otherwise(F.get("cells", F.col("numeric")))
+    rows = rows.withColumns({"value": value, "idx": F.col("first") + F.col("row")})
     by_clock = _since_start(rows).withColumn("t", F.when(F.col("timed"), F.col("t")).otherwise(F.col("idx") / F.lit(fs)))
     return by_clock.select("subject_id", "t", "idx", "value")
 

@@ -14,6 +14,7 @@ from pulsemill.plans import marts
 from pulsemill.session import materialize, shared_folder
 from pulsemill.sources import marts as mart_io
 from pulsemill.sources import signals, tables, watch
+from pulsemill.sources.named import write_named
 from queryset.answers import QUALITY_TEXT, quality_responses
 from queryset.base import query, r6, sql, table
 from queryset.inputs import HASHED_SPLIT, PPG_RAW, SAMPLES, SIGNALS, hashed_split, samples, signal_registry
@@ -244,23 +245,6 @@ def green_channel(spark, sf):
 
 
 # -- files of which each has its own name, written by the tasks ------------------------------------
-def _write_files(files, folder: str) -> None:
-    """Write the (name, content) rows below ``folder``; contents are texts."""
-
-    def run(batches):
-        import pyarrow.fs as pafs
-
-        fs, root = pafs.FileSystem.from_uri(folder)
-        for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
-                fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(f"{root}/{name}") as out:
-                    out.write(content.encode())
-            yield batch.select(["name"])
-
-    files.select("name", "content").mapInArrow(run, "name STRING").write.format("noop").mode("overwrite").save()
-
-
 def _write_lines(lines, folder: str):
     """Write sorted (home, line) rows, a piece per task below ``folder``: (home, part, piece, at, size) of each home's bytes in it."""
 
@@ -302,38 +286,33 @@ def _join_pieces(places, pieces: str, folder: str, header: str) -> None:
     def run(batches):
         import pyarrow.fs as pafs
 
-        fs, root = pafs.FileSystem.from_uri(folder)
-        source_fs, source_root = pafs.FileSystem.from_uri(pieces)
-        name = piece = out = source = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["name"] != name:
-                    if out:
-                        out.close()
-                    name = row["name"]
-                    fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}")
-                    out.write(header.encode())
-                if row["piece"] != piece:
-                    if source:
-                        source.close()
-                    piece = row["piece"]
-                    source = source_fs.open_input_file(f"{source_root}/{piece}")
-                source.seek(row["at"])
-                left = row["size"]
-                while left:
-                    some = source.read(min(left, COPIED))
-                    if not some:
-                        raise EOFError(f"{piece} is cut short")
-                    out.write(some)
-                    left -= len(some)
-            yield batch.select(["name"])
-        for stream in (out, source):
-            if stream:
-                stream.close()
+        def some(name, content):
+            return pa.RecordBatch.from_pydict({"name": [name], "content": [content]}, pa.schema([("name", pa.string()), ("content", pa.binary())]))
+
+        fs, root = pafs.FileSystem.from_uri(pieces)
+        name = piece = source = None
+        for row in (row for batch in batches for row in batch.to_pylist()):
+            if row["name"] != name:
+                name = row["name"]
+                yield some(name, header.encode())
+            if row["piece"] != piece:
+                if source:
+                    source.close()
+                piece = row["piece"]
+                source = fs.open_input_file(f"{root}/{piece}")
+            source.seek(row["at"])
+            left = row["size"]
+            while left:
+                content = source.read(min(left, COPIED))
+                if not content:
+                    raise EOFError(f"{piece} is cut short")
+                yield some(name, content)
+                left -= len(content)
+        if source:
+            source.close()
 
     dealt = places.repartition("name").sortWithinPartitions("name", "part").select("name", "piece", "at", "size")
-    dealt.mapInArrow(run, "name STRING").write.format("noop").mode("overwrite").save()
+    write_named(dealt.mapInArrow(run, "name STRING, content BINARY"), folder)
 
 
 #: bytes that are copied at a time
@@ -357,7 +336,7 @@ def _recordings(spark, sf, lines: bool = True) -> str:
     users = rows.select("user_id").distinct().select(home, F.explode(names).alias("name"))
     root = f"{_fresh(spark)}/Projects/raw"
     if not lines:
-        _write_files(users.select("name", F.lit(HEADER).alias("content")), root)
+        write_named(users.select("name", F.lit(HEADER).alias("content")), root)
         return root
     ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
     line = F.concat_ws(",", ms, F.col("event_type"), F.col("value").cast("string")).alias("line")
@@ -424,7 +403,7 @@ def ledger_file(spark, sf):
     )
     folder = _fresh(spark)
     rows = table(spark, sf, "supplier").select(F.format_string("run%d/run.json", key).alias("name"), content.alias("content"))
-    _write_files(rows, folder)
+    write_named(rows, folder)
     return tables.read_ledger(spark, f"{folder}/*/run.json").select("run_id", "model", "metrics.mae")
 
 
