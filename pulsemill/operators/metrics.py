@@ -130,6 +130,12 @@ def roc_auc(rows: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
         .agg(F.count_if(F.col("y_true") == 1).alias("pos"),
              F.count_if(F.col("y_true") == 0).alias("neg"))
     )
+    return auc_of_counts(merged, by)
+
+
+def auc_of_counts(merged: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
+    """As :func:`roc_auc`, from one row per run and ``prob_good`` with the counts ``pos`` and ``neg``."""
+    by = list(by)
     counts = table(part=INT, pos=LONG, neg=LONG, inside=REAL)
     counted = (
         merged.repartitionByRange(*by, "prob_good")
@@ -248,14 +254,16 @@ def report_json(evaluated: DataFrame) -> DataFrame:
 
 
 def threshold_curve(
-    rows: DataFrame, by: Sequence[str] = ("run_id",), steps: int = STEPS
+    rows: DataFrame, by: Sequence[str] = ("run_id",), steps: int = STEPS, weight: str | None = None
 ) -> DataFrame:
     """Macro-F1 at every grid threshold k / (steps + 1), k = 1..steps.
 
     A score counts as good for all k up to its own grid step, so one count per
-    step and two running sums over the grid replace steps x rows comparisons.
+    step and two running sums over the grid replace steps x rows comparisons. A row
+    stands for as many as its ``weight`` says.
     """
     by = list(by)
+    weight = F.lit(1) if weight is None else F.col(weight)
     width = F.lit(1.0 / (steps + 1))
     score = F.col("prob_good")
     guess = F.floor(score * F.lit(float(steps + 1)))
@@ -269,8 +277,8 @@ def threshold_curve(
         rows.where("prob_good IS NOT NULL")
         .groupBy(*by, F.greatest(F.lit(0), F.least(F.lit(steps), step)).cast("int").alias("k"))
         .agg(
-            F.count_if(F.col("y_true") == 1).alias("pos"),
-            F.count_if(F.col("y_true") == 0).alias("neg"),
+            F.sum(F.when(F.col("y_true") == 1, weight).otherwise(0)).alias("pos"),
+            F.sum(F.when(F.col("y_true") == 0, weight).otherwise(0)).alias("neg"),
         )
     )
     grid = (
