@@ -62,15 +62,18 @@ def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.withColumn("weight", weight)
 
 
-def estimator(task: str, kind: str, rows: DataFrame, rounds: int | None = None):
-    """The MLlib estimator for ``logreg``, ``ridge`` or ``trees`` with its penalty in MLlib's scale."""
+def estimator(task: str, kind: str, rows: DataFrame, rounds: int | None = None, trees: dict | None = None):
+    """The MLlib estimator for ``logreg``, ``ridge`` or ``trees`` with its penalty in MLlib's scale.
+
+    ``trees`` replaces some of the settings in ``TREES``.
+    """
     if kind == "trees":
         tree = GBTClassifier if task == "quality" else GBTRegressor
-        return tree(maxIter=rounds or ROUNDS[task], seed=42, **TREES)
+        return tree(maxIter=rounds or ROUNDS[task], seed=42, **{**TREES, **(trees or {})})
     stats = rows.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("sd")).first()
     if kind == "logreg":  # MLlib averages the weighted loss: C = 1 is a penalty of 1 / n
         return LogisticRegression(
-            weightCol="weight", maxIter=2000, regParam=1.0 / stats["n"], standardization=False
+            weightCol="weight", maxIter=2000, tol=1e-8, regParam=1.0 / stats["n"], standardization=False
         )
     if kind == "ridge":  # MLlib divides the penalty by the label's std
         return LinearRegression(
@@ -84,7 +87,7 @@ def estimator(task: str, kind: str, rows: DataFrame, rounds: int | None = None):
 
 def fit(
     features: DataFrame, task: str, variant: str = "ppg", kind: str | None = None,
-    rounds: int | None = None,
+    rounds: int | None = None, trees: dict | None = None,
 ) -> FeatureModel:
     """Fit on fold ``train`` of a feature table; the threshold comes from fold ``val``."""
     kind = kind or DEFAULT_ESTIMATOR[task]
@@ -98,7 +101,7 @@ def fit(
             ready = balanced_weights(ready)
         steps = [
             VectorAssembler(inputCols=names, outputCol="features"),
-            estimator(task, kind, ready, rounds),
+            estimator(task, kind, ready, rounds, trees),
         ]
         pipeline = Pipeline(stages=steps).fit(ready)
     finally:

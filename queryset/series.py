@@ -9,7 +9,7 @@ from pulsemill.operators.scale import dense_index
 from pulsemill.plans.process import watch_windows
 from pulsemill.sources import watch
 from queryset.base import query, r6, sql, table
-from queryset.inputs import MARKERS, SAMPLES, markers, samples, signal_registry
+from queryset.inputs import MARKERS, SAMPLES, SIGNALS, markers, samples, signal_registry
 
 SIZE = 8
 WINDOWS = f"""
@@ -242,9 +242,57 @@ def series_position(spark, sf):
     )
 
 
-@query("ecg_heart_rate")
+ECG_FS, ECG_PAD, ECG_APART = 32, 21, 8
+
+
+def _filtered_sql(x: str) -> str:
+    """The recursive filter over list ``x``: before its start the input stood still, the output at zero."""
+    b, a = heartbeat.bandpass(float(ECG_FS))
+    at = "CAST(place[1] AS BIGINT)"
+    taps = [f"{float(c)!r} * {x}[greatest({at} - {k}, 1)]" for k, c in enumerate(b)]
+    taps += [f"CASE WHEN {at} > {k} THEN {-float(c)!r} * done[{at} - {k}] ELSE 0e0 END" for k, c in enumerate(a) if k]
+    return f"""list_reduce(list_transform(generate_series(1, len({x})), lambda i: [CAST(i AS DOUBLE)]),
+        lambda done, place: list_append(done, {' + '.join(taps)}), CAST([] AS DOUBLE[]))"""
+
+
+BEATS = f"""
+ecg AS (SELECT record_id, CAST(embedding AS DOUBLE[]) AS x, len(embedding) AS n FROM signals),
+padded AS (
+  SELECT record_id, n, list_transform(generate_series(1 - {ECG_PAD}, n + {ECG_PAD}), lambda i:
+           CASE WHEN i < 1 THEN 2e0 * x[1] - x[2 - i] WHEN i > n THEN 2e0 * x[n] - x[2 * n - i] ELSE x[i] END) AS x
+  FROM ecg),
+forward AS (SELECT record_id, n, list_reverse({_filtered_sql('x')}) AS x FROM padded),
+both_ways AS (SELECT record_id, n, list_reverse({_filtered_sql('x')})[{ECG_PAD + 1}:{ECG_PAD} + n] AS x FROM forward),
+tops AS (
+  SELECT b.record_id, b.i, b.v FROM (
+    SELECT record_id, i, x[i] AS v, x[i - 1] AS before, x[i + 1] AS after, list_stddev_pop(x) AS height
+    FROM both_ways, generate_series(2, n - 1) g(i)) b
+  WHERE v > before AND v > after AND v >= height),
+kept AS (
+  SELECT record_id, list_reduce(list([i] ORDER BY v DESC, i DESC), lambda found, new:
+           CASE WHEN len(list_filter(found, lambda o: abs(o - new[1]) < {ECG_APART})) = 0
+                THEN list_append(found, new[1]) ELSE found END, CAST([] AS BIGINT[])) AS beats
+  FROM tops GROUP BY record_id),
+gaps AS (
+  SELECT record_id, beat - lag(beat) OVER (PARTITION BY record_id ORDER BY beat) AS gap
+  FROM (SELECT record_id, unnest(beats) AS beat FROM kept)),
+rates AS (SELECT record_id, count(*) AS n_beats, 60e0 / (median(gap) / {ECG_FS}e0) AS hr FROM gaps GROUP BY record_id)"""
+
+
+@query(
+    "ecg_heart_rate",
+    sql(
+        [SIGNALS, BEATS],
+        f"""SELECT e.record_id, coalesce(n_beats, 0) AS n_beats,
+        {r6('CASE WHEN n_beats >= 3 AND hr BETWEEN 30 AND 220 THEN hr END')} AS hr
+        FROM ecg e LEFT JOIN rates r ON e.record_id = r.record_id""",
+    ),
+)
 def ecg_heart_rate(spark, sf):
-    """Band-pass, R peaks and rate of every embedding, read as two seconds at 32 Hz."""
+    """Band-pass, R peaks and rate of every embedding, read as two seconds at 32 Hz.
+
+    The twin filters by the difference equation, sample by sample, and keeps the highest peaks one by one.
+    """
     beats = signal_registry(spark, sf).withColumn("beats", heartbeat.r_peaks(F.col("ppg"), 32.0))
     return beats.select(
         "record_id", F.size("beats").alias("n_beats"), heartbeat.rate(F.col("beats"), 32.0).alias("hr")
