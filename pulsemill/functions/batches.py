@@ -7,6 +7,8 @@ cheaper, so whole-window maths runs as Arrow functions over batches.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -105,3 +107,42 @@ def window_struct(
         return pa.StructArray.from_arrays(children, names=names, mask=pa.array(missing))
 
     return run(x)
+
+
+def kept_in_process(key: str, make: Callable[[], object]) -> object:
+    """``make()``, once per Python process and key: later tasks of the process find the value again.
+
+    Functions travel by value and lose their globals, so the value hangs on a module of its own. One
+    value is kept: another key takes the place of the last.
+    """
+    kept = sys.modules.setdefault("_pulsemill_kept", types.ModuleType("_pulsemill_kept")).__dict__
+    if kept.get("key") != key:
+        kept.pop("value", None)
+        kept["value"] = make()
+        kept["key"] = key
+    return kept["value"]
+
+
+def window_model(x: Column, key: str, load: Callable[[], Callable[[Matrix], np.ndarray]], max_bytes: int) -> Column:
+    """One number per row from the function that ``load()`` gives, loaded once per process.
+
+    The function sees at most ``max_bytes`` of samples at a time, and at least one window.
+    """
+
+    def scored(batch: pa.Array, fn) -> pa.Array:
+        parts = []
+        for where, m in same_length(batch):
+            step = max(1, max_bytes // (8 * m.shape[1]))
+            for at in range(0, len(m), step):
+                piece = m[at : at + step]
+                parts.append((where[at : at + step], np.asarray(fn(piece), dtype=np.float64).reshape(len(piece))))
+        return _numbers(len(batch), parts)
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fn = None
+        for batch in batches:
+            fn = fn or kept_in_process(key, load)  # a task without rows loads nothing
+            yield scored(batch, fn)
+
+    return run(x)

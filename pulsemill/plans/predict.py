@@ -8,12 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsemill.functions.batches import window_number
+from pulsemill.functions.batches import window_model, window_number
 from pulsemill.functions.labels import decide, sigmoid
 from pulsemill.operators.features import feature_table
 from pulsemill.operators.records import fold_rows, prediction_frame, with_split
 from pulsemill.plans import train
 
+MODEL_BYTES = 16 << 20
+
 
 def target_rows(registry: DataFrame, split: DataFrame | None = None, fold: str = "test") -> DataFrame:
     """One fold of the registry; without a split every row is a target."""
@@ -37,7 +39,27 @@ def score_windows(
     def run(matrix: np.ndarray) -> np.ndarray:
         return np.asarray(scorer(matrix), dtype=np.float64).reshape(len(matrix))
 
-    out = windows.withColumn("_out", window_number(F.col(column), run))
+    return _from_output(windows.withColumn("_out", window_number(F.col(column), run)), task)
+
+
+def score_stored(
+    windows: DataFrame, load: Callable[[str], Callable[[np.ndarray], np.ndarray]], path: str, column: str, task: str,
+    max_bytes: int = MODEL_BYTES,
+) -> DataFrame:
+    """Predictions of a model that stands in a shared folder.
+
+    ``load(path)`` reads it and gives a scorer as :func:`score_windows` takes. It runs in the workers,
+    once per Python process, so that nothing of the model passes through the driver or a task's
+    closure; a model that changes needs another path. The scorer gets at most ``max_bytes`` of
+    samples at a time. Null and empty windows get no prediction.
+    """
+    key = f"{load.__module__}.{load.__qualname__}|{path}"
+    out = window_model(F.col(column), key, lambda: load(path), max_bytes)
+    return _from_output(windows.withColumn("_out", out), task)
+
+
+def _from_output(out: DataFrame, task: str) -> DataFrame:
+    """Canonical predictions from the column ``_out``: logits of quality, or rates."""
     if task == "hr":
         return prediction_frame(out, "hr", F.col("_out"))
     prob = sigmoid(F.col("_out"))

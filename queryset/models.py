@@ -2,6 +2,8 @@
 
 import uuid
 
+import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from pulsemill.operators import baselines
@@ -9,6 +11,7 @@ from pulsemill.operators.features import feature_table
 from pulsemill.operators.records import fold_rows, task_rows, with_split
 from pulsemill.plans import predict, train
 from pulsemill.session import materialize, shared_folder
+from pulsemill.sources.lazy import opened
 from queryset.base import query, r6, sql
 from queryset.inputs import HASHED_SPLIT, PPG_RAW, REGISTRY, SIGNALS, hashed_split, registry, signal_registry
 
@@ -149,3 +152,40 @@ def external_scorer(spark, sf):
     return made.select("record_id", "y_true", "y_pred", "prob_good")
 
 
+
+
+def _load_profile(path):
+    """A linear scorer from the stored mean windows of both classes: nearer to the good one is positive."""
+    fs, folder = opened(path)
+    rows = sorted(pq.read_table(folder, filesystem=fs).to_pylist(), key=lambda r: (r["quality_label"], r["i"]))
+    bad, good = np.array([r["mean"] for r in rows]).reshape(2, -1)
+
+    def scorer(windows):
+        return (windows - (good + bad) / 2) @ (good - bad)
+
+    return scorer
+
+
+@query(
+    "stored_scorer",
+    sql(
+        [SIGNALS, PPG_RAW,
+         """profile AS (SELECT quality_label, i, avg(x) AS mean FROM signals s JOIN ppg_raw p ON s.vec_id = p.vec_id
+                        WHERE split = 'train' GROUP BY quality_label, i),
+         scores AS (SELECT p.vec_id, sum((p.x - (g.mean + b.mean) / 2e0) * (g.mean - b.mean)) AS z FROM ppg_raw p
+                    JOIN profile g ON g.i = p.i AND g.quality_label = 1
+                    JOIN profile b ON b.i = p.i AND b.quality_label = 0 GROUP BY p.vec_id)"""],
+        f"""SELECT s.record_id, CAST(s.quality_label AS DOUBLE) AS y_true,
+        CASE WHEN 1e0 / (1e0 + exp(-z)) >= 0.5e0 THEN 1e0 ELSE 0e0 END AS y_pred,
+        {r6('1e0 / (1e0 + exp(-z))')} AS prob_good FROM signals s JOIN scores c ON s.vec_id = c.vec_id""",
+    ),
+)
+def stored_scorer(spark, sf):
+    """A model in the shared folder, the mean training window of each class, read once by every worker process."""
+    base = signal_registry(spark, sf)
+    cells = base.where("split = 'train'").select("quality_label", F.posexplode("ppg").alias("i", "x"))
+    profile = cells.groupBy("quality_label", "i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    profile.coalesce(1).write.parquet(path)  # a row per class and sample position of a window
+    made = predict.score_stored(base, _load_profile, path, "ppg", "quality")
+    return made.select("record_id", "y_true", "y_pred", "prob_good")

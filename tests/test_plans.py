@@ -1,6 +1,8 @@
 """Marts, models and comparison tables end to end."""
 
 import json
+import os
+import uuid
 
 import numpy as np
 import pytest
@@ -153,6 +155,44 @@ def test_external_scorer(registry):
     assert {r["y_pred"] for r in hr.collect()} == {300.0}
 
 
+def test_stored_scorer_is_loaded_once_per_process(registry, tmp_path):
+    log = tmp_path / "loads"
+    log.mkdir()
+    model = tmp_path / "weight.txt"
+    model.write_text("2.5")
+
+    def load(path):
+        with open(path) as f:
+            weight = float(f.read())
+        (log / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+
+        def scorer(matrix):
+            assert matrix.nbytes <= 10 * 300 * 8
+            return matrix[:, 0] * 0 + weight + os.getpid() * 1e6
+
+        return scorer
+
+    spread = registry.repartition(16)
+    pids = set()
+    for _ in range(2):
+        out = predict.score_stored(spread, load, str(model), "ppg", "hr", max_bytes=10 * 300 * 8)
+        values = [r["y_pred"] for r in out.collect()]
+        assert len(values) == registry.count() and {v % 1e6 for v in values} == {2.5}
+        pids |= {int(v // 1e6) for v in values}
+    loads = [int(p.name.split("-")[0]) for p in log.iterdir()]
+    assert sorted(loads) == sorted(set(loads)) == sorted(pids)
+
+
+def test_stored_scorer_without_windows(spark, registry, tmp_path):
+    def load(path):
+        return lambda m: m.sum(axis=1)
+
+    gaps = registry.limit(2).withColumn("ppg", F.when(F.col("record_id") == "none", F.col("ppg")))
+    out = predict.score_stored(gaps, load, str(tmp_path), "ppg", "quality").collect()
+    assert [r["y_pred"] for r in out] == [None, None]
+    assert predict.score_stored(registry.limit(0), load, str(tmp_path), "ppg", "hr").count() == 0
+
+
 def test_comparison_tables(spark, tmp_path):
     q = lambda f1: {"macro_f1": f1, "accuracy": 0.8, "roc_auc": 0.7}
     ledger_file(tmp_path, "old", model="cnn1d", task="quality", created_at="2026-01-01", metrics=q(0.1))
