@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsemill.functions import labels, spectral
@@ -65,10 +65,14 @@ def align(table: DataFrame, names: list[str]) -> DataFrame:
 
 def scaler(table: DataFrame, names: list[str]) -> DataFrame:
     """One row: mean and population std per feature, in a single pass."""
+    return table.agg(*scaler_columns(names))
+
+
+def scaler_columns(names: list[str]) -> list[Column]:
     aggs = []
     for n in names:
         aggs += [F.avg(n).alias(f"{n}__mean"), F.stddev_pop(n).alias(f"{n}__std")]
-    return table.agg(*aggs)
+    return aggs
 
 
 def scale(table: DataFrame, names: list[str], fitted: dict[str, float]) -> DataFrame:

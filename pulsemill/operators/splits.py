@@ -19,6 +19,8 @@ from pulsemill.operators.scale import dense_index, exact_median, hash_rank, join
 from pulsemill.schemas import FOLDS
 from pulsemill.session import materialize
 
+PLACED_AT_ONCE = 100_000  # strata ordered in one task; more are range-sorted
+
 
 def subject_mode(registry: DataFrame, column: str, key: str = "subject_id") -> DataFrame:
     """Most common non-null value per subject, the smallest one on ties."""
@@ -56,29 +58,49 @@ def subject_strata(registry: DataFrame, balance_on: Sequence[str]) -> DataFrame:
     return out.select("subject_id", F.concat_ws("|", *parts).alias("stratum"))
 
 
+def _sizes(strata: DataFrame) -> DataFrame:
+    return strata.groupBy("stratum").agg(F.count(F.lit(1)).alias("m"))
+
+
+def _seen(sizes: DataFrame):
+    """One row: subjects, the smallest stratum and the number of strata, empty ones left out."""
+    full = sizes.where("m > 0")
+    return full.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.min("m").alias("least"), F.count("m").alias("k")).first()
+
+
+def _spreads(seen, wanted: int) -> bool:
+    """Is every stratum large enough to be spread over both sides of a draw?"""
+    k, left = seen["k"], seen["n"] - wanted
+    return k > 0 and seen["least"] >= 2 and wanted >= k and left >= k
+
+
+def _quotas(sizes: DataFrame, seen, wanted: int, name: str = "quota") -> DataFrame:
+    """Add each stratum's proportional number of ``wanted`` subjects, rounded by largest remainder."""
+    quota = F.col("m") * F.lit(wanted) / F.lit(seen["n"])
+    parts = sizes.withColumns({"_base": F.floor(quota), "_missing": F.floor(quota) - quota, "_everyone": F.lit(0)})
+    spare = F.lit(wanted) - sizes.agg(F.sum(F.floor(quota))).scalar()
+    if seen["k"] <= PLACED_AT_ONCE:
+        place = F.row_number().over(W.partitionBy("_everyone").orderBy("_missing", "stratum")) - 1
+        placed = parts.withColumn("_place", place)
+    else:
+        placed = dense_index(parts, ["_everyone"], ["_missing", "stratum"], "_place")
+    taken = F.col("_base") + F.when(F.col("_place") < spare, 1).otherwise(0)
+    return placed.select(*sizes.columns, taken.alias(name))
+
+
 def take_share(strata: DataFrame, share: float, seed: int) -> DataFrame:
     """Mark ``taken`` for ceil(share * n) subjects, spread over the strata.
 
     Each stratum gets its proportional number, rounded by largest remainder.
     With a stratum too small to spread, the draw ignores strata.
     """
-    sizes = strata.groupBy("stratum").agg(F.count(F.lit(1)).alias("m"))
-    seen = sizes.agg(F.sum("m").alias("n"), F.min("m").alias("least"), F.count("m").alias("k")).first()
-    n, wanted = seen["n"], ceil(share * seen["n"])
-    if seen["least"] < 2 or wanted < seen["k"] or n - wanted < seen["k"]:
+    sizes = _sizes(strata)
+    seen = _seen(sizes)
+    wanted = ceil(share * seen["n"])
+    if not _spreads(seen, wanted):
         strata = strata.withColumn("stratum", F.lit("all"))
-        sizes = sizes.agg(F.sum("m").alias("m")).withColumn("stratum", F.lit("all"))
-    quota = F.col("m") * F.lit(wanted) / F.lit(n)
-    sizes = sizes.select(
-        "stratum", F.floor(quota).alias("base"), (quota - F.floor(quota)).alias("rest")
-    )
-    spare = F.lit(wanted) - sizes.agg(F.sum("base")).scalar()
-    sizes = sizes.withColumns({"missing": -F.col("rest"), "everyone": F.lit(0)})
-    placed = dense_index(sizes, ["everyone"], ["missing", "stratum"], "place")
-    quotas = placed.select(
-        "stratum",
-        (F.col("base") + F.when(F.col("place") < spare, 1).otherwise(0)).alias("quota"),
-    )
+        sizes = _sizes(strata)
+    quotas = _quotas(sizes, seen, wanted).drop("m")
     ranked = hash_rank(strata, ["stratum"], seed, "subject_id")
     return join_dimension(ranked, quotas, "stratum").select(
         "subject_id", (F.col("rank") <= F.col("quota")).alias("taken")
@@ -91,14 +113,33 @@ def subject_split(
     seed: int = 42,
     balance_on: Sequence[str] = ("quality_label", "measurement_site"),
 ) -> DataFrame:
-    """(subject_id, fold): the test fold is drawn first, then the validation fold."""
+    """(subject_id, fold): the test fold is drawn first, then the validation fold.
+
+    Both draws go by the same order within a stratum, so the second continues where the first
+    ends: subjects are ranked once, and the quotas of both draws follow from the sizes of the
+    strata. Only with strata too small to spread are there two draws over the subjects.
+    """
     if len(ratios) != 3 or abs(sum(ratios) - 1.0) > 1e-6:
         raise ValueError(f"ratios must be three shares adding up to 1, got {tuple(ratios)}")
     train, val, test = ratios
     strata = materialize(subject_strata(registry, balance_on))
-    subjects = strata.limit(3).count()
-    if subjects < 3:
-        raise ValueError(f"a split needs at least 3 subjects, got {subjects}")
+    sizes = materialize(_sizes(strata))
+    seen = _seen(sizes)
+    if seen["n"] < 3:
+        raise ValueError(f"a split needs at least 3 subjects, got {seen['n']}")
+    n_test = ceil(test * seen["n"])
+    if _spreads(seen, n_test):
+        first = materialize(_quotas(sizes, seen, n_test, "n_test"))
+        rest = first.withColumn("m", F.col("m") - F.col("n_test"))
+        left = _seen(rest)
+        n_val = ceil(val / (train + val) * left["n"])
+        if _spreads(left, n_val):
+            quotas = _quotas(rest, left, n_val, "n_val").drop("m")
+            ranked = hash_rank(strata, ["stratum"], seed, "subject_id")
+            fold = F.when(F.col("rank") <= F.col("n_test"), "test").when(
+                F.col("rank") <= F.col("n_test") + F.col("n_val"), "val"
+            )
+            return join_dimension(ranked, quotas, "stratum").select("subject_id", fold.otherwise("train").alias("fold"))
     first = materialize(take_share(strata, test, seed))
     rest = strata.join(first.where("NOT taken").select("subject_id"), "subject_id", "left_semi")
     second = take_share(rest, val / (train + val), seed)

@@ -9,14 +9,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline, PipelineModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsemill.functions.labels import decide
-from pulsemill.operators.features import align, feature_names, feature_table, scale, scaler
+from pulsemill.operators.features import align, feature_names, feature_table, scale, scaler_columns
 from pulsemill.operators.metrics import fitted_threshold
 from pulsemill.operators.records import fold_rows, prediction_frame, target, task_rows
-from pulsemill.operators.scale import require_rows
 from pulsemill.session import materialize
 
 # fixed values: tree depth, step, row and column sampling, and rounds per task
@@ -52,9 +51,16 @@ class FeatureModel:
         return cls(s["task"], s["variant"], s["names"], s["scaling"], s["threshold"], pipeline)
 
 
-def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
-    """Weight n / (2 * n_class) per row."""
-    sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}  # two classes
+def label_facts() -> list[Column]:
+    """Number of labels, their population std, and the number of ones."""
+    one = F.count_if(F.col("label") == 1.0)
+    return [F.count("label").alias("n"), F.stddev_pop("label").alias("sd"), one.alias("n_good")]
+
+
+def balanced_weights(rows: DataFrame, label: str = "label", sizes: dict[float, int] | None = None) -> DataFrame:
+    """Weight n / (2 * n_class) per row; ``sizes`` are the rows per class, counted if not given."""
+    if sizes is None:
+        sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}  # two classes
     n, k = sum(sizes.values()), len(sizes)
     weight = F.when(F.lit(False), 0.0)
     for value, size in sizes.items():
@@ -62,15 +68,18 @@ def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.withColumn("weight", weight)
 
 
-def estimator(task: str, kind: str, rows: DataFrame, rounds: int | None = None, trees: dict | None = None):
+def estimator(
+    task: str, kind: str, rows: DataFrame, rounds: int | None = None, trees: dict | None = None, facts=None
+):
     """The MLlib estimator for ``logreg``, ``ridge`` or ``trees`` with its penalty in MLlib's scale.
 
-    ``trees`` replaces some of the settings in ``TREES``.
+    ``trees`` replaces some of the settings in ``TREES``; ``facts`` are the ``label_facts`` of the
+    rows if they are known already.
     """
     if kind == "trees":
         tree = GBTClassifier if task == "quality" else GBTRegressor
         return tree(maxIter=rounds or ROUNDS[task], seed=42, **{**TREES, **(trees or {})})
-    stats = rows.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("sd")).first()
+    stats = facts or rows.agg(*label_facts()).first()
     if kind == "logreg":  # MLlib averages the weighted loss: C = 1 is a penalty of 1 / n
         return LogisticRegression(
             weightCol="weight", maxIter=2000, tol=1e-8, regParam=1.0 / stats["n"], standardization=False
@@ -93,15 +102,19 @@ def fit(
     kind = kind or DEFAULT_ESTIMATOR[task]
     names = feature_names(features)
     labelled = features.withColumn("label", target(task)).where("label IS NOT NULL")
-    train = require_rows(fold_rows(labelled, "train"), f"{task} training fold").persist()
+    train = fold_rows(labelled, "train").select("label", *names).persist()
     try:
-        scaling = scaler(train, names).first().asDict()
+        scaling = train.agg(*label_facts(), *scaler_columns(names)).first().asDict()
+        facts = {c: scaling.pop(c) for c in ("n", "sd", "n_good")}
+        if not facts["n"]:
+            raise ValueError(f"{task} training fold: no rows")
         ready = scale(train, names, scaling)
         if kind == "logreg":
-            ready = balanced_weights(ready)
+            classes = {0.0: facts["n"] - facts["n_good"], 1.0: facts["n_good"]}
+            ready = balanced_weights(ready, sizes={c: size for c, size in classes.items() if size})
         steps = [
             VectorAssembler(inputCols=names, outputCol="features"),
-            estimator(task, kind, ready, rounds, trees),
+            estimator(task, kind, ready, rounds, trees, facts),
         ]
         pipeline = Pipeline(stages=steps).fit(ready)
     finally:

@@ -109,3 +109,25 @@ def test_leak_is_reported(spark):
     assert [tuple(r) for r in splits.overlapping_subjects(split).collect()] == [("a", "test,train")]
     parts = [split.where(F.col("fold") == f) for f in ("train", "val", "test")]
     assert splits.fold_map(*parts).count() == 3
+
+
+@pytest.mark.parametrize("sizes", [(40, 25, 17), (30, 5, 3), (9, 2, 2), (6, 1)])
+def test_one_ranking_gives_the_folds_of_two_draws(spark, sizes):
+    """Strata that both draws spread over, that one does, and that none does."""
+    rows = [(f"s{stratum}_{i}", f"k{stratum}", "ear") for stratum, n in enumerate(sizes) for i in range(n)]
+    registry = spark.createDataFrame(rows, "subject_id string, kind string, measurement_site string")
+    ours = {r["subject_id"]: r["fold"] for r in splits.subject_split(registry, balance_on=("kind",)).collect()}
+    strata = splits.subject_strata(registry, ("kind",))
+    test = {r["subject_id"] for r in splits.take_share(strata, 0.2, 42).where("taken").collect()}
+    rest = strata.where(~F.col("subject_id").isin(*test))
+    val = {r["subject_id"] for r in splits.take_share(rest, 0.2 / 0.8, 42).where("taken").collect()}
+    assert ours == {s: "test" if s in test else "val" if s in val else "train" for s, _, _ in rows}
+
+
+def test_many_strata_are_placed_by_a_range_sort(spark, monkeypatch):
+    sizes = spark.createDataFrame([(f"s{i}", 2 + i % 7) for i in range(50)], "stratum string, m long")
+    seen = splits._seen(sizes)
+    few = {r["stratum"]: r["quota"] for r in splits._quotas(sizes, seen, 61).collect()}
+    monkeypatch.setattr(splits, "PLACED_AT_ONCE", 10)
+    many = {r["stratum"]: r["quota"] for r in splits._quotas(sizes, seen, 61).collect()}
+    assert few == many and sum(few.values()) == 61
