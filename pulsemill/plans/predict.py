@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsemill.functions.batches import window_model, window_number
-from pulsemill.functions.labels import decide, sigmoid
+from pulsemill.functions.labels import config_value, decide, sigmoid
+from pulsemill.operators import baselines, metrics
 from pulsemill.operators.features import feature_table
 from pulsemill.operators.records import fold_rows, prediction_frame, with_split
 from pulsemill.plans import train
+from pulsemill.sources.tables import load_run
 
 MODEL_BYTES = 16 << 20
+Loader = Callable[[str], Callable[[np.ndarray], np.ndarray]]
 
 
 def target_rows(registry: DataFrame, split: DataFrame | None = None, fold: str = "test") -> DataFrame:
@@ -43,8 +46,7 @@ def score_windows(
 
 
 def score_stored(
-    windows: DataFrame, load: Callable[[str], Callable[[np.ndarray], np.ndarray]], path: str, column: str, task: str,
-    max_bytes: int = MODEL_BYTES,
+    windows: DataFrame, load: Loader, path: str, column: str, task: str, max_bytes: int = MODEL_BYTES
 ) -> DataFrame:
     """Predictions of a model that stands in a shared folder.
 
@@ -64,3 +66,44 @@ def _from_output(out: DataFrame, task: str) -> DataFrame:
         return prediction_frame(out, "hr", F.col("_out"))
     prob = sigmoid(F.col("_out"))
     return prediction_frame(out, "quality", decide(prob), prob_good=prob)
+
+
+def predict_run(
+    ledger: DataFrame, run_id: str, target: DataFrame, fit_on: DataFrame | None = None,
+    loaders: dict[str, Loader] | None = None, column: str = "ppg", threshold: float | None = None,
+) -> DataFrame:
+    """Predictions of a recorded run for other rows, from its id alone.
+
+    A trivial run is refitted on ``fit_on``, its training rows; a feature baseline is loaded from the
+    run's checkpoint; any other model needs its entry in ``loaders`` (see :func:`score_stored`), which
+    is given the checkpoint. An unknown run, a run without what it needs and an unfinished run are errors.
+    """
+    run = load_run(ledger, run_id).select(
+        "model", "task", "status", "best_checkpoint", config_value(F.col("config"), "method").alias("method")
+    ).first()
+    if run["status"] != "finished":
+        raise ValueError(f"run {run_id} is {run['status']}, not finished")
+    if run["model"] == "trivial":
+        if fit_on is None:
+            raise ValueError(f"run {run_id} is refitted: its training rows are needed")
+        return baselines.predict_trivial(run["task"], run["method"], fit_on, target)
+    if not run["best_checkpoint"]:
+        raise ValueError(f"run {run_id} has no checkpoint")
+    if run["model"] == "baseline_features":
+        model = train.FeatureModel.load(ledger.sparkSession, run["best_checkpoint"])
+        if model.task != run["task"]:
+            raise ValueError(f"run {run_id} is of task {run['task']}, its checkpoint of task {model.task}")
+        return predict_saved(model, target, threshold)
+    if run["model"] not in (loaders or {}):
+        raise ValueError(f"no way to predict with model {run['model']!r}")
+    return score_stored(target, loaders[run["model"]], run["best_checkpoint"], column, run["task"])
+
+
+def rerun_record(ledger: DataFrame, run_id: str, new_id: str, created_at: str, predictions: DataFrame) -> DataFrame:
+    """The ledger row of such predictions: the run's model, task and settings under ``new_id``, with their metrics."""
+    scores = metrics.evaluate(predictions.withColumn("run_id", F.lit(new_id)))
+    scores = scores.withColumn("n", F.when(F.col("task") == "hr", F.col("n_scored")))
+    fields = ledger.schema["metrics"].dataType.fields
+    cells = [(F.col(f.name) if f.name in scores.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    fresh = {"run_id": F.lit(new_id), "created_at": F.lit(created_at), "metrics": scores.select(F.struct(*cells)).scalar()}
+    return load_run(ledger, run_id).withColumns(fresh)

@@ -5,14 +5,17 @@ solve the normal equations by elimination in a recursive CTE, take Newton steps
 logistic regression, and try every split for the stump.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pulsemill.operators.features import feature_table
 from pulsemill.operators.records import fold_rows, task_rows
-from pulsemill.plans import train
-from pulsemill.session import materialize
+from pulsemill.plans import comparison, predict, train
+from pulsemill.session import materialize, shared_folder
 from queryset.base import query, r6, sql
 from queryset.inputs import signal_registry
+from queryset.ledger import LEDGER, ledger
 from queryset.signals import PPG_BLOCK
 
 SHAPE = ["ppg_min", "ppg_max", "ppg_skew", "ppg_kurtosis", "ppg_spec_centroid"]
@@ -137,6 +140,66 @@ def ridge_on_shape(spark, sf):
     return made.select("record_id", "y_true", "y_pred")
 
 
+RERUNS = """
+sources AS (SELECT model, task, arg_max(run_id, (created_at, run_id)) AS run_id FROM ledger
+            WHERE status = 'finished' AND (model = 'baseline_features' AND task = 'hr' OR model = 'trivial' AND task = 'quality')
+            GROUP BY model, task),
+made AS (
+  SELECT r.run_id, s.record_id, 'hr' AS task, y AS y_true, list_dot_product(s.x, b.x) AS y_pred
+  FROM scaled s, beta_x b, sources r WHERE s.split = 'test' AND r.task = 'hr'
+  UNION ALL
+  SELECT r.run_id, record_id, 'quality', CAST(quality_label AS DOUBLE),
+         (SELECT CAST(quality_label AS DOUBLE) FROM base WHERE split = 'train'
+          GROUP BY quality_label ORDER BY count(*) DESC, quality_label LIMIT 1)
+  FROM base, sources r WHERE split = 'test' AND r.task = 'quality')"""
+RERUN_CTES = [
+    *PPG_BLOCK, BASE, _scaled_sql("hr_ref", "quality_label = 1"), RIDGE, _solved_sql("beta", "system"), LEDGER, RERUNS,
+]
+
+
+def _reruns(spark, sf):
+    """The newest feature run of the heart rate, with a stored model, and the newest trivial quality run, run again."""
+    base = signal_registry(spark, sf)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    train.fit(_shape_table(spark, sf, "hr"), "hr").save(spark, path)
+    runs = ledger(spark, sf).withColumn("best_checkpoint", F.when(F.col("model") == "baseline_features", path))
+    newest = comparison.latest_finished(runs.drop("config"), ["model", "task"])
+    for model, task in (("baseline_features", "hr"), ("trivial", "quality")):
+        run_id = newest.where((F.col("model") == model) & (F.col("task") == task)).first()["run_id"]
+        rows = task_rows(base, task)
+        yield runs, run_id, predict.predict_run(runs, run_id, fold_rows(rows, "test"), fold_rows(rows, "train"))
+
+
+@query(
+    "rerun_predictions",
+    _recursive(RERUN_CTES, f"SELECT run_id, record_id, task, {r6('y_true')} AS y_true, {r6('y_pred')} AS y_pred FROM made"),
+)
+def rerun_predictions(spark, sf):
+    """Predictions of recorded runs from their ids: one loads its model, the other is refitted."""
+    (_, a, first), (_, b, second) = _reruns(spark, sf)
+    both = first.withColumn("run_id", F.lit(a)).unionByName(second.withColumn("run_id", F.lit(b)))
+    return both.select("run_id", "record_id", "task", "y_true", "y_pred")
+
+
+@query(
+    "rerun_records",
+    _recursive(
+        RERUN_CTES,
+        f"""SELECT 'again_' || any_value(run_id) AS run_id, task, 'finished' AS status,
+        CASE WHEN task = 'quality' THEN {r6('avg(CASE WHEN y_true = y_pred THEN 1e0 ELSE 0e0 END)')} END AS accuracy,
+        CASE WHEN task = 'hr' THEN {r6('avg(abs(y_true - y_pred))')} END AS mae,
+        CASE WHEN task = 'hr' THEN {r6('sqrt(avg(pow(y_true - y_pred, 2)))')} END AS rmse FROM made GROUP BY task""",
+    ),
+)
+def rerun_records(spark, sf):
+    """The ledger rows of runs that were run again, with their own metrics."""
+    out = None
+    for runs, run_id, made in _reruns(spark, sf):
+        row = predict.rerun_record(runs, run_id, f"again_{run_id}", "2030-01-01", made)
+        out = row if out is None else out.unionByName(row)
+    return out.select("run_id", "task", "status", "metrics.accuracy", "metrics.mae", "metrics.rmse")
+
+
 # steps per unit, lowest and highest level of each feature
 LEVELS = {"ppg_min": (4.0, -11.0, -7.0), "ppg_max": (4.0, 7.0, 11.0), "ppg_skew": (4.0, -2.0, 2.0)}
 LEVEL_SQL = ", ".join(

@@ -193,6 +193,24 @@ def test_stored_scorer_without_windows(spark, registry, tmp_path):
     assert predict.score_stored(registry.limit(0), load, str(tmp_path), "ppg", "hr").count() == 0
 
 
+def test_predict_run_needs_what_the_run_needs(spark, registry, tmp_path):
+    ledger_file(tmp_path, "median")
+    ledger_file(tmp_path, "bare", model="baseline_features")
+    ledger_file(tmp_path, "broken", status="failed")
+    ledger_file(tmp_path, "net", model="cnn1d", best_checkpoint="somewhere")
+    runs = tables.read_ledger(spark, str(tmp_path / "*" / "run.json"))
+    test, fit_on = (registry.where(f"split = '{fold}' AND quality_label = 1") for fold in ("test", "train"))
+    for run_id, text in (("none", "no such run"), ("median", "training rows"), ("bare", "no checkpoint"),
+                         ("broken", "failed, not finished"), ("net", "no way to predict")):
+        with pytest.raises(ValueError, match=text):
+            predict.predict_run(runs, run_id, test)
+    made = predict.predict_run(runs, "median", test, fit_on)
+    row = predict.rerun_record(runs, "median", "again", "2026-02-02", made).first()
+    assert row["run_id"] == "again" and row["metrics"]["n"] == test.count() and row["metrics"]["macro_f1"] is None
+    net = predict.predict_run(runs, "net", test, loaders={"cnn1d": lambda path: lambda m: m[:, 0] * 0 + len(path)})
+    assert {r["y_pred"] for r in net.collect()} == {9.0}
+
+
 def test_comparison_tables(spark, tmp_path):
     q = lambda f1: {"macro_f1": f1, "accuracy": 0.8, "roc_auc": 0.7}
     ledger_file(tmp_path, "old", model="cnn1d", task="quality", created_at="2026-01-01", metrics=q(0.1))
