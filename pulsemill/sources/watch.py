@@ -146,19 +146,17 @@ def discover(spark: SparkSession, raw: str) -> DataFrame:
         .option("pathGlobFilter", "*.csv")
         .load(raw)
         .select(_below(F.col("path"), raw).alias("path"))
+        .coalesce(4 * spark.sparkContext.defaultParallelism)  # names only, however long the files
         .withColumn("kind", kind)
         .withColumn("subject_id", F.regexp_extract(path, r"^(?:Data/)?(P[^/]*)/", 1))
         .where("kind IS NOT NULL AND subject_id <> ''")
     )
-    first = files.groupBy("subject_id", "kind").agg(
-        F.min(F.struct((~home).alias("nested"), "path")).alias("best")
-    )
-    complete = first.groupBy("subject_id").agg(
-        F.count_if(F.col("kind") == "ppg").alias("p"), F.count_if(F.col("kind") == "ecg").alias("e")
-    ).where("p > 0 AND e > 0")
-    return first.join(complete, "subject_id", "left_semi").select(
-        "subject_id", "kind", F.col("best.path").alias("path")
-    )
+    best = F.struct((~home).alias("nested"), "path")
+    kinds = ("ppg", "ecg", "event")
+    first = files.groupBy("subject_id").agg(*[F.min(F.when(F.col("kind") == k, best)).alias(k) for k in kinds])
+    found = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}.path").alias("path")) for k in kinds]))
+    complete = first.where("ppg IS NOT NULL AND ecg IS NOT NULL").select("subject_id", found.alias("file"))
+    return complete.select("subject_id", "file.*").where("path IS NOT NULL")
 
 
 def read_cells(spark: SparkSession, raw: str, found: DataFrame, kind: str) -> DataFrame:
