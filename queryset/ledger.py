@@ -273,16 +273,21 @@ def predictions_with_run(spark, sf):
     ),
 )
 def best_epoch(spark, sf):
-    """Suppliers as runs, line numbers as epochs, mean discount as the validation score."""
-    value = F.avg("l_discount")
+    """Suppliers as runs, line numbers as epochs, mean discount as the validation score.
+
+    Epochs of equal means differ by the rounding of their sums, so the values are added in the
+    order of the table's rows, however Spark cuts its files.
+    """
+    key = ("run_id", "task", "epoch")
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("run_id"),
+        F.when(F.col("l_linestatus") == "F", "quality").otherwise("hr").alias("task"),
+        F.col("l_linenumber").alias("epoch"),
+        "l_discount", "_metadata.file_path", "_metadata.row_index",
+    )
     log = (
-        table(spark, sf, "lineitem")
-        .groupBy(
-            F.col("l_suppkey").cast("string").alias("run_id"),
-            F.when(F.col("l_linestatus") == "F", "quality").otherwise("hr").alias("task"),
-            F.col("l_linenumber").alias("epoch"),
-        )
-        .agg(value.alias("value"))
+        rows.repartition(*key).sortWithinPartitions(*key, "file_path", "row_index")
+        .groupBy(*key).agg(F.avg("l_discount").alias("value"))
         .withColumn("macro_f1", F.when(F.col("task") == "quality", F.col("value")))
         .withColumn("mae", F.when(F.col("task") == "hr", F.col("value")))
     )
