@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,12 +125,44 @@ def _below(path: Column, root: str) -> Column:
     return F.substring(plain, F.lit(len(bare) + 1), F.length(plain))
 
 
+def _csv_names(spark: SparkSession, raw: str) -> DataFrame:
+    """(path): the CSVs of the participants, listed by folder on executors; names that begin with . or _ are left out.
+
+    One task reads the names of the participants' folders, many list what lies in them.
+    """
+    raw = raw.rstrip("/")
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(raw)
+        for below in (row["below"] for batch in batches for row in batch.to_pylist()):
+            found = fs.get_file_info(pafs.FileSelector(f"{root}/{below}".rstrip("/"), allow_not_found=below != ""))
+            names = [below + f.base_name for f in found if f.type == pafs.FileType.Directory and f.base_name.startswith("P")]
+            yield pa.RecordBatch.from_pydict({"home": pa.array(names, pa.string())})
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(raw)
+        for batch in batches:
+            names = []
+            for home in batch.column("home").to_pylist():
+                for f in fs.get_file_info(pafs.FileSelector(f"{root}/{home}", recursive=True)):
+                    if f.type == pafs.FileType.File and f.extension == "csv":
+                        name = home + f.path.partition(f"{root}/{home}")[2]
+                        if not any(part[:1] in "._" for part in name.split("/")):
+                            names.append(name)
+            yield pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string())})
+
+    tops = spark.createDataFrame([("",), ("Data/",)], "below string").coalesce(1)
+    # a number of tasks of one's own, which adaptive execution keeps: a name is few bytes but stands for a folder
+    dealt = tops.mapInArrow(homes, "home string").repartition(4 * spark.sparkContext.defaultParallelism, "home")
+    return dealt.mapInArrow(files, "path string")
+
+
 def discover(spark: SparkSession, raw: str) -> DataFrame:
     """(subject_id, kind, path): the first matching CSV of each participant and kind.
 
     Participants are the folders P* in ``raw`` or in its folder Data; ``path`` is below
     ``raw``. A file in the kind's own folder wins over one found deeper. Participants
-    without both PPG and ECG are left out.
+    without both PPG and ECG are left out. ``raw`` must be on a file system that Arrow opens.
     """
     path = F.col("path")
     name = F.regexp_extract(path, r"([^/]+)$", 1)
@@ -141,12 +175,7 @@ def discover(spark: SparkSession, raw: str) -> DataFrame:
     for name_of_kind, pattern in HOME_FOLDERS.items():
         home = home | ((kind == name_of_kind) & inside.rlike(pattern))
     files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(raw)
-        .select(_below(F.col("path"), raw).alias("path"))
-        .coalesce(4 * spark.sparkContext.defaultParallelism)  # names only, however long the files
+        _csv_names(spark, raw)
         .withColumn("kind", kind)
         .withColumn("subject_id", F.regexp_extract(path, r"^(?:Data/)?(P[^/]*)/", 1))
         .where("kind IS NOT NULL AND subject_id <> ''")

@@ -286,15 +286,17 @@ def _join_pieces(places, pieces: str, folder: str, header: str) -> None:
     def run(batches):
         import pyarrow.fs as pafs
 
-        def some(name, content):
-            return pa.RecordBatch.from_pydict({"name": [name], "content": [content]}, pa.schema([("name", pa.string()), ("content", pa.binary())]))
+        def some():
+            return pa.RecordBatch.from_pydict({"name": names, "content": contents}, pa.schema([("name", pa.string()), ("content", pa.binary())]))
 
         fs, root = pafs.FileSystem.from_uri(pieces)
         name = piece = source = None
+        names, contents, held = [], [], 0
         for row in (row for batch in batches for row in batch.to_pylist()):
             if row["name"] != name:
                 name = row["name"]
-                yield some(name, header.encode())
+                names.append(name)
+                contents.append(header.encode())
             if row["piece"] != piece:
                 if source:
                     source.close()
@@ -306,17 +308,26 @@ def _join_pieces(places, pieces: str, folder: str, header: str) -> None:
                 content = source.read(min(left, COPIED))
                 if not content:
                     raise EOFError(f"{piece} is cut short")
-                yield some(name, content)
+                names.append(name)
+                contents.append(content)
                 left -= len(content)
+                held += len(content)
+                if held >= COPIED or len(names) >= NAMES:
+                    yield some()
+                    names, contents, held = [], [], 0
+        if names:
+            yield some()
         if source:
             source.close()
 
-    dealt = places.repartition("name").sortWithinPartitions("name", "part").select("name", "piece", "at", "size")
+    # as many tasks as there are places for, however few bytes the rows have: they stand for whole files
+    tasks = 4 * places.sparkSession.sparkContext.defaultParallelism
+    dealt = places.repartition(tasks, "name").sortWithinPartitions("name", "part").select("name", "piece", "at", "size")
     write_named(dealt.mapInArrow(run, "name STRING, content BINARY"), folder)
 
 
-#: bytes that are copied at a time
-COPIED = 4 << 20
+#: bytes that are copied at a time, and rows in a batch
+COPIED, NAMES = 4 << 20, 4096
 HEADER = "timestamp,kind,signal\n"
 
 
@@ -336,7 +347,7 @@ def _recordings(spark, sf, lines: bool = True) -> str:
     users = rows.select("user_id").distinct().select(home, F.explode(names).alias("name"))
     root = f"{_fresh(spark)}/Projects/raw"
     if not lines:
-        write_named(users.select("name", F.lit(HEADER).alias("content")), root)
+        write_named(users.select("name", F.lit(HEADER).alias("content")), root, whole=True)
         return root
     ms = F.unix_millis(F.col("ts").cast("timestamp")).cast("string")
     line = F.concat_ws(",", ms, F.col("event_type"), F.col("value").cast("string")).alias("line")
@@ -403,7 +414,7 @@ def ledger_file(spark, sf):
     )
     folder = _fresh(spark)
     rows = table(spark, sf, "supplier").select(F.format_string("run%d/run.json", key).alias("name"), content.alias("content"))
-    write_named(rows, folder)
+    write_named(rows, folder, whole=True)
     return tables.read_ledger(spark, f"{folder}/*/run.json").select("run_id", "model", "metrics.mae")
 
 

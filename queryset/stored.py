@@ -41,7 +41,7 @@ def lazy_windows(spark, sf):
     """Window files of a wrong shape, type or length are rejected by their first bytes."""
     content = F.arrow_udf(_npy_of_kind, "binary")(F.col("embedding"), F.col("label"))
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    write_named(table(spark, sf, "embeddings").select(F.format_string("%d.npy", F.col("vec_id")).alias("name"), content.alias("content")), folder)
+    write_named(table(spark, sf, "embeddings").select(F.format_string("%d.npy", F.col("vec_id")).alias("name"), content.alias("content")), folder, whole=True)
     rows = lazy.read_windows(spark, folder, 64)
     checksum = arrays.total(F.transform(F.col("x"), lambda v, i: v.cast("double") * (i + 1)))
     return rows.select("record_id", F.when(F.col("x").isNotNull(), F.size("x")).alias("n"), checksum.alias("checksum"), "reject_reason")
