@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from pulsemill.sources import named, watch
+from pulsemill.sources import named, recordings, watch
 from queryset import files
 
 
@@ -62,3 +62,22 @@ def test_a_repeated_attempt_finds_its_files_in_place(tmp_path):
     assert (tmp_path / "deep" / "a").read_text() == "1"
     with pytest.raises(FileNotFoundError):
         writer.put(iter([("b", [".staged-job/y"])]))
+
+
+@pytest.mark.parametrize("keys", ['["signal"]', '["no such"]'])
+def test_files_of_one_header_are_parsed_together(tmp_path, monkeypatch, keys):
+    ranges = []
+    for i in range(90):
+        lines = [f"{(1 << i % 40) + j if j % 4 else ''},{'x' if i % 7 == 3 else j},{j / 2}" for j in range(i % 13)]
+        text = "\n".join(["ts,kind,signal" if i < 60 else 'kind,"signal",more', *lines, "" if i % 2 else "\n"])
+        (tmp_path / f"{i}.csv").write_text(text)
+        ranges += [(f"P{i}", f"{i}.csv", at, min(at + 40, len(text))) for at in range(0, len(text), 40)]
+    reader = recordings.SignalReader({"root": str(tmp_path), "listing": "", "time_keys": '["ts"]', "value_keys": keys})
+    read = lambda some: list(reader.read(recordings.InputPartition(some)))
+    rows = lambda batches: sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["subject_id"], r["block"], r["row"]))
+    alone = rows(b for own in ranges for b in read([own]))
+    together = read(ranges)
+    assert len(together) <= 5 and rows(together) == alone
+    assert sum(r["n"] or 0 for r in alone) == sum(r["row"] >= 0 for r in alone) == sum(i % 13 for i in range(90))
+    monkeypatch.setattr(recordings, "CHUNK", 16)
+    assert rows(read(ranges)) == alone
