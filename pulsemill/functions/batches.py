@@ -7,16 +7,47 @@ cheaper, so whole-window maths runs as Arrow functions over batches.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Matrix = np.ndarray
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def bounded(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch with at most ``most`` bytes or list items in the column, and at least one row."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length
+    ends = np.cumsum(length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def tidy(run: Task) -> Task:
+    """``run``, which at its end gives memory back to the system: a Python worker lives on
+    through many tasks, and what its allocators keep counts as the executor's."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return tidied
 
 
 def same_length(batch: pa.Array) -> Iterator[tuple[np.ndarray, Matrix]]:
@@ -43,7 +74,7 @@ def _three_axes(batch: pa.Array) -> Iterator[tuple[np.ndarray, Matrix]]:
         yield rows, np.sqrt((matrix.reshape(len(rows), 3, -1) ** 2).sum(axis=1))
 
 
-def _lists(size: int, parts: list[tuple[np.ndarray, Matrix]]) -> pa.Array:
+def lists(size: int, parts: list[tuple[np.ndarray, Matrix]]) -> pa.Array:
     if len(parts) == 1 and len(parts[0][0]) == size:
         matrix = parts[0][1]
         offsets = np.arange(size + 1, dtype=np.int32) * matrix.shape[1]
@@ -68,7 +99,7 @@ def window_map(x: Column, fn: Callable[[Matrix], Matrix], axes: bool = False) ->
 
     @F.arrow_udf("array<double>")
     def run(batch: pa.Array) -> pa.Array:
-        return _lists(len(batch), [(where, fn(m)) for where, m in split(batch)])
+        return lists(len(batch), [(where, fn(m)) for where, m in split(batch)])
 
     return run(x)
 
@@ -101,7 +132,7 @@ def window_struct(
         for where, _ in parts:
             missing[where] = False
         children = [
-            (_lists if n in arrays else _numbers)(len(batch), [(w, out[n]) for w, out in parts])
+            (lists if n in arrays else _numbers)(len(batch), [(w, out[n]) for w, out in parts])
             for n in names
         ]
         return pa.StructArray.from_arrays(children, names=names, mask=pa.array(missing))

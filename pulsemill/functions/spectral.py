@@ -7,11 +7,12 @@ is transformed at once.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pulsemill.functions.arrays import TIME_NAMES, standardized, time_statistics
-from pulsemill.functions.batches import Matrix, window_map, window_number, window_struct
+from pulsemill.functions.batches import Matrix, lists, same_length, window_map, window_number, window_struct
 from pulsemill.schemas import HR_RANGE
 
 # fixed values: pass bands in Hz
@@ -98,6 +99,13 @@ def resample(x: Column, orig_fs: float, target_fs: float) -> Column:
     return window_map(x, lambda m: _resampled(m, int(round(m.shape[1] * target_fs / orig_fs))))
 
 
+def resampled(x: pa.Array, orig_fs: float, target_fs: float, length: int) -> pa.Array:
+    """As :func:`resample` for an Arrow array of windows, cut to ``length`` samples."""
+    return lists(len(x), [
+        (where, _resampled(m, int(round(m.shape[1] * target_fs / orig_fs)))[:, :length]) for where, m in same_length(x)
+    ])
+
+
 def freq_features(
     x: Column, fs: float, prefix: str, band: tuple[float, float] = PPG_BAND
 ) -> Column:

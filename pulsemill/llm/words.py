@@ -6,13 +6,14 @@ a task's memory is bounded by the slice or by its longest document.
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+from pulsemill.functions.batches import tidy  # noqa: F401 - for the operators
+
 SLICE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -154,22 +155,3 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
 def as_long(x: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as Spark's signed ones."""
     return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
-Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-
-
-def tidy(run: Task) -> Task:
-    """``run``, which at its end gives memory back to the system: a Python worker lives on
-    through many tasks, and what its allocators keep counts as the executor's."""
-
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim:
-                trim(0)
-
-    return tidied

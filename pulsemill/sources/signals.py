@@ -17,13 +17,16 @@ from pyspark.sql import types as T
 
 from pulsemill import schemas
 from pulsemill.functions import spectral
+from pulsemill.functions.batches import Task, bounded, tidy
 
 PPG_LEN = 300
 ECG_FS_RAW, ECG_FS_OUT, ECG_LEN = 1000.0, 30.0, 300
+#: bytes of files, and samples, that a task works on at a time
+BYTES, SAMPLES = 1 << 20, 1 << 17
 
 
-def _decode(files: DataFrame, unpack: Callable[[bytes], dict], schema: T.StructType) -> DataFrame:
-    """One row per file: the unpacked columns, or the reason there are none."""
+def _decoding(unpack: Callable[[bytes], dict], schema: T.StructType) -> Task:
+    """One row per (path, content): the unpacked columns, or the reason there are none."""
     series = pa.list_(pa.float32())
     kinds = {"record_id": pa.string(), "reject_reason": pa.string(), "sig_name": pa.list_(pa.string()),
              "p_signal": pa.list_(series),
@@ -31,7 +34,7 @@ def _decode(files: DataFrame, unpack: Callable[[bytes], dict], schema: T.StructT
     arrow = pa.schema([(name, kinds[name]) for name in schema.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in bounded(whole, "content", BYTES)):
             rows = []
             for path, content in zip(*(c.to_pylist() for c in batch.columns)):
                 row = {"record_id": path.rsplit("/", 1)[-1].rsplit(".", 1)[0]}
@@ -42,12 +45,14 @@ def _decode(files: DataFrame, unpack: Callable[[bytes], dict], schema: T.StructT
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return run
 
 
-def decode_windows(files: DataFrame, ndim: int = 1, flat: bool = False) -> DataFrame:
-    """``.npy`` contents as float arrays of the given rank; ``flat`` takes any rank, in row order."""
+def _decode(files: DataFrame, unpack: Callable[[bytes], dict], schema: T.StructType) -> DataFrame:
+    return files.select("path", "content").mapInArrow(tidy(_decoding(unpack, schema)), schema)
+
 
+def _window(ndim: int, flat: bool) -> Callable[[bytes], dict]:
     def unpack(content: bytes) -> dict:
         array = np.load(io.BytesIO(content), allow_pickle=False).astype(np.float32)
         if flat:
@@ -56,7 +61,12 @@ def decode_windows(files: DataFrame, ndim: int = 1, flat: bool = False) -> DataF
             raise ValueError(f"expected {ndim} dimensions, got shape {array.shape}")
         return {"x": array if ndim == 1 else list(array)}
 
-    return _decode(files, unpack, schemas.WINDOW_ARRAY if ndim == 1 else schemas.MATRIX_ARRAY)
+    return unpack
+
+
+def decode_windows(files: DataFrame, ndim: int = 1, flat: bool = False) -> DataFrame:
+    """``.npy`` contents as float arrays of the given rank; ``flat`` takes any rank, in row order."""
+    return _decode(files, _window(ndim, flat), schemas.WINDOW_ARRAY if ndim == 1 else schemas.MATRIX_ARRAY)
 
 
 def decode_raw_ppg(files: DataFrame) -> DataFrame:
@@ -128,7 +138,31 @@ def extract_ppg(raw: DataFrame, length: int = PPG_LEN) -> DataFrame:
     )
 
 
+def _resampling(column: str) -> Task:
+    """The column's windows at the PPG rate, cut to its length, as ``ecg``; other columns stay. Null and empty windows give null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in bounded(whole, column, SAMPLES)):
+            ecg = spectral.resampled(batch.column(column), ECG_FS_RAW, ECG_FS_OUT, ECG_LEN).cast(pa.list_(pa.float32()))
+            at = batch.schema.get_field_index(column)
+            yield batch.set_column(at, "ecg", ecg)
+
+    return run
+
+
 def ecg_on_ppg_grid(ecg: DataFrame, column: str = "x") -> DataFrame:
-    """ECG windows resampled to the PPG rate and cut to its length."""
-    x = F.slice(spectral.resample(F.col(column), ECG_FS_RAW, ECG_FS_OUT), 1, ECG_LEN)
-    return ecg.select("record_id", x.cast("array<float>").alias("ecg"))
+    """ECG windows resampled to the PPG rate and cut to its length.
+
+    A pass over the rows, not a column: Spark repeats a column's function where a later explode
+    or filter uses it, and each copy holds a Python worker per core.
+    """
+    schema = T.StructType([ecg.schema["record_id"], T.StructField("ecg", T.ArrayType(T.FloatType()))])
+    return ecg.select("record_id", column).mapInArrow(tidy(_resampling(column)), schema)
+
+
+def ecg_files_on_grid(files: DataFrame) -> DataFrame:
+    """(record_id, ecg, reject_reason) of ``.npy`` contents of any rank: decoded and resampled by one worker per task."""
+    decode, resample = _decoding(_window(1, True), schemas.WINDOW_ARRAY), _resampling("x")
+    names = schemas.WINDOW_ARRAY.names
+    schema = T.StructType([T.StructField("ecg", T.ArrayType(T.FloatType())) if n == "x" else schemas.WINDOW_ARRAY[n] for n in names])
+    return files.select("path", "content").mapInArrow(tidy(lambda batches: resample(decode(batches))), schema)

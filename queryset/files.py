@@ -434,8 +434,7 @@ def ecg_on_grid(spark, sf):
     files = table(spark, sf, "embeddings").select(
         F.format_string("/raw/%d.npy", F.col("vec_id")).alias("path"), content.alias("content")
     )
-    on_grid = signals.ecg_on_ppg_grid(signals.decode_windows(files, flat=True))
-    return on_grid.select("record_id", F.posexplode("ecg").alias("i", "x"))
+    return signals.ecg_files_on_grid(files).select("record_id", F.posexplode("ecg").alias("i", "x"))
 
 
 def _npy_flat_or_column(batch: pa.Array, tall: pa.Array) -> pa.Array:
